@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..profiles import join_profile, setting
+from ..profiles import DEFAULTS, join_profile, setting
 from .base import PASSED, REJECTED, WARNING, event, flags_by_file, list_events
 
 NO_AUDIO = -99.0
@@ -119,10 +119,11 @@ def phase_metrics(audio_frames: DataFrame) -> DataFrame:
 def phase_status(metrics: DataFrame, profiles: DataFrame) -> DataFrame:
     """Needs ``profile``; no phase data (null) is a warning."""
     mean, low = F.col("mean_phase"), F.col("min_phase")
+    limits = profiles.select("profile", F.col("min_phase_correlation").alias("phase_limit"))
     status = (
         F.when(mean.isNull(), WARNING)
-        .when(mean < setting("min_phase_correlation"), REJECTED)
+        .when(mean < F.coalesce("phase_limit", F.lit(DEFAULTS["min_phase_correlation"])), REJECTED)
         .when(low < -0.5, WARNING)
         .otherwise(PASSED)
     )
-    return join_profile(metrics, profiles).withColumn("status", status).select(*metrics.columns, "status")
+    return join_profile(metrics, limits).withColumn("status", status).select(*metrics.columns, "status")

@@ -54,6 +54,12 @@ def variance(px: Column) -> Column:
     return _total(F.transform(px, lambda x: (x * x).cast("long"))) / n - mean * mean
 
 
+def valid_frame(px: Column, width: Column, min_side: int = 32, min_variance: float = 1.0) -> Column:
+    """Large enough and not a flat colour, so that a quality score makes sense."""
+    big = (width >= min_side) & (F.size(px) / width >= min_side)
+    return F.coalesce(big & (variance(px) >= min_variance), F.lit(False))
+
+
 def field(px: Column, width: Column, parity: int) -> Column:
     """Rows 0, 2, 4, ... (parity 0) or 1, 3, 5, ... (parity 1) of a picture.
 

@@ -21,7 +21,7 @@ def collect_events(reports: DataFrame, top_level_only: bool = False) -> DataFram
     if not top_level_only:
         every = F.concat(every, F.coalesce("details_events", none))
     offset = F.coalesce("segment_offset_sec", F.lit(0.0))
-    fields = [f.name for f in reports.schema["events"].dataType.elementType.fields]
+    fields = [f for f in reports.schema["events"].dataType.elementType.fieldNames() if f != "source_module"]
     moved = {"start_time", "end_time"}
     return (
         reports.withColumn("_offset", offset)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.quality import abs_difference
 from .chunks import CHUNK_ROWS, with_previous
@@ -37,7 +38,7 @@ def motion_energy(pixels: DataFrame, keys: Sequence[str] = ("file_id",), chunk_r
     return max_normalise(raw, "energy", keys)
 
 
-@F.pandas_udf("lag long, corr double")
+@F.pandas_udf(T.StructType([T.StructField("lag", T.LongType()), T.StructField("corr", T.DoubleType())]))
 def _best_lag(i: pd.Series, a: pd.Series, v: pd.Series, max_lag: pd.Series) -> pd.DataFrame:
     """Lag with the largest full correlation; the smallest one among equals."""
     out = []

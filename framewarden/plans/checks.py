@@ -81,7 +81,9 @@ def frames_report(t: Tables, fps: float = 25.0, max_changed: int = 50) -> tuple[
     """
     errors = L.cap_per_type(L.log_errors(t["logs"]))
     frames = t["frames"]
-    marked = fr.mark_duplicates(t["pixels"].join(frames.select("file_id", "frame_idx", "pts_us"), ["file_id", "frame_idx"]), max_changed)
+    # Pixels travel once; the times join the narrow flags afterwards.
+    flags = fr.mark_duplicates(t["pixels"].select("file_id", "frame_idx", "px"), max_changed)
+    marked = flags.join(frames.select("file_id", "frame_idx", "pts_us"), ["file_id", "frame_idx"])
     drift = fr.max_pts_drift(frames, fps)
     events = _events(
         "validate_frames", errors, fr.frame_gaps(frames, fps), fr.freeze_runs(marked, fps), fr.drift_events(drift)

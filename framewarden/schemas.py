@@ -8,6 +8,7 @@ EVENT = (
 
 def struct_of(fields: str) -> str:
     """``a int, b string`` as ``struct<a:int,b:string>``."""
+    # Nested types are written without blanks after their commas.
     parts = [p.strip().split(" ", 1) for p in fields.split(", ")]
     return "struct<" + ",".join(f"{n}:{t}" for n, t in parts) + ">"
 

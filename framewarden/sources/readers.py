@@ -12,8 +12,6 @@ from .. import schemas
 MEDIA_SUFFIXES = (".mp4", ".mov", ".mkv", ".avi", ".mxf")
 BATCH_SUFFIXES = (*MEDIA_SUFFIXES, ".ts")
 
-_PATH = "_metadata.file_path"
-
 
 def _stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
@@ -33,48 +31,67 @@ def scan_media_manifest(spark: SparkSession, folder: str, suffixes=MEDIA_SUFFIXE
     )
 
 
-def _documents(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    raw = (
-        spark.read.schema(f"{schema}, _corrupt_record string")
-        .option("multiLine", "true")
-        .option("mode", "PERMISSIVE")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.json")
-        .option("ignoreMissingFiles", "true")
-        .json(folder)
+def read_texts(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame:
+    """Whole documents as ``file_id`` (stem), ``folder``, ``text``."""
+    docs = (
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+        .option("ignoreMissingFiles", "true").text(folder, wholetext=True)
     )
-    return raw.withColumn("_path", F.col(_PATH)).where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    path = F.col("_metadata.file_path")
+    return docs.select(_stem(path).alias("file_id"), _folder(path).alias("folder"), F.col("value").alias("text"))
 
 
-def read_reports(spark: SparkSession, folder: str) -> DataFrame:
-    """Check reports, one folder per media file; unreadable ones are skipped.
+def _parsed(docs: DataFrame, schema: str) -> DataFrame:
+    """``doc`` next to the other columns; documents that are not JSON are skipped."""
+    doc = F.from_json("text", f"struct<{_colons(schema)},_corrupt_record:string>")
+    return (
+        docs.withColumn("doc", doc)
+        .where(F.col("doc").isNotNull() & F.col("doc._corrupt_record").isNull())
+        .drop("text")
+    )
+
+
+def _colons(schema: str) -> str:
+    return schemas.struct_of(schema)[len("struct<"):-1]
 
-    ``module`` falls back to the file's stem, ``report_ord`` is its place in the
-    folder by name.
+
+def parse_reports(docs: DataFrame) -> DataFrame:
+    """Check reports from ``file_id, report_name, text``.
+
+    ``module`` falls back to the report's own name.
     """
-    docs = _documents(spark, folder, schemas.REPORT)
+    rows = _parsed(docs, schemas.REPORT).select("file_id", "report_name", "doc.*").drop("_corrupt_record")
     nested = F.from_json("details", f"struct<events:{schemas.EVENT_ARRAY}>")["events"]
-    return docs.select(
-        _folder(F.col("_path")).alias("file_id"),
-        F.coalesce("module", _stem(F.col("_path"))).alias("module"),
-        _stem(F.col("_path")).alias("report_name"),
-        "video_file", "status", "effective_status", "segment_offset_sec", "metrics", "events",
-        nested.alias("details_events"),
-        F.from_json("details", "map<string,string>").alias("details"),
+    return rows.withColumns(
+        {
+            "module": F.coalesce("module", "report_name"),
+            "details_events": nested,
+            "details": F.from_json("details", "map<string,string>"),
+        }
     )
 
 
-def read_probes(spark: SparkSession, folder: str) -> DataFrame:
-    """Container and stream metadata; numbers stay text until a check needs them.
+def read_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """Check reports, one folder per media file."""
+    docs = read_texts(spark, folder)
+    return parse_reports(docs.select(F.col("folder").alias("file_id"), F.col("file_id").alias("report_name"), "text"))
 
-    A document without a ``format`` part has an unreadable header.
+
+def parse_probes(docs: DataFrame) -> DataFrame:
+    """Container and stream metadata from ``file_id, text``; other columns stay.
+
+    Numbers stay text until a check needs them.  A document that is not JSON or
+    has no ``format`` part has an unreadable header.
     """
-    docs = _documents(spark, folder, schemas.PROBE)
-    return docs.select(
-        _stem(F.col("_path")).alias("file_id"), "format",
-        F.coalesce("streams", F.array().cast(f"array<{schemas.struct_of(schemas.STREAM)}>")).alias("streams"),
-        F.col("format").isNotNull().alias("header_ok"),
-    )
+    doc = F.from_json("text", f"struct<{_colons(schemas.PROBE)}>")
+    streams = F.coalesce(F.col("doc.streams"), F.array().cast(f"array<{schemas.struct_of(schemas.STREAM)}>"))
+    return docs.withColumn("doc", doc).withColumns(
+        {"format": F.col("doc.format"), "streams": streams, "header_ok": F.col("doc.format").isNotNull()}
+    ).drop("doc", "text")
+
+
+def read_probes(spark: SparkSession, folder: str) -> DataFrame:
+    return parse_probes(read_texts(spark, folder).select("file_id", "text"))
 
 
 def frame_tags(frame: Column) -> dict[str, Column]:
@@ -103,21 +120,24 @@ def explode_frames(docs: DataFrame) -> DataFrame:
     return typed.dropna(subset=list(cols))
 
 
+def parse_frame_stats(docs: DataFrame) -> DataFrame:
+    """Frame measurements from ``file_id, text``."""
+    return explode_frames(_parsed(docs, schemas.FRAME_STATS).select("file_id", "doc.frames"))
+
+
 def read_frame_stats(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _documents(spark, folder, schemas.FRAME_STATS)
-    return explode_frames(docs.select(_stem(F.col("_path")).alias("file_id"), "frames"))
+    return parse_frame_stats(read_texts(spark, folder).select("file_id", "text"))
 
 
-def split_lines(docs: DataFrame, text: str = "value") -> DataFrame:
+def split_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """Whole texts to numbered lines; the order of lines is data."""
     return docs.select("file_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line")).withColumn(
         "line_no", F.col("line_no").cast("long")
     )
 
 
-def read_logs(spark: SparkSession, folder: str) -> DataFrame:
-    docs = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
-    return split_lines(docs.select(_stem(F.col(_PATH)).alias("file_id"), "value"))
+def read_logs(spark: SparkSession, folder: str, glob: str = "*.log") -> DataFrame:
+    return split_lines(read_texts(spark, folder, glob), "text")
 
 
 def read_segment_list(spark: SparkSession, path: str) -> DataFrame:
