@@ -43,7 +43,7 @@ def newest_first(jobs):
        select file_id, human_name, nth, start_time, {smpte_sql('start_time')} as smpte from r where nth <= 3""",
 )
 def first_times(worded):
-    return ev.first_k_times(ev.describe_events(ev.normalize_event_time(worded)))
+    return ev.first_k_times(ev.describe_events(ev.normalize_event_time(worded))).drop("category")
 
 
 @query("sample_every_nth", "frames", sql="select file_id, frame_idx, pts_us from frames where frame_idx % 5 = 0 and frame_idx <= 25.0e0 * 30")

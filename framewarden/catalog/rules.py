@@ -10,7 +10,6 @@ from ..fixtures import load
 from ..functions.quality import classify_severity, valid_frame, violation_confidence
 from ..operators.verdicts import contract_violations
 from ..profiles import COLUMNS, DEFAULTS, join_profile, profile_values, profiles_table, setting
-from ..sources.readers import parse_probes
 from . import query
 from .scans import nest_probes, registered
 
@@ -18,10 +17,6 @@ PROFILE_SQL = f"(select * from ({profile_values()}) as p({', '.join(c for c, _ i
 KNOWN = "('strict', 'netflix_hd', 'youtube', 'ott')"
 
 
-def probes_of(flat: DataFrame) -> DataFrame:
-    return parse_probes(nest_probes(flat))
-
-
 @query(
     "structure_metrics", "probes_flat",
     sql="""select file_id, case when header_ok then container end as container,
@@ -31,7 +26,7 @@ def probes_of(flat: DataFrame) -> DataFrame:
        from probes_flat""",
 )
 def structure_metrics(flat):
-    return picture.structure_metrics(probes_of(flat)).select(
+    return picture.structure_metrics(nest_probes(flat)).select(
         "file_id", "container", "duration_sec", "bitrate_bps", "track_count_video", "track_count_audio", "track_count_subs"
     )
 
@@ -45,7 +40,7 @@ _MISMATCH = """(header_ok and has_video and dur_tenths > 0 and stream_tenths > 0
     sql=f"select file_id, 'metadata_mismatch' as type from probes_flat where {_MISMATCH}",
 )
 def duration_mismatch(flat):
-    return probes_of(flat).where(picture.duration_mismatch()).select("file_id", F.lit("metadata_mismatch").alias("type"))
+    return nest_probes(flat).where(picture.duration_mismatch()).select("file_id", F.lit("metadata_mismatch").alias("type"))
 
 
 @query(
@@ -58,7 +53,7 @@ def missing_language(flat):
     tracks = F.array_compact(
         F.array(*[F.when(picture.missing_language(k, mode), F.lit(k)) for k in ("video", "audio")])
     )
-    return probes_of(flat).where("header_ok").select("file_id", F.explode(tracks).alias("track"))
+    return nest_probes(flat).where("header_ok").select("file_id", F.explode(tracks).alias("track"))
 
 
 @query(
@@ -68,7 +63,7 @@ def missing_language(flat):
        from probes_flat""",
 )
 def structure_status(flat):
-    return picture.structure_status(probes_of(flat)).select("file_id", "status", "effective_status")
+    return picture.structure_status(nest_probes(flat)).select("file_id", "status", "effective_status")
 
 
 @query(
@@ -83,7 +78,7 @@ def structure_status(flat):
        union all select file_id, 'integrity_failure', 'Integrity Check Failed' from probes_flat where header_ok and not intact""",
 )
 def structure_events(flat):
-    return picture.structure_events(probes_of(flat), F.col("mode")).select("file_id", "type", "details")
+    return picture.structure_events(nest_probes(flat), F.col("mode")).select("file_id", "type", "details")
 
 
 _RATIO = """case when contains({0}, ':') then coalesce(try_cast(split_part({0}, ':', 1) as bigint) / nullif(try_cast(split_part({0}, ':', 2) as bigint), 0), 0.0e0)

@@ -45,7 +45,7 @@ def scan_media_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nest_probes(flat: DataFrame) -> DataFrame:
-    """Flat probe columns as the probe document's structs."""
+    """Flat probe columns as the probe document's ``format`` and ``streams``."""
     tenths = lambda c: F.format_string("%d.%d", F.floor(F.col(c) / 10), F.col(c) % 10)
     none = F.lit(None).cast("string")
 
@@ -66,15 +66,15 @@ def nest_probes(flat: DataFrame) -> DataFrame:
     sound = F.array_repeat(stream("audio", channels=F.lit(2), language=F.col("a_lang")), F.col("n_audio").cast("int"))
     subs = F.array_repeat(stream("subtitle"), F.col("n_subs").cast("int"))
     empty = F.slice(F.array(stream("video")), 1, 0)
-    doc = F.struct(
-        F.when(
-            F.col("header_ok"),
-            F.struct(F.col("container").alias("format_name"), tenths("dur_tenths").alias("duration"),
-                     F.col("bit_rate").cast("string").alias("bit_rate")),
-        ).alias("format"),
+    container = F.when(
+        F.col("header_ok"),
+        F.struct(F.col("container").alias("format_name"), tenths("dur_tenths").alias("duration"),
+                 F.col("bit_rate").cast("string").alias("bit_rate")),
+    )
+    return flat.select(
+        "file_id", "mode", "intact", "header_ok", container.alias("format"),
         F.concat(F.coalesce(video, empty), sound, subs).alias("streams"),
     )
-    return flat.select("file_id", "mode", "intact", F.to_json(doc).alias("text"))
 
 
 @query(
@@ -85,7 +85,8 @@ def nest_probes(flat: DataFrame) -> DataFrame:
        from probes_flat""",
 )
 def read_probes(flat: DataFrame) -> DataFrame:
-    probes = structure_metrics(readers.parse_probes(nest_probes(flat)))
+    texts = nest_probes(flat).select("file_id", F.to_json(F.struct("format", "streams")).alias("text"))
+    probes = structure_metrics(readers.parse_probes(texts))
     first = F.get(F.filter("streams", lambda s: s["codec_type"] == "video"), 0)
     return probes.select(
         "file_id", "header_ok",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quality import violation_confidence
-from .chunks import CHUNK_US, with_lookback
+from .chunks import CHUNK_US, time_chunk, with_lookback
 from .islands import gap_islands
 
 
@@ -45,6 +45,52 @@ def frame_violations(
     )
 
 
+def window_density(times: DataFrame, keys: Sequence[str], window_us: int, width: int) -> DataFrame:
+    """``n, first_us, worst, conf`` over ``(pts_us - window_us, pts_us]`` at each time.
+
+    A sliding frame would be summed anew for every row.  Instead time is cut
+    into blocks as long as the window: a window is the tail of the block before
+    plus the beginning of its own, and both are running aggregates.  Each time
+    appears once in its own block and once, shifted by the window, in the next
+    one, where its place marks the moment it drops out.
+    """
+    near = with_lookback(times, "pts_us", window_us, width)
+    both = (
+        near.withColumn("_late", F.explode(F.array(F.lit(0), F.lit(1))))
+        .withColumn("_pos", F.col("pts_us") + F.col("_late") * F.lit(window_us))
+        .withColumn("_block", time_chunk("_pos", window_us))
+    )
+    block = Window.partitionBy(*keys, "_chunk", "_block")
+    so_far = block.orderBy(F.asc("_pos"), F.desc("_late")).rowsBetween(Window.unboundedPreceding, 0)
+    # Backwards, the rows above are the earlier block's times still inside.
+    inside = block.orderBy(F.desc("_pos"), F.asc("_late")).rowsBetween(Window.unboundedPreceding, -1)
+    new = lambda c: F.when(F.col("_late") == 0, F.col(c))
+    old = lambda c: F.when(F.col("_late") == 1, F.col(c))
+    return (
+        both.withColumns(
+            {
+                "_n": F.sum(new("n_high")).over(so_far),
+                "_first": F.min(new("bad_us")).over(so_far),
+                "_worst": F.last(new("worst"), ignorenulls=True).over(so_far),
+                "_conf": F.max(new("conf")).over(so_far),
+                "_old_n": F.sum(old("n_high")).over(inside),
+                "_old_first": F.min(old("bad_us")).over(inside),
+                # Backwards, the first one met is the latest in time.
+                "_old_worst": F.first(old("worst"), ignorenulls=True).over(inside),
+                "_old_conf": F.max(old("conf")).over(inside),
+            }
+        )
+        .where(F.col("_own") & (F.col("_late") == 0))
+        .select(
+            *keys, "pts_us",
+            (F.coalesce("_n", F.lit(0)) + F.coalesce("_old_n", F.lit(0))).alias("n"),
+            F.coalesce("_old_first", "_first").alias("first_us"),
+            F.coalesce("_worst", "_old_worst").alias("worst"),
+            F.greatest("_conf", "_old_conf").alias("conf"),
+        )
+    )
+
+
 def broadcast_bursts(
     frames: DataFrame,
     mode: str = "strict",
@@ -58,23 +104,11 @@ def broadcast_bursts(
     """Stretches where more than ``min_count`` high-confidence luma violations
     fall into the last ``window_us`` (lower edge excluded)."""
     keys = list(keys)
-    times = with_lookback(frame_violations(frames, keys, **limits), "pts_us", window_us, width)
-    w = Window.partitionBy(*keys, "_chunk").orderBy("pts_us").rangeBetween(-(window_us - 1), 0)
-    hot = (
-        times.withColumns(
-            {
-                "_n": F.sum("n_high").over(w),
-                "_first": F.min("bad_us").over(w),
-                "_worst": F.last("worst", ignorenulls=True).over(w),
-                "_conf": F.max("conf").over(w),
-            }
-        )
-        .where(F.col("_own") & (F.col("_n") > min_count))
-        .select(*keys, "pts_us", "_first", "_worst", "_conf")
-    )
+    density = window_density(frame_violations(frames, keys, **limits), keys, window_us, width)
+    hot = density.where(F.col("n") > min_count).drop("n")
     bursts = gap_islands(
         hot, keys, "pts_us", gap_us,
-        {"start_us": ("first", "_first"), "worst": ("first", "_worst"), "confidence": ("first", "_conf")},
+        {"start_us": ("first", "first_us"), "worst": ("first", "worst"), "confidence": ("first", "conf")},
         width=width,
     )
     return bursts.select(

@@ -80,7 +80,7 @@ def first_k_times(described: DataFrame, k: int = 3, keys=("file_id", "human_name
     return (
         described.withColumn("nth", F.row_number().over(w))
         .where(F.col("nth") <= k)
-        .select(*keys, "nth", "start_time", seconds_to_smpte(F.col("start_time")).alias("smpte"))
+        .select(*keys, "nth", "start_time", seconds_to_smpte(F.col("start_time")).alias("smpte"), "category")
     )
 
 
@@ -88,14 +88,16 @@ def issue_summary(described: DataFrame, keys=("file_id", "human_name")) -> DataF
     """Per issue: count, worst score, category, first three time codes, verdict."""
     keys = list(keys)
     totals = described.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max("severity_score").alias("max_severity"),
-        F.min_by("category", F.struct("start_time", "ord")).alias("category"),
+        F.count(F.lit(1)).alias("n"), F.max("severity_score").alias("max_severity")
     )
-    times = (
-        first_k_times(described, 3, keys)
-        .groupBy(*keys)
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "smpte"))), lambda e: e["smpte"]), ", ").alias("times"))
+    # At most three rows per issue.
+    early = first_k_times(described, 3, keys).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("nth", "smpte", "category"))).alias("_early")
+    )
+    times = early.select(
+        *keys,
+        F.col("_early")[0]["category"].alias("category"),
+        F.array_join(F.transform("_early", lambda e: e["smpte"]), ", ").alias("times"),
     )
     more = F.when(F.col("n") > 3, F.concat(F.lit(" (+"), (F.col("n") - 3).cast("string"), F.lit(" more)"))).otherwise("")
     return totals.join(times, keys).select(

@@ -192,6 +192,9 @@ def field_metrics(pixels: DataFrame, keys: Sequence[str] = KEYS, chunk_rows: int
     )
 
 
+SEVERITIES = ("UNKNOWN", "MILD", "MODERATE", "SEVERE")
+
+
 def stitch_ml_events(
     scored: DataFrame, min_duration: float | Column = 1.0, gap: float = 1.5, keys: Sequence[str] = KEYS,
     width: float = 600.0,
@@ -204,8 +207,10 @@ def stitch_ml_events(
     so the average does not depend on how the rows were spread.
     """
     dirty = scored.where(F.col("severity") != "CLEAN")
-    points = dirty.groupBy(*keys, "ts").agg(
-        F.min_by("severity", "ord").alias("first"),
+    # Numbered, so that the aggregates below stay hash-based.
+    level = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
+    points = dirty.withColumn("_level", level).groupBy(*keys, "ts").agg(
+        F.min_by("_level", "ord").alias("first"),
         F.bool_or(F.col("severity") == "SEVERE").alias("severe"),
         F.sum(F.round(F.col("score") * 100).cast("long")).alias("cents"),
         F.count(F.lit(1)).alias("n"),
@@ -217,7 +222,8 @@ def stitch_ml_events(
          "peak": ("max", "peak")},
         width,
     )
-    severity = F.when(F.col("severe"), F.lit("SEVERE")).otherwise(F.col("first"))
+    named = F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("first").cast("int"))
+    severity = F.when(F.col("severe"), F.lit("SEVERE")).otherwise(named)
     average = F.col("cents") / (F.col("n") * 100)
     return (
         joined.withColumn("severity", severity)

@@ -33,12 +33,14 @@ def stitch_events(
     columns, which come from the first event of each merged one.  Missing times
     count as 0.  Output: one row per merged event with ``n_events``.
 
-    Equal (type, start, details) rows are combined before the shuffle, so a
-    chunk is bounded by its distinct starts and texts, not by its rows.  Rows
+    Rows that differ only in ``ord`` and end are combined before the shuffle, so
+    a chunk is bounded by its distinct starts and texts, not by its rows.  Rows
     whose end lies before ``start - tolerance`` cannot be joined to by a row
-    with the same start and are kept apart by ``ord``.
+    with the same start and are kept apart by ``ord``.  An island is named by
+    its first row (start and ord), which travels as grouping keys; the
+    aggregates are plain numbers and stay hash-based.
     """
-    keys = list(keys)
+    keys, carry = list(keys), list(carry)
     full = [*keys, "_type"]
     base = events.select(
         *keys,
@@ -47,76 +49,79 @@ def stitch_events(
         F.coalesce("start_time", F.lit(0.0)).alias("start_time"),
         F.coalesce("end_time", F.lit(0.0)).alias("end_time"),
         "details",
-        F.struct(*carry).alias("_head"),
+        *carry,
     ).withColumn("_chunk", time_chunk("start_time", width))
     lone = F.when(F.col("end_time") < F.col("start_time") - tolerance, F.col("ord"))
     rows = (
         base.withColumn("_lone", lone)
-        .groupBy(*full, "_chunk", "start_time", "_lone", "details")
-        .agg(
-            F.min("ord").alias("ord"),
-            F.max("end_time").alias("end_time"),
-            F.min_by("_head", "ord").alias("_head"),
-            F.count(F.lit(1)).alias("n_events"),
-        )
+        .groupBy(*full, "_chunk", "start_time", "_lone", "details", *carry)
+        .agg(F.min("ord").alias("ord"), F.max("end_time").alias("end_time"), F.count(F.lit(1)).alias("n_events"))
         .drop("_lone")
     )
     reach = running(
         rows, full, "_chunk", ["start_time", "ord"], {"_reach": ("max", "end_time")}, summary_from=base
     )
     opens = F.col("_reach").isNull() | (F.col("start_time") > F.col("_reach") + tolerance)
-    # Local island 0 continues an island opened in an earlier chunk.
-    w = Window.partitionBy(*full, "_chunk").orderBy("start_time", "ord")
-    at = F.struct("start_time", "ord")
+    in_order = Window.partitionBy(*full, "_chunk").orderBy("start_time", "ord").rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    # Head of the latest island opened in this chunk; none yet means that an
+    # island of an earlier chunk goes on.
+    head = {f"_h_{c}": c for c in ("start_time", "ord")}
+    first = {f"_f_{c}": c for c in carry}
+    marked = reach.withColumn("_opens", opens).select(
+        *full, "_chunk", "end_time", "details", "n_events",
+        F.row_number().over(in_order).alias("_rn"),
+        F.last(F.when(F.col("_opens"), F.struct(*head.values(), *carry)), ignorenulls=True).over(in_order).alias("_h"),
+    )
     pieces = (
-        reach.withColumn("_isl", F.sum(F.when(opens, 1).otherwise(0)).over(w))
-        .groupBy(*full, "_chunk", "_isl", "details")
+        marked.select(
+            "*", *[F.col(f"_h.{c}").alias(n) for n, c in {**head, **first}.items()],
+        )
+        .groupBy(*full, "_chunk", *head, *first, "details")
         .agg(
-            F.min(at).alias("_at"),
             F.max("end_time").alias("end_time"),
-            F.min_by("_head", at).alias("_head"),
             F.sum("n_events").alias("n_events"),
+            F.min("_rn").alias("_rn"),
         )
-        .withColumn("_top", F.max("_isl").over(Window.partitionBy(*full, "_chunk")))
-        .withColumn(
-            "_slot",
-            F.when((F.col("_isl") == 0) | (F.col("_isl") == F.col("_top")), F.lit(-1).cast("long")).otherwise(
-                F.col("_chunk")
-            ),
-        )
     )
-    # Per slot, an island's number is its opening (chunk, isl): continuations
-    # take the latest opening before them.
-    opening = F.when(F.col("_isl") > 0, F.struct("_chunk", "_isl"))
-    w2 = Window.partitionBy(*full, "_slot").orderBy("_chunk", "_isl")
+    # Pieces that continue an island, and each chunk's last island, which may be
+    # continued, meet per file; the rest is final.
+    local = Window.partitionBy(*full, "_chunk")
+    top = F.max(F.struct("_h_start_time", "_h_ord")).over(local)
+    edge = F.col("_h_ord").isNull() | (F.struct("_h_start_time", "_h_ord") == F.col("_top"))
+    slotted = pieces.withColumn("_top", top).withColumn(
+        "_slot", F.when(edge, F.lit(-1).cast("long")).otherwise(F.col("_chunk"))
+    )
+    # Continuations (no head) come first in their chunk and take the head before.
+    w = Window.partitionBy(*full, "_slot").orderBy("_chunk", F.asc_nulls_first("_h_start_time"), F.asc_nulls_first("_h_ord"))
+    named = F.struct(*head, *first)
     merged = (
-        pieces.withColumn("_id", F.max(opening).over(w2))
-        .groupBy(*full, "_slot", "_id", "details")
-        .agg(
-            F.min("_at").alias("_at"),
-            F.max("end_time").alias("end_time"),
-            F.min_by("_head", "_at").alias("_head"),
-            F.sum("n_events").alias("n_events"),
+        slotted.withColumn("_h", F.last(F.when(F.col("_h_ord").isNotNull(), named), ignorenulls=True).over(w))
+        .select(
+            *full, "_slot", "end_time", "details", "n_events",
+            (F.col("_chunk") * (1 << 32) + F.col("_rn")).alias("_at"),
+            *[F.col(f"_h.{n}").alias(n) for n in (*head, *first)],
         )
-        .groupBy(*full, "_slot", "_id")
+        .groupBy(*full, "_slot", *head, *first, "details")
+        .agg(F.max("end_time").alias("end_time"), F.sum("n_events").alias("n_events"), F.min("_at").alias("_at"))
+        .groupBy(*full, "_slot", *head, *first)
         .agg(
-            F.min("_at").alias("_at"),
             F.max("end_time").alias("end_time"),
-            F.min_by("_head", "_at").alias("_head"),
             F.sum("n_events").alias("n_events"),
             # The distinct texts that make up this one output cell.
-            F.array_sort(F.collect_list(F.struct(F.col("_at").alias("at"), "details"))).alias("_texts"),
+            F.array_sort(F.collect_list(F.struct("_at", "details"))).alias("_texts"),
         )
     )
     return merged.select(
         *keys,
         open_key("_type").alias("type"),
-        F.col("_at.start_time").alias("start_time"),
+        F.col("_h_start_time").alias("start_time"),
         "end_time",
-        *[F.col(f"_head.{c}").alias(c) for c in carry],
+        *[F.col(f"_f_{c}").alias(c) for c in carry],
         fold_details(F.col("_texts")).alias("details"),
         "n_events",
-        F.col("_at.ord").alias("ord"),
+        F.col("_h_ord").alias("ord"),
     )
 
 

@@ -25,26 +25,32 @@ def reported_status(default: str = "UNKNOWN") -> Column:
     return F.coalesce("effective_status", "status", F.lit(default))
 
 
-def _worst(df: DataFrame, keys: Sequence[str], status: Column, ranks: dict[str, int], floor: int, order: Sequence[str]) -> Column:
-    """First status of the highest rank, PASSED unless above ``floor``."""
-    r = rank(status, ranks)
-    first = F.struct(r, *[-F.col(c) for c in order])
-    return F.when(F.max(r) > floor, F.max_by(status, first)).otherwise(F.lit("PASSED"))
+def _worst(status: Column, ranks: dict[str, int], floor: int, order: str) -> Column:
+    """First status of the highest rank, PASSED unless above ``floor``.
+
+    Words sharing a rank are told apart by where each occurs first, so all
+    aggregates are numbers and combine in a hash table.
+    """
+    top = F.max(rank(status, ranks))
+    out = None
+    for value in sorted({v for v in ranks.values() if v > floor}, reverse=True):
+        words = [w for w, v in ranks.items() if v == value]
+        word = F.lit(words[0])
+        if len(words) > 1:
+            seen = [F.struct(F.min(F.when(status == w, F.col(order))).alias("at"), F.lit(w).alias("w")) for w in words]
+            word = F.array_min(F.filter(F.array(*seen), lambda s: s["at"].isNotNull()))["w"]
+        out = F.when(top == value, word) if out is None else out.when(top == value, word)
+    return out.otherwise("PASSED")
 
 
-def overall_status(reports: DataFrame, keys: Sequence[str] = ("file_id",), order: Sequence[str] = ("ord",)) -> DataFrame:
+def overall_status(reports: DataFrame, keys: Sequence[str] = ("file_id",), order: str = "ord") -> DataFrame:
     """Verdict of a file: its worst module, the first one among equals."""
-    status = reported_status()
-    return reports.groupBy(*keys).agg(
-        _worst(reports, keys, status, MODULE_RANKS, 0, order).alias("overall_status")
-    )
+    return reports.groupBy(*keys).agg(_worst(reported_status(), MODULE_RANKS, 0, order).alias("overall_status"))
 
 
-def segment_worst_status(segments: DataFrame, keys: Sequence[str] = ("file_id",), order: Sequence[str] = ("ord",)) -> DataFrame:
+def segment_worst_status(segments: DataFrame, keys: Sequence[str] = ("file_id",), order: str = "ord") -> DataFrame:
     status = F.coalesce("status", F.lit("PASSED"))
-    return segments.groupBy(*keys).agg(
-        _worst(segments, keys, status, SEGMENT_RANKS, 1, order).alias("overall_status")
-    )
+    return segments.groupBy(*keys).agg(_worst(status, SEGMENT_RANKS, 1, order).alias("overall_status"))
 
 
 def escalate(reports: DataFrame, keys: Sequence[str], status: Column | None = None) -> DataFrame:

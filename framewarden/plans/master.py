@@ -87,6 +87,6 @@ def merged_segments_flat(segment_masters: DataFrame, events: DataFrame, segments
     shifted = shift_times(join_segment_offset(events, segments))
     label = F.format_string("segment_%04d.mp4", "segment_id")
     return {
-        "files": segment_worst_status(segment_masters, order=("segment_id",)),
+        "files": segment_worst_status(segment_masters, order="segment_id"),
         "events": tag_origin(shifted, label),
     }

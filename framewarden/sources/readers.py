@@ -45,7 +45,7 @@ def _parsed(docs: DataFrame, schema: str) -> DataFrame:
     """``doc`` next to the other columns; documents that are not JSON are skipped."""
     doc = F.from_json("text", f"struct<{_colons(schema)},_corrupt_record:string>")
     return (
-        docs.withColumn("doc", doc)
+        docs.withColumn("doc", F.explode(F.array(doc)))
         .where(F.col("doc").isNotNull() & F.col("doc._corrupt_record").isNull())
         .drop("text")
     )
@@ -85,7 +85,8 @@ def parse_probes(docs: DataFrame) -> DataFrame:
     """
     doc = F.from_json("text", f"struct<{_colons(schemas.PROBE)}>")
     streams = F.coalesce(F.col("doc.streams"), F.array().cast(f"array<{schemas.struct_of(schemas.STREAM)}>"))
-    return docs.withColumn("doc", doc).withColumns(
+    # Through explode the text is parsed once for all of the columns.
+    return docs.withColumn("doc", F.explode(F.array(doc))).withColumns(
         {"format": F.col("doc.format"), "streams": streams, "header_ok": F.col("doc.format").isNotNull()}
     ).drop("doc", "text")
 
