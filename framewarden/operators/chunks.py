@@ -82,7 +82,7 @@ def running(
     ``specs`` maps an output name to ``(op, column)`` with op one of ``max``,
     ``min``, ``sum``, ``last`` (last non-null).  ``order`` must be unique within
     the keys and non-decreasing in ``chunk``.  ``summary_from`` may name a
-    cheaper source with the same per-chunk totals.
+    cheaper source with the same per-chunk totals; it must hold every chunk.
     """
     parts = [*keys, chunk]
     source = df if summary_from is None else summary_from

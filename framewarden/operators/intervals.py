@@ -260,9 +260,12 @@ def severity_heatmap(events: DataFrame, keys: Sequence[str] = ("file_id",), bins
         .withColumns({f"d{s}": F.coalesce(f"d{s}", F.lit(0)) for s in _SCORES})
         .withColumn("_chunk", index_chunk("bin", bins_per_chunk))
     )
+    # Totals per chunk; the empty rows keep chunks in which nothing starts or ends.
+    totals = deltas.withColumn("_chunk", index_chunk("bin", bins_per_chunk)).drop("bin").unionByName(
+        chunks.select(*keys, "_chunk", *[F.lit(0).cast("long").alias(f"d{s}") for s in _SCORES])
+    )
     open_now = running(
-        line, keys, "_chunk", ["bin"], {f"o{s}": ("sum", f"d{s}") for s in _SCORES},
-        summary_from=deltas.withColumn("_chunk", index_chunk("bin", bins_per_chunk)),
+        line, keys, "_chunk", ["bin"], {f"o{s}": ("sum", f"d{s}") for s in _SCORES}, summary_from=totals
     )
     level = F.coalesce(
         *[F.when(F.col(f"o{s}") + F.col(f"d{s}") > 0, F.lit(s)) for s in sorted(_SCORES, reverse=True)], F.lit(0)

@@ -43,9 +43,14 @@ def _worst(status: Column, ranks: dict[str, int], floor: int, order: str) -> Col
     return out.otherwise("PASSED")
 
 
+def overall_status_of(order: str = "ord") -> Column:
+    """The aggregate behind :func:`overall_status`."""
+    return _worst(reported_status(), MODULE_RANKS, 0, order)
+
+
 def overall_status(reports: DataFrame, keys: Sequence[str] = ("file_id",), order: str = "ord") -> DataFrame:
     """Verdict of a file: its worst module, the first one among equals."""
-    return reports.groupBy(*keys).agg(_worst(reported_status(), MODULE_RANKS, 0, order).alias("overall_status"))
+    return reports.groupBy(*keys).agg(overall_status_of(order).alias("overall_status"))
 
 
 def segment_worst_status(segments: DataFrame, keys: Sequence[str] = ("file_id",), order: str = "ord") -> DataFrame:

@@ -23,6 +23,7 @@ from ..operators import lag
 from ..operators.density import broadcast_bursts
 from ..operators.intervals import overlap_anti_join, pair_start_end
 from ..profiles import join_profile, setting
+from ..session import settle
 
 EVENT_COLUMNS = ("type", "start_time", "end_time", "severity", "details")
 
@@ -83,7 +84,7 @@ def frames_report(t: Tables, fps: float = 25.0, max_changed: int = 50) -> tuple[
     frames = t["frames"]
     # Pixels travel once; the times join the narrow flags afterwards.
     flags = fr.mark_duplicates(t["pixels"].select("file_id", "frame_idx", "px"), max_changed)
-    marked = flags.join(frames.select("file_id", "frame_idx", "pts_us"), ["file_id", "frame_idx"])
+    marked = settle(flags.join(frames.select("file_id", "frame_idx", "pts_us"), ["file_id", "frame_idx"]).drop("width"))
     drift = fr.max_pts_drift(frames, fps)
     events = _events(
         "validate_frames", errors, fr.frame_gaps(frames, fps), fr.freeze_runs(marked, fps), fr.drift_events(drift)
@@ -125,7 +126,7 @@ def check_black_freeze(t: Tables, mode: str = "strict") -> Outcome:
         .when(F.col("type") == "fade_out", F.lit("Intentional Fade-Out detected."))
         .otherwise(F.concat(F.lit("Unexpected Black Screen for "), F.col("duration").cast("string"), F.lit("s.")))
     )
-    frozen = pair_start_end(L.parse_freeze(t["logs"]), ["file_id"])
+    frozen = pair_start_end(settle(L.parse_freeze(t["logs"]).select("file_id", "line_no", "kind", "at")), ["file_id"])
     length = F.round(F.col("end_time") - F.col("start_time"), 2).cast("string")
     frozen = frozen.withColumns({
         "type": F.lit("video_freeze"),
@@ -167,10 +168,11 @@ def artifacts_report(t: Tables, profiles: DataFrame, profile: str | Column = "st
 
 def audio_signal_report(t: Tables) -> tuple[DataFrame, DataFrame]:
     """``logs`` of the source, ``mono_logs`` of the channel sum, ``channels`` per file."""
-    source = L.parse_silence(t["logs"])
+    # The few parsed silences are read by several branches, the logs only once.
+    source = settle(L.parse_silence(t["logs"]).select("file_id", "start", "end"))
     live = t["channels"].where(F.col("channels") > 0).select("file_id")
     stereo = t["channels"].where(F.col("channels") >= 2).select("file_id")
-    mono = L.parse_silence(t["mono_logs"]).join(stereo, "file_id", "left_semi")
+    mono = settle(L.parse_silence(t["mono_logs"]).select("file_id", "start", "end").join(stereo, "file_id", "left_semi"))
     length = F.format_string("%.2f", F.col("end") - F.col("start"))
     dropouts = source.join(live, "file_id", "left_semi").select(
         "file_id", F.lit("audio_dropout").alias("type"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.events import collect_events, normalize_event_time
 from ..operators.intervals import stitch_events
 from ..operators.segments import join_segment_offset, merge_segment_details, shift_times, tag_origin
-from ..operators.verdicts import escalate, overall_status, reported_status, segment_summary, segment_worst_status
+from ..operators.verdicts import escalate, overall_status_of, reported_status, segment_summary, segment_worst_status
 from ..profiles import governance
 
 
@@ -35,15 +35,14 @@ def master_report(reports: DataFrame, events: DataFrame, profiles: DataFrame, to
     """``reports``: ``file_id, ord, module, status, effective_status, profile``;
     ``events``: ``file_id, ord, type, start_time, end_time, severity, details``."""
     stitched = stitch_events(events, tolerance)
-    verdicts = reports.groupBy("file_id").agg(
-        F.min("profile").alias("profile"), F.count_distinct("module").alias("n_modules")
+    verdicts = reports.groupBy("file_id", "profile").agg(
+        overall_status_of("ord").alias("overall_status"), F.count_distinct("module").alias("n_modules")
     )
     counts = stitched.groupBy("file_id").agg(
         F.count(F.lit(1)).alias("n_events"), F.min("start_time").alias("first_event"), F.max("end_time").alias("last_event")
     )
     files = (
         governance(verdicts, profiles)
-        .join(overall_status(reports), "file_id")
         .join(counts, "file_id", "left")
         .withColumn("n_events", F.coalesce("n_events", F.lit(0)))
     )

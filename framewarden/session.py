@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "framewarden", cpus: int | str = 8) -> SparkSession:
@@ -38,3 +38,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named)
     elif sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="framewarden-"))
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Keep an expensive narrow result that several branches read.
+
+    Written to the reliable checkpoint folder, so it outlives lost executors.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -191,6 +191,8 @@ def test_severity_heatmap(spark):
             evs.append((s, s + rnd.choice([-3.0, 0.0, 0.5, 4.0, 30.0]), rnd.choice([0, 1, 2, 3, 5])))
         if f == 2:
             evs = [(0.0, 0.0, 2)]
+        if f == 1:  # one long event over chunks in which nothing starts
+            evs = [(3.0, 70.0, 3), (1.0, 2.0, 5)]
         last = max(e for _, e, _ in evs)
         n = int(10 if last <= 0 else last) + 1
         bins = [0] * n
