@@ -196,30 +196,32 @@ SEVERITIES = ("UNKNOWN", "MILD", "MODERATE", "SEVERE")
 
 
 def stitch_ml_events(
-    scored: DataFrame, min_duration: float | Column = 1.0, gap: float = 1.5, keys: Sequence[str] = KEYS,
+    scored: DataFrame, min_duration: float | str = 1.0, gap: float = 1.5, keys: Sequence[str] = KEYS,
     width: float = 600.0,
 ) -> DataFrame:
     """Join scored frames that are not clean into artifact events.
 
     Input: ``keys, ts, ord, score, severity``.  An event takes its first frame's
     severity and is raised to SEVERE by any severe frame; short ones are dropped
-    unless severe.  Scores have two decimals and are summed as whole hundredths,
+    unless severe.  ``min_duration`` is a number or a column of the file's own.  Scores have two decimals and are summed as whole hundredths,
     so the average does not depend on how the rows were spread.
     """
     dirty = scored.where(F.col("severity") != "CLEAN")
     # Numbered, so that the aggregates below stay hash-based.
     level = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
-    points = dirty.withColumn("_level", level).groupBy(*keys, "ts").agg(
+    least = F.col(min_duration) if isinstance(min_duration, str) else F.lit(float(min_duration))
+    points = dirty.withColumns({"_level": level, "_least": least}).groupBy(*keys, "ts").agg(
         F.min_by("_level", "ord").alias("first"),
         F.bool_or(F.col("severity") == "SEVERE").alias("severe"),
         F.sum(F.round(F.col("score") * 100).cast("long")).alias("cents"),
         F.count(F.lit(1)).alias("n"),
         F.max("score").alias("peak"),
+        F.max("_least").alias("least"),
     )
     joined = gap_islands(
         points, keys, "ts", gap,
         {"first": ("first", "first"), "severe": ("any", "severe"), "cents": ("sum", "cents"), "n": ("sum", "n"),
-         "peak": ("max", "peak")},
+         "peak": ("max", "peak"), "least": ("max", "least")},
         width,
     )
     named = F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("first").cast("int"))
@@ -227,7 +229,7 @@ def stitch_ml_events(
     average = F.col("cents") / (F.col("n") * 100)
     return (
         joined.withColumn("severity", severity)
-        .where((F.col("end_at") - F.col("start_at") >= min_duration) | F.col("severe"))
+        .where((F.col("end_at") - F.col("start_at") >= F.col("least")) | F.col("severe"))
         .select(
             *keys,
             F.lit("compression_artifact_ml").alias("type"),

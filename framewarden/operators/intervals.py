@@ -144,7 +144,11 @@ def overlap_anti_join(
         .unionByName(walls.select(*keys, "_pos", F.lit(1).alias("_kind"), "_reach"))
         .withColumn("_chunk", time_chunk("_pos", width))
     )
-    seen = running(line, keys, "_chunk", ["_pos", "_kind"], {"_seen": ("max", "_reach")})
+    # Chunk totals straight from the intervals, combined on the map side.
+    raw = right.select(*keys, time_chunk(start, width).alias("_chunk"), F.col(end).alias("_reach")).unionByName(
+        left.select(*keys, time_chunk(end, width).alias("_chunk"), F.lit(None).cast("double").alias("_reach"))
+    )
+    seen = running(line, keys, "_chunk", ["_pos", "_kind"], {"_seen": ("max", "_reach")}, summary_from=raw)
     answers = seen.where(F.col("_kind") == 0).select(*keys, F.col("_pos").alias(end), "_seen")
     return (
         left.join(answers, [*keys, end], "left")
@@ -255,10 +259,17 @@ def severity_heatmap(events: DataFrame, keys: Sequence[str] = ("file_id",), bins
             )
         ).alias("bin"),
     )
+    # One empty row per second plus the changes, placed by chunk once; the sums
+    # and the running totals below reuse that placement.
+    d = [f"d{s}" for s in _SCORES]
+    zero = F.lit(0).cast("long")
     line = (
-        grid.join(deltas, [*keys, "bin"], "left")
-        .withColumns({f"d{s}": F.coalesce(f"d{s}", F.lit(0)) for s in _SCORES})
+        grid.select(*keys, "bin", *[zero.alias(c) for c in d], F.lit(1).alias("_in"))
+        .unionByName(deltas.select(*keys, "bin", *d, F.lit(0).alias("_in")))
         .withColumn("_chunk", index_chunk("bin", bins_per_chunk))
+        .repartition(*keys, "_chunk")
+        .groupBy(*keys, "_chunk", "bin")
+        .agg(*[F.sum(c).alias(c) for c in d], F.max("_in").alias("_in"))
     )
     # Totals per chunk; the empty rows keep chunks in which nothing starts or ends.
     totals = deltas.withColumn("_chunk", index_chunk("bin", bins_per_chunk)).drop("bin").unionByName(
@@ -270,7 +281,7 @@ def severity_heatmap(events: DataFrame, keys: Sequence[str] = ("file_id",), bins
     level = F.coalesce(
         *[F.when(F.col(f"o{s}") + F.col(f"d{s}") > 0, F.lit(s)) for s in sorted(_SCORES, reverse=True)], F.lit(0)
     )
-    return open_now.select(*keys, "bin", level.alias("level"))
+    return open_now.where(F.col("_in") == 1).select(*keys, "bin", level.alias("level"))
 
 
 # Values max(1, severity score) can take.

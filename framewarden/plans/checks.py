@@ -160,7 +160,7 @@ def artifacts_report(t: Tables, profiles: DataFrame, profile: str | Column = "st
         .withColumn("min_duration", setting("min_duration_sec"))
         .select("file_id", "min_duration", "ts", "ord", "score", "severity")
     )
-    stitched = fr.stitch_ml_events(scored, F.col("min_duration"), keys=("file_id", "min_duration"))
+    stitched = fr.stitch_ml_events(scored, "min_duration")
     events = _events("validate_artifacts", video.bitrate_events(t["bitrates"]), stitched)
     files = t["bitrates"].select("file_id").join(video.quality_metrics(scored), "file_id", "left")
     return video.artifact_status(files, events), events

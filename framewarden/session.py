@@ -20,6 +20,8 @@ def build_session(app: str = "framewarden", cpus: int | str = 8) -> SparkSession
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(cpus))
+        # Test tables are small: let a shuffle of 1 MB still use all cores.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "96k")
         .config("spark.driver.memory", os.environ.get("FRAMEWARDEN_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
