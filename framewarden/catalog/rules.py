@@ -106,15 +106,19 @@ _CROP = """with c as (select *, act_w * act_h / (width * height) as share, 100.0
        case when pct > 1.0e0 and share < 0.75e0 then 1 else 0 end as small_area from c""",
 )
 def active_area_check(crops):
-    checked = picture.active_area_check(crops, F.col("mode")).select("file_id", "status")
-    seen = picture.active_area_events(crops).groupBy("file_id").pivot(
-        "type", ["letterbox_detected", "pillarbox_detected", "small_active_area"]
-    ).agg(F.count(F.lit(1)))
-    flag = lambda c, n: F.coalesce(F.col(c), F.lit(0)).cast("int").alias(n)
-    return checked.join(seen, "file_id", "left").select(
-        "file_id", "status", flag("letterbox_detected", "letterbox"), flag("pillarbox_detected", "pillarbox"),
-        flag("small_active_area", "small_area"),
-    )
+    found = {n: c.cast("int") for n, c in picture.active_area_findings().items()}
+    checked = picture.active_area_check(crops, F.col("mode")).withColumns(found)
+    return checked.select("file_id", "status", *found)
+
+
+@query(
+    "active_area_events", "crops",
+    sql=f"""{_CROP} select file_id, 'letterbox_detected' as type from c where pct > 1.0e0 and act_h < height * 0.99e0
+       union all select file_id, 'pillarbox_detected' from c where pct > 1.0e0 and act_w < width * 0.99e0
+       union all select file_id, 'small_active_area' from c where pct > 1.0e0 and share < 0.75e0""",
+)
+def active_area_events(crops):
+    return picture.active_area_events(crops).select("file_id", "type")
 
 
 _LOUD = f"""with l as (select l.file_id, l.profile, l.integrated_lufs as v, l.true_peak,

@@ -154,8 +154,7 @@ def astats(logs):
        from j where j is not null""",
 )
 def loudnorm(docs):
-    parsed = docs.select("file_id", L.parse_loudnorm(F.col("log")).alias("m"))
-    return parsed.where(F.col("m").isNotNull()).select("file_id", "m.*")
+    return L.parse_loudnorm(docs)
 
 
 @query(

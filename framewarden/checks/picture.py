@@ -107,24 +107,26 @@ def active_area_check(df: DataFrame, mode: Column | str, tolerance_pct: float =
     return blanking(df).withColumn("status", F.when(is_strict(mode) & small, REJECTED).otherwise(before))
 
 
-def active_area_events(df: DataFrame, tolerance_pct: float = 1.0) -> DataFrame:
+def active_area_findings(tolerance_pct: float = 1.0) -> dict[str, Column]:
+    """What the blanking of a file amounts to; needs :func:`blanking`'s columns."""
     over = F.col("blanking_pct") > tolerance_pct
-    share = F.col("active_share")
+    yes = lambda c: F.coalesce(over & c, F.lit(False))
+    return {
+        "letterbox": yes(F.col("act_h") < F.col("height") * 0.99),
+        "pillarbox": yes(F.col("act_w") < F.col("width") * 0.99),
+        "small_area": yes(F.col("active_share") < 0.75),
+    }
+
+
+def active_area_events(df: DataFrame, tolerance_pct: float = 1.0) -> DataFrame:
+    found = active_area_findings(tolerance_pct)
     return list_events(
         blanking(df),
-        F.when(
-            over & (F.col("act_h") < F.col("height") * 0.99),
-            event("letterbox_detected", F.format_string(
-                "Content is letterboxed. Active height %d < %d (Blanking: %.1f%%)", "act_h", "height", "blanking_pct")),
-        ),
-        F.when(
-            over & (F.col("act_w") < F.col("width") * 0.99),
-            event("pillarbox_detected", F.format_string(
-                "Content is pillarboxed. Active width %d < %d (Blanking: %.1f%%)", "act_w", "width", "blanking_pct")),
-        ),
-        F.when(
-            over & (share < 0.75),
-            event("small_active_area", F.format_string(
-                "Active video uses only %d%% of canvas. 'Postage stamp' artifact.", (share * 100).cast("long"))),
-        ),
+        F.when(found["letterbox"], event("letterbox_detected", F.format_string(
+            "Content is letterboxed. Active height %d < %d (Blanking: %.1f%%)", "act_h", "height", "blanking_pct"))),
+        F.when(found["pillarbox"], event("pillarbox_detected", F.format_string(
+            "Content is pillarboxed. Active width %d < %d (Blanking: %.1f%%)", "act_w", "width", "blanking_pct"))),
+        F.when(found["small_area"], event("small_active_area", F.format_string(
+            "Active video uses only %d%% of canvas. 'Postage stamp' artifact.",
+            (F.col("active_share") * 100).cast("long")))),
     )

@@ -15,14 +15,14 @@ from .operators.chunks import index_chunk, numbered, time_chunk
 SPARK = {
     "$US": "(unix_micros(cast(ts as timestamp)) - unix_micros(timestamp '2024-01-01 00:00:00'))",
     "$DIV": "div",
-    "$PX": "transform(embedding, x -> greatest(0, least(255, cast(floor(128 + 4 * x) as int))))",
-    "$HOT": "transform(embedding, x -> greatest(0, least(255, cast(floor(128 + 400 * x) as int))))",
+    "$PX": "transform(embedding, x -> greatest(0, least(255, cast(floor(128 + 4 * cast(x as double)) as int))))",
+    "$HOT": "transform(embedding, x -> greatest(0, least(255, cast(floor(128 + 400 * cast(x as double)) as int))))",
 }
 DUCK = {
     "$US": "(epoch_us(ts) - epoch_us(timestamp '2024-01-01'))",
     "$DIV": "//",
-    "$PX": "list_transform(embedding, lambda x: greatest(0, least(255, cast(floor(128 + 4 * x) as int))))",
-    "$HOT": "list_transform(embedding, lambda x: greatest(0, least(255, cast(floor(128 + 400 * x) as int))))",
+    "$PX": "list_transform(embedding, lambda x: greatest(0, least(255, cast(floor(128 + 4 * cast(x as double)) as int))))",
+    "$HOT": "list_transform(embedding, lambda x: greatest(0, least(255, cast(floor(128 + 400 * cast(x as double)) as int))))",
 }
 
 _SEC = "printf('%d.%02d', {0} $DIV 100, {0} % 100)"

@@ -136,16 +136,21 @@ def cap_per_type(events: DataFrame, most: int = 10) -> DataFrame:
 LOUDNORM_FIELDS = ("input_i", "input_tp", "input_lra", "input_thresh")
 
 
-def parse_loudnorm(log: Column) -> Column:
-    """The JSON between the last ``{`` and the last ``}`` of a whole log.
+def parse_loudnorm(docs: DataFrame, text: str = "log") -> DataFrame:
+    """Measured values from the JSON between the last ``{`` and the last ``}`` of each log.
 
-    Numbers arrive as strings.  Null when there is no such block.
+    Numbers arrive as strings; logs without such a block are left out.  Each step
+    passes through explode, which keeps it from being repeated per field.
     """
-    n = F.length(log)
-    left, right = F.instr(F.reverse(log), "{"), F.instr(F.reverse(log), "}")
-    text = F.when((left > 0) & (right > 0) & (right < left), F.substr(log, n - left + 1, left - right + 1))
-    raw = F.from_json(text, "struct<" + ",".join(f"{f}:string" for f in LOUDNORM_FIELDS) + ">")
-    return F.when(raw.isNotNull(), F.struct(*[raw[f].try_cast("double").alias(f) for f in LOUDNORM_FIELDS]))
+    once = lambda df, name, value: df.withColumn(name, F.explode(F.array(value)))
+    n = F.length(text)
+    ends = docs.withColumns({"_l": F.instr(F.reverse(text), "{"), "_r": F.instr(F.reverse(text), "}")}).where(
+        (F.col("_r") > 0) & (F.col("_r") < F.col("_l"))
+    )
+    block = F.substr(F.col(text), n - F.col("_l") + 1, F.col("_l") - F.col("_r") + 1)
+    raw = F.from_json("_block", "struct<" + ",".join(f"{f}:string" for f in LOUDNORM_FIELDS) + ">")
+    parsed = once(once(ends, "_block", block), "_m", raw).where(F.col("_m").isNotNull())
+    return parsed.select("file_id", *[F.col(f"_m.{f}").try_cast("double").alias(f) for f in LOUDNORM_FIELDS])
 
 
 def parse_progress(logs: DataFrame) -> DataFrame:
