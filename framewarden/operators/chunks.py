@@ -158,3 +158,20 @@ def with_lookback(df: DataFrame, ts: str, reach: int, width: int) -> DataFrame:
         .withColumn("_own", F.col("_copy") == 0)
         .drop("_copy")
     )
+
+
+SALTS = 32
+
+
+def spread_join(
+    df: DataFrame, per_key: DataFrame, keys: Sequence[str], by: str, how: str = "inner", salts: int = SALTS
+) -> DataFrame:
+    """Join many rows to a table with one row per key, without gathering a hot key.
+
+    Each key's single row is repeated per salt and the rows are spread over the
+    salts by ``by``, so a key that holds a third of them still lands in many
+    tasks.  If the table turns out small, adaptive execution broadcasts it.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

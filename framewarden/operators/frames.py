@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quality import abs_difference, changed_samples, field, field_sums, psnr, ssim
-from .chunks import CHUNK_ROWS, with_previous
+from .chunks import CHUNK_ROWS, spread_join, with_previous
 from .islands import consecutive_runs, gap_islands
 
 KEYS = ("file_id",)
@@ -77,7 +77,7 @@ def freeze_runs(
     last = marked.groupBy(*keys).agg(F.max("frame_idx").alias("_last"))
     start, end = F.col("start_us") / 1e6, F.col("end_us") / 1e6
     return (
-        runs.join(last, list(keys))
+        spread_join(runs, last, keys, "first_idx")
         .where((F.col("last_idx") < F.col("_last")) & (end - start > 2.0 / rate))
         .select(
             *keys,

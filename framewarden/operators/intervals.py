@@ -218,40 +218,30 @@ def severity_heatmap(events: DataFrame, keys: Sequence[str] = ("file_id",), bins
     top = events.groupBy(*keys).agg(F.max("end_time").alias("_max")).select(
         *keys, (F.when(F.col("_max") <= 0, F.lit(10.0)).otherwise(F.col("_max"))).cast("long").alias("_last")
     )
+    first, last = F.greatest(F.lit(0), F.col("start_time").cast("long")), F.greatest(F.lit(0), F.col("end_time").cast("long"))
+    marks = F.when(
+        first <= last,
+        F.array(
+            F.struct(first.alias("bin"), F.lit(1).alias("d"), F.lit(0).alias("x")),
+            F.struct((last + 1).alias("bin"), F.lit(-1).alias("d"), F.lit(0).alias("x")),
+        ),
+        # Ends before it starts: counts only where both are cut back to the last
+        # second, which the grid knows.
+    ).otherwise(F.array(F.struct(last.alias("bin"), F.lit(0).alias("d"), F.lit(1).alias("x"))))
     score = F.greatest(F.lit(1), F.col("severity_score"))
-    # Equal spans are combined first; only then does the file's extent join in.
-    spans = (
-        events.select(
-            *keys, F.col("start_time").cast("long").alias("_s"), F.col("end_time").cast("long").alias("_e"),
-            score.alias("_score"),
-        )
-        .distinct()
-        .join(top, keys)
-        .select(
-            *keys, "_score",
-            F.greatest(F.lit(0), F.least("_s", "_last")).alias("_s"),
-            F.greatest(F.lit(0), F.least("_e", "_last")).alias("_e"),
-        )
-        .where(F.col("_s") <= F.col("_e"))
-    )
+    per_score = lambda n, c: [
+        F.sum(F.when(F.col("_score") == s, F.col(c)).otherwise(0)).alias(f"{n}{s}") for s in _SCORES
+    ]
+    changes = events.select(*keys, score.alias("_score"), F.explode(marks).alias("_m"))
     deltas = (
-        spans.select(
-            *keys, "_score",
-            F.explode(
-                F.array(
-                    F.struct(F.col("_s").alias("bin"), F.lit(1).alias("d")),
-                    F.struct((F.col("_e") + 1).alias("bin"), F.lit(-1).alias("d")),
-                )
-            ).alias("_x"),
-        )
-        .groupBy(*keys, F.col("_x.bin").alias("bin"))
-        .agg(*[F.sum(F.when(F.col("_score") == s, F.col("_x.d")).otherwise(0)).alias(f"d{s}") for s in _SCORES])
+        changes.groupBy(*keys, F.col("_m.bin").alias("bin"))
+        .agg(*per_score("d", "_m.d"), *per_score("x", "_m.x"))
     )
     chunks = top.select(
         *keys, "_last", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / bins_per_chunk))).alias("_chunk")
     )
     grid = chunks.select(
-        *keys,
+        *keys, "_last",
         F.explode(
             F.sequence(
                 F.col("_chunk") * bins_per_chunk,
@@ -261,27 +251,37 @@ def severity_heatmap(events: DataFrame, keys: Sequence[str] = ("file_id",), bins
     )
     # One empty row per second plus the changes, placed by chunk once; the sums
     # and the running totals below reuse that placement.
-    d = [f"d{s}" for s in _SCORES]
+    d = [f"{n}{s}" for n in "dx" for s in _SCORES]
+    # 2 marks a file's last second, 0 a change beyond it.
+    place = F.when(F.col("bin") == F.col("_last"), 2).otherwise(1)
     zero = F.lit(0).cast("long")
     line = (
-        grid.select(*keys, "bin", *[zero.alias(c) for c in d], F.lit(1).alias("_in"))
+        grid.select(*keys, "bin", *[zero.alias(c) for c in d], place.alias("_in"))
         .unionByName(deltas.select(*keys, "bin", *d, F.lit(0).alias("_in")))
         .withColumn("_chunk", index_chunk("bin", bins_per_chunk))
         .repartition(*keys, "_chunk")
         .groupBy(*keys, "_chunk", "bin")
         .agg(*[F.sum(c).alias(c) for c in d], F.max("_in").alias("_in"))
     )
-    # Totals per chunk; the empty rows keep chunks in which nothing starts or ends.
-    totals = deltas.withColumn("_chunk", index_chunk("bin", bins_per_chunk)).drop("bin").unionByName(
-        chunks.select(*keys, "_chunk", *[F.lit(0).cast("long").alias(f"d{s}") for s in _SCORES])
-    )
+    # Chunk totals straight from the events, combined on the map side; the empty
+    # rows keep chunks in which nothing starts or ends.
+    totals = changes.select(
+        *keys, F.floor(F.col("_m.bin") / bins_per_chunk).alias("_chunk"),
+        *[F.when(F.col("_score") == s, F.col("_m.d")).otherwise(0).alias(f"d{s}") for s in _SCORES],
+    ).unionByName(chunks.select(*keys, "_chunk", *[F.lit(0).alias(f"d{s}") for s in _SCORES]))
     open_now = running(
         line, keys, "_chunk", ["bin"], {f"o{s}": ("sum", f"d{s}") for s in _SCORES}, summary_from=totals
     )
     level = F.coalesce(
-        *[F.when(F.col(f"o{s}") + F.col(f"d{s}") > 0, F.lit(s)) for s in sorted(_SCORES, reverse=True)], F.lit(0)
+        *[
+            F.when(
+                (F.col(f"o{s}") + F.col(f"d{s}") > 0) | ((F.col("_in") == 2) & (F.col(f"x{s}") > 0)), F.lit(s)
+            )
+            for s in sorted(_SCORES, reverse=True)
+        ],
+        F.lit(0),
     )
-    return open_now.where(F.col("_in") == 1).select(*keys, "bin", level.alias("level"))
+    return open_now.where(F.col("_in") > 0).select(*keys, "bin", level.alias("level"))
 
 
 # Values max(1, severity score) can take.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.quality import abs_difference
-from .chunks import CHUNK_ROWS, with_previous
+from .chunks import CHUNK_ROWS, spread_join, with_previous
 
 # Audio sample rate, samples per step, analysed stretch in seconds.
 SAMPLE_RATE = 22050
@@ -26,7 +26,7 @@ def max_normalise(df: DataFrame, column: str, keys: Sequence[str] = ("file_id",)
     """Divide a column by its largest value per file when that is above 0."""
     top = df.groupBy(*keys).agg(F.max(column).alias("_top"))
     scaled = F.when(F.col("_top") > 0, F.col(column) / F.col("_top")).otherwise(F.col(column).cast("double"))
-    return df.join(top, list(keys)).withColumn(column, scaled).select(*df.columns)
+    return spread_join(df, top, keys, column).withColumn(column, scaled).select(*df.columns)
 
 
 def motion_energy(pixels: DataFrame, keys: Sequence[str] = ("file_id",), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -72,7 +72,7 @@ def xcorr_lag(
     """
     if tail:
         last = series.groupBy(*keys).agg(F.max("i").alias("_last"))
-        part = series.join(last, list(keys)).where(
+        part = spread_join(series, last, keys, "i").where(
             (F.col("_last") + 1 > 2 * window) & (F.col("i") > F.col("_last") - window)
         )
     else:

@@ -20,6 +20,7 @@ from ..functions import logs as L
 from ..functions.quality import classify_severity
 from ..operators import frames as fr
 from ..operators import lag
+from ..operators.chunks import spread_join
 from ..operators.density import broadcast_bursts
 from ..operators.intervals import overlap_anti_join, pair_start_end
 from ..profiles import join_profile, setting
@@ -120,7 +121,7 @@ def check_signal(t: Tables, mode: str = "strict") -> Outcome:
 def check_black_freeze(t: Tables, mode: str = "strict") -> Outcome:
     """``logs`` and ``durations`` (``file_id, duration_sec``)."""
     name = "validate_black_freeze"
-    black = video.fade_classify(L.parse_black(t["logs"]).join(t["durations"], "file_id"))
+    black = video.fade_classify(spread_join(L.parse_black(t["logs"]), t["durations"], ["file_id"], "line_no"))
     words = (
         F.when(F.col("type") == "fade_in", F.lit("Intentional Fade-In detected."))
         .when(F.col("type") == "fade_out", F.lit("Intentional Fade-Out detected."))
@@ -172,9 +173,11 @@ def audio_signal_report(t: Tables) -> tuple[DataFrame, DataFrame]:
     source = settle(L.parse_silence(t["logs"]).select("file_id", "start", "end"))
     live = t["channels"].where(F.col("channels") > 0).select("file_id")
     stereo = t["channels"].where(F.col("channels") >= 2).select("file_id")
-    mono = settle(L.parse_silence(t["mono_logs"]).select("file_id", "start", "end").join(stereo, "file_id", "left_semi"))
+    mono = settle(
+        spread_join(L.parse_silence(t["mono_logs"]), stereo, ["file_id"], "line_no", "left_semi").select("file_id", "start", "end")
+    )
     length = F.format_string("%.2f", F.col("end") - F.col("start"))
-    dropouts = source.join(live, "file_id", "left_semi").select(
+    dropouts = spread_join(source, live, ["file_id"], "start", "left_semi").select(
         "file_id", F.lit("audio_dropout").alias("type"),
         F.concat(F.lit("Audio Silence detected ("), length, F.lit("s).")).alias("details"),
         F.col("start").alias("start_time"), F.col("end").alias("end_time"),

@@ -192,7 +192,7 @@ def test_severity_heatmap(spark):
         if f == 2:
             evs = [(0.0, 0.0, 2)]
         if f == 1:  # one long event over chunks in which nothing starts
-            evs = [(3.0, 70.0, 3), (1.0, 2.0, 5)]
+            evs = [(3.0, 70.0, 3), (1.0, 2.0, 5), (90.0, 70.5, 5), (95.0, 20.0, 5)]
         last = max(e for _, e, _ in evs)
         n = int(10 if last <= 0 else last) + 1
         bins = [0] * n
