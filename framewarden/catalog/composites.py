@@ -12,7 +12,7 @@ from ..plans.master import master_report, merged_segments_flat, report_events, s
 from ..profiles import config_hash, profiles_table
 from . import query
 from .aggregates import (
-    CAL_SQL, CROP_SQL, DESCRIBED_SQL, DUP_SQL, FIELD_COLUMNS, FIELD_SQL, VALUES_SQL, rounded_fields, segment_values,
+    CAL_SQL, CROP_SQL, DESCRIBED_SQL, DUP_SQL, FIELD_COLUMNS, FIELD_SQL, HEAT_SQL, ISSUE_SQL, VALUES_SQL, rounded_fields, segment_values,
 )
 from .joins import GRADE_SQL, SERIES_SQL, STEP_SQL, _best_sql, cases, hourly
 from .ordering import COLLECTED_SQL, documents
@@ -239,6 +239,27 @@ def dashboard(worded):
     return bars.select("file_id", "ord", "category", "human_name", "start_time", "viz_duration", "severity_score")
 
 
+@query(
+    "dashboard_tables", "worded",
+    sql=f"""with {DESCRIBED_SQL}, {ISSUE_SQL}, {HEAT_SQL},
+       b as (select file_id, count(*) as n_bars from described group by 1),
+       i as (select file_id, count(*) as n_issues, count(*) filter (is_fail) as n_fail from issues group by 1),
+       h as (select file_id, count(*) as seconds, count(*) filter (level = 5) as critical_seconds, count(*) filter (level = 0) as clean_seconds from heat group by 1)
+       select b.*, n_issues, n_fail, seconds, critical_seconds, clean_seconds from b join i on i.file_id = b.file_id join h on h.file_id = b.file_id""",
+)
+def dashboard_tables(worded):
+    """Size of each file's three dashboard tables."""
+    tables = D.dashboard_tables(worded)
+    n = F.count(F.lit(1))
+    bars = tables["timeline"].groupBy("file_id").agg(n.alias("n_bars"))
+    issues = tables["issues"].groupBy("file_id").agg(n.alias("n_issues"), F.count_if("is_fail").alias("n_fail"))
+    heat = tables["heatmap"].groupBy("file_id").agg(
+        n.alias("seconds"), F.count_if(F.col("level") == 5).alias("critical_seconds"),
+        F.count_if(F.col("level") == 0).alias("clean_seconds"),
+    )
+    return bars.join(issues, "file_id").join(heat, "file_id")
+
+
 @query(
     "calibration_report", "frames", "textured", "logs",
     sql=f"""with {CAL_SQL}, {FIELD_SQL.format('textured')}, {CROP_SQL}

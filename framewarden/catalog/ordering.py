@@ -172,7 +172,7 @@ def registry(frames):
 
 
 @query(
-    "crash_reports", "mixed_reports",
+    "crash_report", "mixed_reports",
     sql="""with m as (select unnest(['validate_0', 'validate_1', 'validate_2', 'validate_3', 'validate_4', 'validate_5']) as module),
        f as (select distinct file_id from mixed_reports)
        select file_id, module, 'CRASHED' as status from f, m where not exists (select 1 from mixed_reports r where r.file_id = f.file_id and r.module = m.module)""",

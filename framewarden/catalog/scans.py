@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,16 +14,14 @@ from ..operators.intervals import stitch_events
 from ..operators.verdicts import overall_status
 from ..plans.master import module_table
 from ..profiles import COLUMNS, profile_values, profiles_table
+from ..session import shared_dir
 from ..sources import readers, writers
 from . import CHECKS, QUERIES, query
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one the cluster names."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        base = tempfile.mkdtemp(prefix="framewarden-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def registered(name: str, *views: str, sql: str | None = None):

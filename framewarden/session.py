@@ -28,18 +28,24 @@ def build_session(app: str = "framewarden", cpus: int | str = 8) -> SparkSession
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    shared_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a temporary one only if unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+def shared_dir(spark: SparkSession) -> str:
+    """Folder for checkpoints and round trips, below the one the cluster names.
+
+    Only a local session without the setting gets a temporary folder.
+    """
     sc = spark.sparkContext
-    if named:
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            named = tempfile.mkdtemp(prefix="framewarden-")
         sc.setCheckpointDir(named)
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="framewarden-"))
+    return sc.getCheckpointDir()
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -47,5 +53,5 @@ def settle(df: DataFrame) -> DataFrame:
 
     Written to the reliable checkpoint folder, so it outlives lost executors.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     return df.checkpoint()
