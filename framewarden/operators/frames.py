@@ -108,10 +108,12 @@ def vrep_runs(
     )
 
 
-def vrep_spike_count(frames: DataFrame, keys: Sequence[str] = KEYS, **options) -> DataFrame:
-    runs = vrep_runs(frames, keys=keys, **options).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+def vrep_spike_count(frames: DataFrame, runs: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Runs per file, 0 included; ``runs`` from :func:`vrep_runs` if at hand."""
+    found = vrep_runs(frames, keys=keys) if runs is None else runs
+    counts = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     files = frames.select(*keys).distinct()
-    return files.join(runs, list(keys), "left").select(*keys, F.coalesce("n", F.lit(0)).alias("vrep_spikes"))
+    return files.join(counts, list(keys), "left").select(*keys, F.coalesce("n", F.lit(0)).alias("vrep_spikes"))
 
 
 def timeseries_thin(frames: DataFrame, above: float = 2.0, keys: Sequence[str] = KEYS) -> DataFrame:

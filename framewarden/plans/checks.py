@@ -1,5 +1,8 @@
 """Whole checks: from measurement tables to verdicts and events, and their registry.
 
+Findings are few next to the measurements and feed both results, so the costly
+ones are settled once instead of being found twice.
+
 Every check takes the tables it needs and returns ``Outcome(verdicts, events)``:
 verdicts ``file_id, module, status, effective_status`` and events ``file_id,
 module, type, start_time, end_time, severity, details``.
@@ -87,9 +90,9 @@ def frames_report(t: Tables, fps: float = 25.0, max_changed: int = 50) -> tuple[
     flags = fr.mark_duplicates(t["pixels"].select("file_id", "frame_idx", "px"), max_changed)
     marked = settle(flags.join(frames.select("file_id", "frame_idx", "pts_us"), ["file_id", "frame_idx"]).drop("width"))
     drift = fr.max_pts_drift(frames, fps)
-    events = _events(
+    events = settle(_events(
         "validate_frames", errors, fr.frame_gaps(frames, fps), fr.freeze_runs(marked, fps), fr.drift_events(drift)
-    )
+    ))
     files = (
         drift.join(fr.duplicate_count(marked), "file_id", "left")
         .withColumn("duplicate_frame_count", F.coalesce("duplicate_frame_count", F.lit(0)))
@@ -105,15 +108,15 @@ def check_frames(t: Tables, mode: str = "strict") -> Outcome:
 
 def check_analog(t: Tables, mode: str = "strict") -> Outcome:
     name = "validate_analog"
-    counts = fr.vrep_spike_count(t["frames"])
-    runs = fr.vrep_runs(t["frames"])
+    runs = settle(fr.vrep_runs(t["frames"]))
+    counts = fr.vrep_spike_count(t["frames"], runs)
     found = runs.select("file_id", "details", F.col("timestamp").alias("start_time"))
     return Outcome(_verdicts(name, counts.withColumn("status", video.analog_status(F.col("vrep_spikes")))), _events(name, found))
 
 
 def check_signal(t: Tables, mode: str = "strict") -> Outcome:
     name = "validate_signal"
-    bursts = broadcast_bursts(t["frames"], mode)
+    bursts = settle(broadcast_bursts(t["frames"], mode))
     files = video.signal_status(video.signal_metrics(t["frames"]), bursts)
     return Outcome(_verdicts(name, files), _events(name, bursts))
 
@@ -161,7 +164,7 @@ def artifacts_report(t: Tables, profiles: DataFrame, profile: str | Column = "st
         .withColumn("min_duration", setting("min_duration_sec"))
         .select("file_id", "min_duration", "ts", "ord", "score", "severity")
     )
-    stitched = fr.stitch_ml_events(scored, "min_duration")
+    stitched = settle(fr.stitch_ml_events(scored, "min_duration"))
     events = _events("validate_artifacts", video.bitrate_events(t["bitrates"]), stitched)
     files = t["bitrates"].select("file_id").join(video.quality_metrics(scored), "file_id", "left")
     return video.artifact_status(files, events), events
