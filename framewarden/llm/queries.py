@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .mixing import mixed_counts
 from .ngram_jaccard import jaccard_join
 from .pii import personal_data, spelled
 from .toxicity import toxicity
@@ -43,3 +44,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_email", "n_ip", "n_card", "n_phone",
         F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"),
     )
+
+
+@registered("op2_mixing")
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_counts(table(spark, sf_dir, "documents"))
