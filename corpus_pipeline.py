@@ -4,16 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewarden.llm import toxicity
+from framewarden.llm import mixing, ngram_jaccard, pii, sentencepiece, toxicity
 from framewarden.llm.common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones stays: that with the smallest id."""
+    return ngram_jaccard.one_of_each_group(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind; ``n_chars`` is counted anew."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix; one that is read twice is there twice."""
+    return mixing.mix_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return sentencepiece.encode(docs)
+
+
 STAGES = [
     ("toxicity", drop_toxic),
+    ("n-gram jaccard join", drop_near_duplicates),
+    ("pii", redact_personal_data),
+    ("mixing sources to target weights", mix_sources),
+    ("sentencepiece encoding and decoding", encode),
 ]
 
 # Compression lengths, boosted trees, flows and tokenizers are beyond SQL; the

@@ -11,6 +11,7 @@ from .common import table
 from .mixing import mixed_counts
 from .ngram_jaccard import jaccard_join
 from .pii import personal_data, spelled
+from .sentencepiece import encode
 from .toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +50,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op2_mixing")
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_counts(table(spark, sf_dir, "documents"))
+
+
+@registered("op5_sentencepiece")
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
