@@ -13,6 +13,7 @@ from .ngram_jaccard import jaccard_join
 from .pii import personal_data, spelled
 from .sentencepiece import encode
 from .toxicity import toxicity
+from .warc import archived_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -55,3 +56,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op5_sentencepiece")
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
+
+
+@registered("op1_warc")
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages"))
