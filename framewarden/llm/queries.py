@@ -11,6 +11,7 @@ from .common import table
 from .mixing import mixed_counts
 from .ngram_jaccard import jaccard_join
 from .pii import personal_data, spelled
+from .quality import quality
 from .sentencepiece import encode
 from .toxicity import toxicity
 from .warc import archived_pages
@@ -61,3 +62,8 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op1_warc")
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages"))
+
+
+@registered("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
