@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .mixing import mixed_counts
+from .multiset_hash import fingerprints
 from .ngram_jaccard import jaccard_join
 from .pii import personal_data, spelled
 from .quality import quality
@@ -67,3 +68,8 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op6_quality")
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@registered("op8_fingerprints")
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
