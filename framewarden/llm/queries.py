@@ -15,6 +15,8 @@ from .pii import personal_data, spelled
 from .quality import quality
 from .sentencepiece import encode
 from .toxicity import toxicity
+from .url_filters import filter_captures
+from .url_fixture import captures_of, events_of
 from .warc import archived_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +75,43 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op8_fingerprints")
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+
+_OP9_SQL = r"""
+with cut as (
+  select page_id, url, (page_id % 60) * 86400 + (page_id * 7919) % 86400 as ts,
+    lower(regexp_replace(regexp_replace(regexp_replace(
+      regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '\.+$', '')) as host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) as raw
+  from pages),
+p as (select page_id, url, ts, host, case when raw like '/%' then raw else '/' end as path from cut),
+seen as (select distinct host, path from p where host <> ''),
+named as (
+  select distinct 'ads' as list, 'd:' as kind, regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) as name from seen
+  union select 'malware', 'd:', host from seen
+  union select 'adult', 'p:', host || regexp_extract(path, '^(/[^/]*/)', 1) from seen where regexp_matches(path, '^/[^/]*/')),
+summed as (select list, kind || name as entry, cast('0x' || substr(md5(name), 1, 8) as bigint) as c from named where name <> ''),
+entries as (select list, entry, c, (c % 40) * 86400 as t0 from summed
+  where (list = 'ads' and c % 3 = 0) or (list = 'malware' and c % 5 = 1) or (list = 'adult' and c % 4 = 2)),
+spans as (
+  select list, entry, t0 as start, t0 + (1 + c % 11) * 86400 as stop from entries
+  union all select list, entry, t0 + (15 + c % 7) * 86400, 4611686018427387904 from entries where c % 2 = 0),
+labels as (select page_id, ts, host, string_split(host, '.') as l, string_split(path, '/') as f from p where host <> ''),
+keys as (
+  select page_id, ts, 'd:' || array_to_string(l[i:], '.') as entry from labels, unnest(range(1, len(l) + 1)) t(i)
+  union select page_id, ts, 'p:' || host || array_to_string(f[1:i], '/') || '/' from labels, unnest(range(1, len(f))) t(i)),
+hits as (select distinct k.page_id, s.list, s.entry from keys k join spans s on k.entry = s.entry and s.start <= k.ts and k.ts < s.stop)
+select p.page_id as capture_id, p.url, p.ts as fetched_at,
+  coalesce((select string_agg(list, ',' order by list) from (select distinct list from hits h where h.page_id = p.page_id)), '') as lists,
+  coalesce((select string_agg(list || ' ' || entry, ',' order by list || ' ' || entry) from hits h where h.page_id = p.page_id), '') as entries,
+  exists (select 1 from hits h where h.page_id = p.page_id) as blocked
+from p
+"""
+
+
+@registered("op9_url_filters", _OP9_SQL)
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = filter_captures(captures_of(pages), events_of(pages))
+    return found.withColumns({c: F.concat_ws(",", c) for c in ("lists", "entries")})
