@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .licenses import ANCHORS, LEAST, TEMPLATES, as_files, scan_licenses
 from .mixing import mixed_counts
 from .multiset_hash import fingerprints
 from .ngram_jaccard import jaccard_join
@@ -115,3 +116,50 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = filter_captures(captures_of(pages), events_of(pages))
     return found.withColumns({c: F.concat_ws(",", c) for c in ("lists", "entries")})
+
+
+_TEMPLATE_ROWS = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES)
+_OP4_SQL = rf"""
+with files as (
+  select doc_id, text, case doc_id % 8
+    when 0 then source || '/' || lang || '/' || (doc_id % 64) || '/LICENSE.' || doc_id
+    when 1 then source || '/' || lang || '/LICENSE.' || doc_id
+    when 2 then source || '/LICENSE.' || doc_id
+    else source || '/' || lang || '/' || (doc_id % 64) || '/' || doc_id || '.txt' end as path
+  from documents),
+marked as (select *, path like '%LICENSE.%' as is_license from files where regexp_matches(text, '{ANCHORS}')),
+sections as (
+  select distinct path, is_license, trim(line, ' ') as section from marked, unnest(string_split(text, chr(10))) t(line) where regexp_matches(line, '{ANCHORS}')
+  union select path, is_license, trim(text, ' ') from marked where is_license),
+distinct_sections as (select section, count(*) as copies from sections group by section),
+vectors as (select section, copies, term, count(*) as tf
+  from distinct_sections, unnest(regexp_extract_all(lower(section), '[a-z0-9]+(?:\.[0-9]+)*')) t(term) group by all),
+templates(license, template) as (values {_TEMPLATE_ROWS}),
+wanted as (select license, term, count(*) as tf
+  from templates, unnest(regexp_extract_all(lower(template), '[a-z0-9]+(?:\.[0-9]+)*')) t(term) group by all),
+dfs as (select term, sum(copies) as df from (select term, copies from vectors union all select term, 1 from wanted) group by term),
+total as (select (select coalesce(sum(copies), 0) from distinct_sections) + (select count(*) from templates) as n),
+weighed as (select section, term, tf * (ln((1 + n)::double / (1 + df)) + 1) as w from vectors join dfs using (term), total),
+goal as (select license, term, tf * (ln((1 + n)::double / (1 + df)) + 1) as w from wanted join dfs using (term), total),
+dots as (select section, license, sum(weighed.w * goal.w) as dot from weighed join goal using (term) group by all),
+rated as (select section, license, round(dot / (
+    (select sqrt(sum(w * w)) from weighed x where x.section = dots.section) * (select sqrt(sum(w * w)) from goal x where x.license = dots.license)), 6) as similarity
+  from dots),
+own as (select path, is_license, license, similarity from (
+    select path, is_license, license, similarity, row_number() over (partition by path order by similarity desc, license) as k
+    from sections join rated using (section) where similarity >= {LEAST}) where k = 1),
+chosen as (select folder, path as from_path, license, similarity from (
+    select *, regexp_replace(path, '/[^/]*$', '') as folder, row_number() over (
+      partition by regexp_replace(path, '/[^/]*$', '') order by similarity desc, path) as k from own where is_license) where k = 1),
+near as (select files.doc_id, c.*, row_number() over (partition by files.doc_id order by length(c.folder) desc) as k
+  from files join chosen c on files.path like c.folder || '/%')
+select f.doc_id, f.path, coalesce(o.license, n.license) as license, coalesce(o.similarity, n.similarity) as similarity,
+  case when o.license is not null then 'own' when n.license is not null then 'inherited' else 'none' end as origin,
+  case when o.license is null then n.from_path end as from_path
+from files f left join own o using (path) left join (select * from near where k = 1) n on n.doc_id = f.doc_id
+"""
+
+
+@registered("op4_license_scan", _OP4_SQL)
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(as_files(table(spark, sf_dir, "documents")))
