@@ -300,7 +300,8 @@ def quarantined(spark: SparkSession, path: str, scan: DataFrame) -> DataFrame:
     faults = scan.where("fault is not null").select("path", F.col("start").alias("place"), "fault")
     within = gaps.join(faults, "path", "left").where("place is null or (place >= start and place < stop)")
     first = within.groupBy("path", "start", "stop").agg(F.min_by("fault", "place").alias("fault"))
-    return gaps.join(first, ["path", "start", "stop"], "left")
+    told = gaps.join(first, ["path", "start", "stop"], "left")
+    return told.withColumn("fault", F.coalesce("fault", F.lit("nothing begins here")))
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
