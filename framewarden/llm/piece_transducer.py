@@ -87,7 +87,7 @@ class Transducer:
     """The compiled machines; caches are bounded."""
 
     model: PieceModel
-    most_cached: int = 500_000
+    most_cached: int = 1_000_000
     ids: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self):
@@ -100,6 +100,8 @@ class Transducer:
         merged = sorted((p for p in self.ids if len(p) > 1), key=lambda p: (-m.scores[self.ids[p]], self.ids[p]))
         #: Order of merging; single characters come before all.
         self.rank = {p: 0 for p in self.ids if len(p) == 1} | {p: i for i, p in enumerate(merged, 1)}
+        #: Pairs of characters side by side in a piece: no piece reaches across any other border.
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         #: What pieces end with: a longer stretch than these is not looked at.
         self.tails = {p[i:] for p in self.ids for i in range(1, len(p))}
         self.parts: dict[str, tuple[str, str] | None] = {}
@@ -218,19 +220,20 @@ class Transducer:
         known = self.paths.get(segment)
         if known is not None:
             return known
-        out = array("i")
-        run = ""
-        for c in segment + "\0\0":  # the ends stand for a character without a piece
-            if c in self.ids and c != "\0":
-                run += c
-                continue
-            if run:
-                # Runs of marks have equal scores; among those the place decides.
-                pieces = self.merge(run) if MARK * 2 in run else self.shortest(run)
-                out.extend(self.ids[p] for p in pieces)
-                run = ""
-            out.extend(self.byte_ids[b] for b in c.encode())
-        done = out[:-2].tobytes()
+        parts, inside, start = [], self.inside, 0
+        for i in range(1, len(segment)):
+            if segment[i - 1 : i + 1] not in inside:
+                parts.append(segment[start:i])
+                start = i
+        if parts:
+            parts.append(segment[start:])
+            done = b"".join([self.path(p) for p in parts])
+        elif len(segment) == 1 and segment not in self.ids:  # no piece: its bytes
+            done = array("i", [self.byte_ids[b] for b in segment.encode()]).tobytes()
+        else:
+            # Runs of marks have equal scores; among those the place decides.
+            pieces = self.merge(segment) if MARK * 2 in segment else self.shortest(segment)
+            done = array("i", [self.ids[p] for p in pieces]).tobytes()
         if len(segment) <= 64:
             if len(self.paths) >= self.most_cached:
                 self.paths.clear()

@@ -33,7 +33,7 @@ def compiled(shared: Broadcast, most_cached: int) -> Transducer:
     return own["machine"]
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, most_cached: int = 500_000) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = MODEL, most_cached: int = 1_000_000) -> DataFrame:
     """One row per input row: ``doc_id, n_pieces, ids, round_trip``.
 
     ``round_trip`` says whether decoding the ids gives the text again, which
