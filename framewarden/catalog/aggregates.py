@@ -194,7 +194,7 @@ def recommend(scores):
 @query(
     "executive_summary", "batch_results", "found_types",
     sql="""with t as (select name, list(distinct type order by type) as ty from found_types group by name)
-       select filename, status, coalesce(array_to_string(ty[1:3], ', '), '') as defects, duration from batch_results left join t on name = file_id""",
+       select filename, status, coalesce(array_to_string(ty, ', '), '') as defects, duration from batch_results left join t on name = file_id""",
 )
 def executive(results, found):
     return ev.executive_summary(results, found.withColumnRenamed("name", "file_id"))

@@ -19,7 +19,7 @@ from .ordering import COLLECTED_SQL, documents
 from .scalars import SHIFT_SQL, SILENCE_SQL
 from .scans import registered
 from .windows import (
-    CAP_SQL, ERRORS_SQL, GAP_SQL, ML_COLUMNS, STITCHED_COLUMNS, STITCHED_SQL, freeze_sql, ml_sql, stitched_sql,
+    ERRORS_SQL, GAP_SQL, ML_COLUMNS, STITCHED_COLUMNS, STITCHED_SQL, freeze_sql, ml_sql, stitched_sql,
 )
 
 MASTER_SQL = f"""v as (select file_id, count(distinct module) as n_modules,
@@ -28,10 +28,8 @@ MASTER_SQL = f"""v as (select file_id, count(distinct module) as n_modules,
 
 
 def flagship(spark: SparkSession, sf_dir: str):
-    reports = load(spark, sf_dir, "reports").withColumns(
-        {"effective_status": F.lit(None).cast("string"), "profile": F.lit("netflix_hd")}
-    )
-    return master_report(reports, load(spark, sf_dir, "timeline"), profiles_table(spark))
+    reports = load(spark, sf_dir, "reports").withColumn("effective_status", F.lit(None).cast("string"))
+    return master_report(reports, load(spark, sf_dir, "timeline"), profiles_table(spark), profile="netflix_hd")
 
 
 @registered(
@@ -138,21 +136,25 @@ def merged_status(events):
 
 @query(
     "frames_report", "logs", "pixels", "frames",
-    sql=f"""with {ERRORS_SQL}, {CAP_SQL}, {GAP_SQL}, {DUP_SQL},
+    sql=f"""with {ERRORS_SQL}, {GAP_SQL}, {DUP_SQL},
        dj as (select d.file_id, d.frame_idx, f.pts_us, d.is_dup from d join frames f on f.file_id = d.file_id and f.frame_idx = d.frame_idx),
        {freeze_sql('dj')},
        dr as (select file_id, coalesce(max(case when frame_idx > 0 then abs(pts_us / 1000.0e0 - frame_idx * 40.0e0) end), 0.0e0) as drift from frames group by 1),
-       ev as (select file_id, type from capped union all select file_id, 'frame_gap' from gaps union all select file_id, 'freeze_frame' from frozen
+       every as (select file_id from frames union select file_id from pixels union select file_id from logs),
+       ev as (select file_id, type from errs union all select file_id, 'frame_gap' from gaps union all select file_id, 'freeze_frame' from frozen
          union all select file_id, 'timestamp_drift' from dr where drift > 100),
        n as (select file_id, count(*) as n_events, bool_or(type in ('non_monotonic_pts', 'corrupt_packet')) as bad, bool_or(type = 'frame_gap') as gap from ev group by 1),
-       du as (select file_id, count(*) filter (is_dup) as dups from dj group by 1)
-       select dr.file_id, coalesce(dups, 0) as duplicate_frame_count, n_events, case when bad then 'REJECTED' when coalesce(dups, 0) > 24 or gap then 'WARNING' else 'PASSED' end as status
-       from dr left join n on n.file_id = dr.file_id left join du on du.file_id = dr.file_id""",
+       du as (select file_id, count(*) filter (is_dup) as dups from d group by 1)
+       select every.file_id, coalesce(dups, 0) as duplicate_frame_count, round(coalesce(drift, 0.0e0), 2) as max_pts_drift_ms, coalesce(n_events, 0) as n_events,
+         case when bad then 'REJECTED' when coalesce(dups, 0) > 24 or gap then 'WARNING' else 'PASSED' end as status
+       from every left join dr on dr.file_id = every.file_id left join n on n.file_id = every.file_id left join du on du.file_id = every.file_id""",
 )
 def frames_report(logs, pixels, frames):
     files, events = C.frames_report({"logs": logs, "pixels": pixels, "frames": frames}, 25.0, 35)
     counts = events.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_events"))
-    return files.join(counts, "file_id", "left").select("file_id", "duplicate_frame_count", "n_events", "status")
+    return files.join(counts, "file_id", "left").select(
+        "file_id", "duplicate_frame_count", "max_pts_drift_ms", F.coalesce("n_events", F.lit(0)).alias("n_events"), "status"
+    )
 
 
 @query(
@@ -263,7 +265,7 @@ def dashboard_tables(worded):
 @query(
     "calibration_report", "frames", "textured", "logs",
     sql=f"""with {CAL_SQL}, {FIELD_SQL.format('textured')}, {CROP_SQL}
-       select cal.*, {', '.join(FIELD_COLUMNS)}, w, h, x, y from cal left join fields on fields.file_id = cal.file_id left join crop on crop.file_id = cal.file_id""",
+       select * from cal full join (select file_id, {', '.join(FIELD_COLUMNS)} from fields) f using (file_id) full join crop using (file_id)""",
 )
 def calibration(frames, pixels, logs):
     report = D.calibration_report(frames, pixels, logs)
@@ -282,19 +284,21 @@ def benchmark(plan, found):
 
 @query(
     "avsync_report", "qc_base",
-    sql=f"""with {SERIES_SQL}, hn as (select file_id, i, a / max(a) over (partition by file_id) as a, v / max(v) over (partition by file_id) as v from h),
-       e as (select file_id, max(i) as last from hn group by 1),
-       head as (select * from hn where i >= 0 and i < 240),
-       tail as (select hn.* from hn join e on e.file_id = hn.file_id where last + 1 > 480 and hn.i > last - 240),
+    sql=f"""with {SERIES_SQL}, e as (select file_id, max(i) as last from h group by 1),
+       h0 as (select * from h where i >= 0 and i < 240),
+       t0 as (select h.* from h join e on e.file_id = h.file_id where last + 1 > 480 and h.i > last - 240),
+       head as (select file_id, i, a / max(a) over (partition by file_id) as a, v / max(v) over (partition by file_id) as v from h0),
+       tail as (select file_id, i, a / max(a) over (partition by file_id) as a, v / max(v) over (partition by file_id) as v from t0),
        {_best_sql('head', 'bh')}, {_best_sql('tail', 'bt')},
-       o as (select bh.file_id, bh.lag * ({STEP_SQL}) as oh, coalesce(bt.lag, bh.lag) * ({STEP_SQL}) as ot from bh left join bt on bt.file_id = bh.file_id)
-       select file_id, round(oh, 2) as offset_head_ms, round(ot, 2) as offset_tail_ms,
+       o as (select bh.file_id, bh.corr, bh.lag * ({STEP_SQL}) as oh, coalesce(bt.lag, bh.lag) * ({STEP_SQL}) as ot from bh left join bt on bt.file_id = bh.file_id)
+       select file_id, round(oh, 2) as offset_head_ms, round(ot, 2) as offset_tail_ms, round(greatest(abs(oh), abs(ot)), 2) as max_offset_ms,
+         round(corr, 2) as confidence_score,
          case when greatest(abs(oh), abs(ot)) > 40 then 'REJECTED' when abs(ot - oh) > 15 then 'WARNING' else 'PASSED' end as status from o""",
 )
 def avsync(base):
     durations = base.select("file_id").distinct().withColumn("duration_sec", F.lit(720.0))
     files, _ = C.avsync_report(hourly(base), durations, window=240)
-    return files.select("file_id", "offset_head_ms", "offset_tail_ms", "status")
+    return files.select("file_id", "offset_head_ms", "offset_tail_ms", "max_offset_ms", "confidence_score", "status")
 
 
 @query(

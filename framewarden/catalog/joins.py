@@ -9,7 +9,7 @@ from ..fixtures import load
 from ..operators.grading import grade_cases
 from ..operators.intervals import overlap_anti_join, pair_start_end
 from ..operators.jobs import job_reports
-from ..operators.lag import HOP_LENGTH, SAMPLE_RATE, head_tail_drift, xcorr_lag
+from ..operators.lag import HOP_LENGTH, SAMPLE_RATE, WINDOW_STEPS, head_tail_drift, xcorr_lag
 from ..operators.segments import join_segment_offset
 from . import query
 
@@ -72,11 +72,11 @@ STEP_SQL = f"{HOP_LENGTH}.0e0 / {SAMPLE_RATE} * 1000"
 
 @query(
     "xcorr_lag", "qc_base",
-    sql=f"""with {SERIES_SQL}, {_best_sql('h', 'b')}
+    sql=f"""with {SERIES_SQL}, w as (select * from h where i >= 0 and i < {WINDOW_STEPS}), {_best_sql('w', 'b')}
        select file_id, lag, corr, round(lag * ({STEP_SQL}), 3) as offset_ms from b""",
 )
 def xcorr(base):
-    best = xcorr_lag(hourly(base))
+    best = xcorr_lag(hourly(base), WINDOW_STEPS)
     return best.select("file_id", "lag", "corr", F.round("offset_ms", 3).alias("offset_ms"))
 
 
@@ -88,12 +88,14 @@ def xcorr(base):
        {_best_sql('head', 'bh')}, {_best_sql('tail', 'bt')}
        select bh.file_id, round(bh.lag * ({STEP_SQL}), 3) as offset_head_ms,
          round(coalesce(bt.lag, bh.lag) * ({STEP_SQL}), 3) as offset_tail_ms,
-         round(coalesce(bt.lag, bh.lag) * ({STEP_SQL}) - bh.lag * ({STEP_SQL}), 3) as drift_ms
+         round(coalesce(bt.lag, bh.lag) * ({STEP_SQL}) - bh.lag * ({STEP_SQL}), 3) as drift_ms, bh.corr as confidence_head
        from bh left join bt on bt.file_id = bh.file_id""",
 )
 def drift(base):
     both = head_tail_drift(hourly(base), window=240)
-    return both.select("file_id", *[F.round(c, 3).alias(c) for c in ("offset_head_ms", "offset_tail_ms", "drift_ms")])
+    return both.select(
+        "file_id", *[F.round(c, 3).alias(c) for c in ("offset_head_ms", "offset_tail_ms", "drift_ms")], "confidence_head"
+    )
 
 
 @query(

@@ -292,11 +292,15 @@ def black_freeze_status(base):
 
 @query(
     "violation_confidence", "frames",
-    sql="""select file_id, frame_idx, round(least(abs(ymax - 235) / 20.0e0, 1.0e0), 2) as confidence from frames where ymax > 235""",
+    sql="""select file_id, frame_idx, round(least(abs(ymax - 235) / 20.0e0, 1.0e0), 2) as confidence_over, round(least(abs(ymin - 16) / 20.0e0, 1.0e0), 2) as confidence_under
+       from frames""",
 )
 def confidence(frames):
-    over = frames.where(F.col("ymax") > 235)
-    return over.select("file_id", "frame_idx", violation_confidence(F.col("ymax"), F.lit(235)).alias("confidence"))
+    """Distance of both luma limits of every frame."""
+    return frames.select(
+        "file_id", "frame_idx", violation_confidence(F.col("ymax"), F.lit(235)).alias("confidence_over"),
+        violation_confidence(F.col("ymin"), F.lit(16)).alias("confidence_under"),
+    )
 
 
 @query(

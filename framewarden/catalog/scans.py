@@ -240,7 +240,7 @@ def write_datavyu(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(
     "write_executive_summary", "batch_results", "found_types",
     sql="""with t as (select name, list(distinct type order by type) as ty from found_types group by name)
-       select filename as "Filename", status as "Status", nullif(coalesce(array_to_string(ty[1:3], ', '), ''), '') as "Defects",
+       select filename as "Filename", status as "Status", nullif(coalesce(array_to_string(ty, ', '), ''), '') as "Defects",
        duration as "Duration (s)" from batch_results left join t on name = file_id""",
 )
 def write_executive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

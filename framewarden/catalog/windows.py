@@ -128,7 +128,7 @@ ERRORS_SQL = """x as (select file_id, line_no, trim(line, ' ' || chr(9) || chr(1
    unnest(list_filter([case when regexp_matches(line, '(?i)DTS .* < .*') then 'non_monotonic_dts' end, case when regexp_matches(line, '(?i)PTS .* < .*') then 'non_monotonic_pts' end,
      case when regexp_matches(line, '(?i)Timestamp discontinuity') then 'timestamp_discontinuity' end,
      case when regexp_matches(line, '(?i)corrupt decoded frame') then 'corrupt_packet' end], lambda v: v is not null)) as type from logs),
- errs as (select file_id, line_no, type, left(details, 100) as details, t as start_time, t as end_time from x)"""
+ errs as (select file_id, line_no, type, details, t as start_time, t as end_time from x)"""
 
 CAP_SQL = "capped as (select * from (select *, row_number() over (partition by file_id, type order by line_no) as rn from errs) q where rn <= 10)"
 
@@ -143,7 +143,7 @@ def errors(logs):
     sql=f"with {ERRORS_SQL}, {CAP_SQL} select file_id, line_no, type, details, start_time, end_time from capped",
 )
 def capped(logs):
-    return L.cap_per_type(L.log_errors(logs))
+    return L.cap_per_type(L.log_errors(logs), 10)
 
 
 @query(

@@ -110,20 +110,20 @@ def parse_astats(logs: DataFrame) -> DataFrame:
     )
 
 
-def log_errors(logs: DataFrame) -> DataFrame:
-    """One event per line and matching complaint."""
+def log_errors(logs: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """One event per line and matching complaint; ``max_chars`` asks for a short form of the text."""
     line = F.col("line")
     found = F.array_compact(F.array(*[F.when(line.rlike("(?i)" + p), F.lit(n)) for n, p in ERROR_PATTERNS.items()]))
     at = clock_to_seconds(line)
     return logs.select(
         "file_id", "line_no",
         F.explode(found).alias("type"),
-        F.substring(strip(line), 1, 100).alias("details"),
+        (strip(line) if max_chars is None else F.substring(strip(line), 1, max_chars)).alias("details"),
         at.alias("start_time"), at.alias("end_time"),
     )
 
 
-def cap_per_type(events: DataFrame, most: int = 10) -> DataFrame:
+def cap_per_type(events: DataFrame, most: int) -> DataFrame:
     """The first ``most`` events of each type in line order.
 
     Spark limits each map task's groups before the shuffle (window group limit),

@@ -119,23 +119,23 @@ def numbered(
 def with_previous(
     df: DataFrame, keys: Sequence[str], idx: str, columns: dict[str, str], chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """Add the previous row's ``columns`` (new name -> column) along a counter.
+    """Add the columns of the row before (new name -> column) in the order of a counter.
 
-    ``idx`` counts 0, 1, 2, ... without holes.  The last row of a chunk is also
-    sent to the next chunk, so heavy columns such as pixels are shuffled once.
+    The counter may have holes: the first row of a chunk gets the last row of the
+    nearest chunk before it that has one.  Both sides read the same placement, so
+    heavy columns such as pixels are shuffled once; one row a chunk meets per key.
     """
-    at = F.col(idx)
-    copies = F.when(
-        at % chunk_rows == chunk_rows - 1, F.array(F.lit(0), F.lit(1))
-    ).otherwise(F.array(F.lit(0)))
-    spread = df.withColumn("_copy", F.explode(copies)).withColumn(
-        "_chunk", index_chunk(idx, chunk_rows) + F.col("_copy")
-    )
-    w = Window.partitionBy(*keys, "_chunk").orderBy(idx)
-    return (
-        spread.withColumns({new: F.lag(c).over(w) for new, c in columns.items()})
-        .where(F.col("_copy") == 0)
-        .drop("_copy", "_chunk")
+    parts = [*keys, "_chunk"]
+    placed = df.withColumn("_chunk", index_chunk(idx, chunk_rows))
+    w = Window.partitionBy(*parts).orderBy(idx)
+    row = F.struct(*[F.col(c).alias(new) for new, c in columns.items()])
+    tails = placed.withColumn("_after", F.lead(idx).over(w)).where(F.col("_after").isNull()).select(*parts, row.alias("_tail"))
+    following = F.lead("_chunk").over(Window.partitionBy(*keys).orderBy("_chunk"))
+    carry = tails.withColumn("_chunk", following).where(F.col("_chunk").isNotNull())
+    first = F.row_number().over(w) == 1
+    lagged = placed.withColumns({"_first": first, **{f"_lag_{new}": F.lag(c).over(w) for new, c in columns.items()}})
+    return lagged.join(carry, parts, "left").select(
+        *df.columns, *[F.when(F.col("_first"), F.col(f"_tail.{new}")).otherwise(F.col(f"_lag_{new}")).alias(new) for new in columns]
     )
 
 
@@ -158,20 +158,3 @@ def with_lookback(df: DataFrame, ts: str, reach: int, width: int) -> DataFrame:
         .withColumn("_own", F.col("_copy") == 0)
         .drop("_copy")
     )
-
-
-SALTS = 32
-
-
-def spread_join(
-    df: DataFrame, per_key: DataFrame, keys: Sequence[str], by: str, how: str = "inner", salts: int = SALTS
-) -> DataFrame:
-    """Join many rows to a table with one row per key, without gathering a hot key.
-
-    Each key's single row is repeated per salt and the rows are spread over the
-    salts by ``by``, so a key that holds a third of them still lands in many
-    tasks.  If the table turns out small, adaptive execution broadcasts it.
-    """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

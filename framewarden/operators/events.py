@@ -84,14 +84,14 @@ def first_k_times(described: DataFrame, k: int = 3, keys=("file_id", "human_name
     )
 
 
-def issue_summary(described: DataFrame, keys=("file_id", "human_name")) -> DataFrame:
-    """Per issue: count, worst score, category, first three time codes, verdict."""
+def issue_summary(described: DataFrame, keys=("file_id", "human_name"), k: int = 3) -> DataFrame:
+    """Per issue: count, worst score, category, first ``k`` time codes and how many more, verdict."""
     keys = list(keys)
     totals = described.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.max("severity_score").alias("max_severity")
     )
-    # At most three rows per issue.
-    early = first_k_times(described, 3, keys).groupBy(*keys).agg(
+    # At most k rows per issue.
+    early = first_k_times(described, k, keys).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("nth", "smpte", "category"))).alias("_early")
     )
     times = early.select(
@@ -99,7 +99,7 @@ def issue_summary(described: DataFrame, keys=("file_id", "human_name")) -> DataF
         F.col("_early")[0]["category"].alias("category"),
         F.array_join(F.transform("_early", lambda e: e["smpte"]), ", ").alias("times"),
     )
-    more = F.when(F.col("n") > 3, F.concat(F.lit(" (+"), (F.col("n") - 3).cast("string"), F.lit(" more)"))).otherwise("")
+    more = F.when(F.col("n") > k, F.concat(F.lit(" (+"), (F.col("n") - k).cast("string"), F.lit(" more)"))).otherwise("")
     return totals.join(times, keys).select(
         *keys, "n", "max_severity", "category",
         (F.col("max_severity") >= 3).alias("is_fail"),
@@ -111,16 +111,22 @@ def distinct_types(events: DataFrame) -> DataFrame:
     return events.select("file_id", "type").distinct()
 
 
-def top_defects(events: DataFrame, k: int = 3) -> DataFrame:
-    """Up to ``k`` event types per file in alphabetical order, as one text."""
-    w = Window.partitionBy("file_id").orderBy("type")
-    few = distinct_types(events).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
-    return few.groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_list("type")), ", ").alias("defects"))
+def top_defects(events: DataFrame, k: int | None = None) -> DataFrame:
+    """Event types per file in alphabetical order, as one text.
+
+    With ``k`` only the first ``k``, and how many more there are.
+    """
+    kinds = F.array_sort(F.collect_set("type"))
+    listed = events.groupBy("file_id").agg(kinds.alias("_kinds"))
+    if k is None:
+        return listed.select("file_id", F.array_join("_kinds", ", ").alias("defects"))
+    more = F.when(F.size("_kinds") > k, F.concat(F.lit(" (+"), (F.size("_kinds") - k).cast("string"), F.lit(" more)"))).otherwise("")
+    return listed.select("file_id", F.concat(F.array_join(F.slice("_kinds", 1, k), ", "), more).alias("defects"))
 
 
-def executive_summary(results: DataFrame, events: DataFrame) -> DataFrame:
-    """One row per processed file (``file_id, filename, status, duration``)."""
-    return results.join(top_defects(events), "file_id", "left").select(
+def executive_summary(results: DataFrame, events: DataFrame, k: int | None = None) -> DataFrame:
+    """One row per processed file (``file_id, filename, status, duration``); ``k`` as in ``top_defects``."""
+    return results.join(top_defects(events, k), "file_id", "left").select(
         "filename", "status", F.coalesce("defects", F.lit("")).alias("defects"), "duration"
     )
 

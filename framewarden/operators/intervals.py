@@ -210,79 +210,31 @@ def pair_start_end(
 def severity_heatmap(events: DataFrame, keys: Sequence[str] = ("file_id",), bins_per_chunk: int = 4096) -> DataFrame:
     """Highest ``max(1, severity_score)`` covering each whole second.
 
-    Input: ``keys, start_time, end_time, severity_score``.  Every event adds +1
-    at its first bin and -1 after its last one, per score; the score's count of
-    open events is a running sum, so long events are not copied to each bin.
+    Input: ``keys, start_time, end_time, severity_score``, any whole scores.  Every
+    event adds +1 at its first bin and -1 after its last one; the running sum of a
+    score gives the stretches it covers, however many events overlap there.  A
+    second is then written once for each distinct score that covers it.
     """
     keys = list(keys)
     top = events.groupBy(*keys).agg(F.max("end_time").alias("_max")).select(
         *keys, (F.when(F.col("_max") <= 0, F.lit(10.0)).otherwise(F.col("_max"))).cast("long").alias("_last")
     )
     first, last = F.greatest(F.lit(0), F.col("start_time").cast("long")), F.greatest(F.lit(0), F.col("end_time").cast("long"))
-    marks = F.when(
-        first <= last,
-        F.array(
-            F.struct(first.alias("bin"), F.lit(1).alias("d"), F.lit(0).alias("x")),
-            F.struct((last + 1).alias("bin"), F.lit(-1).alias("d"), F.lit(0).alias("x")),
-        ),
-        # Ends before it starts: counts only where both are cut back to the last
-        # second, which the grid knows.
-    ).otherwise(F.array(F.struct(last.alias("bin"), F.lit(0).alias("d"), F.lit(1).alias("x"))))
-    score = F.greatest(F.lit(1), F.col("severity_score"))
-    per_score = lambda n, c: [
-        F.sum(F.when(F.col("_score") == s, F.col(c)).otherwise(0)).alias(f"{n}{s}") for s in _SCORES
-    ]
-    changes = events.select(*keys, score.alias("_score"), F.explode(marks).alias("_m"))
-    deltas = (
-        changes.groupBy(*keys, F.col("_m.bin").alias("bin"))
-        .agg(*per_score("d", "_m.d"), *per_score("x", "_m.x"))
-    )
-    chunks = top.select(
-        *keys, "_last", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / bins_per_chunk))).alias("_chunk")
-    )
-    grid = chunks.select(
-        *keys, "_last",
-        F.explode(
-            F.sequence(
-                F.col("_chunk") * bins_per_chunk,
-                F.least("_last", F.col("_chunk") * bins_per_chunk + (bins_per_chunk - 1)),
-            )
-        ).alias("bin"),
-    )
-    # One empty row per second plus the changes, placed by chunk once; the sums
-    # and the running totals below reuse that placement.
-    d = [f"{n}{s}" for n in "dx" for s in _SCORES]
-    # 2 marks a file's last second, 0 a change beyond it.
-    place = F.when(F.col("bin") == F.col("_last"), 2).otherwise(1)
-    zero = F.lit(0).cast("long")
-    line = (
-        grid.select(*keys, "bin", *[zero.alias(c) for c in d], place.alias("_in"))
-        .unionByName(deltas.select(*keys, "bin", *d, F.lit(0).alias("_in")))
-        .withColumn("_chunk", index_chunk("bin", bins_per_chunk))
-        .repartition(*keys, "_chunk")
-        .groupBy(*keys, "_chunk", "bin")
-        .agg(*[F.sum(c).alias(c) for c in d], F.max("_in").alias("_in"))
-    )
-    # Chunk totals straight from the events, combined on the map side; the empty
-    # rows keep chunks in which nothing starts or ends.
-    totals = changes.select(
-        *keys, F.floor(F.col("_m.bin") / bins_per_chunk).alias("_chunk"),
-        *[F.when(F.col("_score") == s, F.col("_m.d")).otherwise(0).alias(f"d{s}") for s in _SCORES],
-    ).unionByName(chunks.select(*keys, "_chunk", *[F.lit(0).alias(f"d{s}") for s in _SCORES]))
-    open_now = running(
-        line, keys, "_chunk", ["bin"], {f"o{s}": ("sum", f"d{s}") for s in _SCORES}, summary_from=totals
-    )
-    level = F.coalesce(
-        *[
-            F.when(
-                (F.col(f"o{s}") + F.col(f"d{s}") > 0) | ((F.col("_in") == 2) & (F.col(f"x{s}") > 0)), F.lit(s)
-            )
-            for s in sorted(_SCORES, reverse=True)
-        ],
-        F.lit(0),
-    )
-    return open_now.where(F.col("_in") > 0).select(*keys, "bin", level.alias("level"))
-
-
-# Values max(1, severity score) can take.
-_SCORES = (1, 2, 3, 5)
+    scored = events.select(*keys, F.greatest(F.lit(1), F.col("severity_score")).alias("_score"), first.alias("_a"), last.alias("_b"))
+    mark = lambda at, d: F.struct(at.alias("bin"), F.lit(d).cast("long").alias("d"))
+    marks = scored.where("_a <= _b").select(*keys, "_score", F.explode(F.array(mark(F.col("_a"), 1), mark(F.col("_b") + 1, -1))).alias("_m"))
+    deltas = marks.groupBy(*keys, "_score", F.col("_m.bin").alias("bin")).agg(F.sum("_m.d").alias("d"))
+    line = deltas.withColumn("_chunk", index_chunk("bin", bins_per_chunk))
+    # What is open before a change, and since which change.
+    before = running(line, [*keys, "_score"], "_chunk", ["bin"], {"_open": ("sum", "d"), "_from": ("last", "bin")})
+    cover = before.where(F.col("_open") > 0).select(*keys, "_score", F.col("_from").alias("_a"), (F.col("bin") - 1).alias("_b"))
+    # Ends before it starts: counts only where both are cut back to the last second.
+    turned = scored.where("_a > _b").join(top, keys).where("_b = _last").select(*keys, "_score", F.col("_b").alias("_a"), "_b")
+    spans = cover.union(turned).unionByName(top.select(*keys, F.lit(0).alias("_score"), F.lit(0).cast("long").alias("_a"), F.col("_last").alias("_b")))
+    cut = spans.join(top, keys).select(*keys, "_score", "_a", F.least("_b", "_last").alias("_b")).where("_a <= _b")
+    parts = cut.select(*keys, "_score", "_a", "_b", F.explode(F.sequence(F.floor(F.col("_a") / bins_per_chunk), F.floor(F.col("_b") / bins_per_chunk))).alias("_k"))
+    seconds = parts.select(
+        *keys, "_score",
+        F.explode(F.sequence(F.greatest("_a", F.col("_k") * bins_per_chunk), F.least("_b", F.col("_k") * bins_per_chunk + (bins_per_chunk - 1)))).alias("bin"),
+    )
+    return seconds.groupBy(*keys, "bin").agg(F.max("_score").alias("level"))

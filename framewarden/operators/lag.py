@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.quality import abs_difference
-from .chunks import CHUNK_ROWS, spread_join, with_previous
+from .chunks import CHUNK_ROWS, with_previous
 
 # Audio sample rate, samples per step, analysed stretch in seconds.
 SAMPLE_RATE = 22050
@@ -23,10 +20,14 @@ WINDOW_STEPS = WINDOW_SEC * SAMPLE_RATE // HOP_LENGTH
 
 
 def max_normalise(df: DataFrame, column: str, keys: Sequence[str] = ("file_id",)) -> DataFrame:
-    """Divide a column by its largest value per file when that is above 0."""
+    """Divide a column by its largest value per file when that is above 0.
+
+    A plain join with one row a file: a file that holds much of the rows is split
+    by adaptive execution, whatever its values are.
+    """
     top = df.groupBy(*keys).agg(F.max(column).alias("_top"))
     scaled = F.when(F.col("_top") > 0, F.col(column) / F.col("_top")).otherwise(F.col(column).cast("double"))
-    return spread_join(df, top, keys, column).withColumn(column, scaled).select(*df.columns)
+    return df.join(top, list(keys)).withColumn(column, scaled).select(*df.columns)
 
 
 def motion_energy(pixels: DataFrame, keys: Sequence[str] = ("file_id",), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -38,61 +39,77 @@ def motion_energy(pixels: DataFrame, keys: Sequence[str] = ("file_id",), chunk_r
     return max_normalise(raw, "energy", keys)
 
 
-@F.pandas_udf(T.StructType([T.StructField("lag", T.LongType()), T.StructField("corr", T.DoubleType())]))
-def _best_lag(i: pd.Series, a: pd.Series, v: pd.Series, max_lag: pd.Series) -> pd.DataFrame:
-    """Lag with the largest full correlation; the smallest one among equals."""
-    out = []
-    for at, audio, video, most in zip(i, a, v, max_lag):
-        n = int(at[-1] - at[0]) + 1
-        dense_a, dense_v = np.zeros(n), np.zeros(n)
-        dense_a[at - at[0]] = audio
-        dense_v[at - at[0]] = video
-        corr = np.correlate(dense_v, dense_a, mode="full")
-        lags = np.arange(-(n - 1), n)
-        if most is not None and most >= 0:
-            near = np.abs(lags) <= most
-            corr, lags = corr[near], lags[near]
-        best = int(np.argmax(corr))
-        out.append((int(lags[best]), float(corr[best])))
-    return pd.DataFrame(out, columns=["lag", "corr"])
+def _stretch(series: DataFrame, keys: Sequence[str], window: int, tail: bool) -> DataFrame:
+    """The first or last ``window`` steps of each file; a file of at most two windows has no tail."""
+    if not tail:
+        return series.where((F.col("i") >= 0) & (F.col("i") < window))
+    last = series.groupBy(*keys).agg(F.max("i").alias("_last"))
+    return series.join(last, list(keys)).where(
+        (F.col("_last") + 1 > 2 * window) & (F.col("i") > F.col("_last") - window)
+    )
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later expressions read often; explode keeps them from being computed again."""
+    for name, value in columns.items():
+        df = df.withColumn(name, F.explode(F.array(value)))
+    return df
 
 
 def xcorr_lag(
     series: DataFrame,
+    window: int,
     keys: Sequence[str] = ("file_id",),
-    window: int = WINDOW_STEPS,
     tail: bool = False,
     max_lag: int | None = None,
+    scale: bool = False,
 ) -> DataFrame:
     """Steps by which video follows audio, over the first (or last) ``window`` steps.
 
-    Input: ``keys, i, a, v``; a missing ``i`` counts as silence.  At most
-    ``window`` steps per file are gathered, one minute by default, so a group is
-    bounded however long the file is.
+    Input: ``keys, i, a, v``; a missing ``i`` counts as silence.  ``window`` is
+    the analysed stretch, one minute in the checks (``WINDOW_STEPS``), so a
+    file's arrays are bounded however long it is.  ``scale`` divides both series
+    by their largest value within the stretch.  ``corr`` is the largest
+    correlation, ``lag`` the smallest with it.
     """
-    if tail:
-        last = series.groupBy(*keys).agg(F.max("i").alias("_last"))
-        part = spread_join(series, last, keys, "i").where(
-            (F.col("_last") + 1 > 2 * window) & (F.col("i") > F.col("_last") - window)
-        )
+    keys = list(keys)
+    part = _stretch(series.select(*keys, "i", "a", "v"), keys, window, tail)
+    ends = part.groupBy(*keys).agg(F.min("i").alias("_lo"), F.max("i").alias("_hi"))
+    zero = F.lit(0).cast("double")
+    grid = ends.select(*keys, F.explode(F.sequence("_lo", "_hi")).alias("i"), zero.alias("a"), zero.alias("v"))
+    steps = grid.unionByName(part.select(*keys, F.col("i"), F.col("a").cast("double").alias("a"), F.col("v").cast("double").alias("v")))
+    dense = steps.groupBy(*keys, "i").agg(F.sum("a").alias("a"), F.sum("v").alias("v"))
+    rows = dense.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "a", "v"))).alias("s"))
+    rows = _once(rows, _a=F.col("s.a"), _v=F.col("s.v"))
+    if scale:
+        rows = _once(rows, _ma=F.array_max("_a"), _mv=F.array_max("_v"))
+        divided = lambda x, m: F.when(m > 0, F.transform(x, lambda e: e / m)).otherwise(x)
+        rows = _once(rows, _sa=divided(F.col("_a"), F.col("_ma")), _sv=divided(F.col("_v"), F.col("_mv")))
+        a, v = F.col("_sa"), F.col("_sv")
     else:
-        part = series.where((F.col("i") >= 0) & (F.col("i") < window))
-    rows = part.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "a", "v"))).alias("s"))
-    get = lambda f, t: F.transform("s", lambda e: e[f].cast(t))
-    limit = F.lit(-1 if max_lag is None else max_lag)
-    best = rows.withColumn("b", _best_lag(get("i", "long"), get("a", "double"), get("v", "double"), limit))
-    return best.select(
-        *keys, F.col("b.lag").alias("lag"), F.col("b.corr").alias("corr"), (F.col("b.lag") * STEP_MS).alias("offset_ms")
-    )
+        a, v = F.col("_a"), F.col("_v")
+    n = F.size("_a")
+    reach = n - 1 if max_lag is None else F.least(n - 1, F.lit(max_lag))
+
+    def correlation(d: Column) -> Column:
+        ahead, behind = F.greatest(d, F.lit(0)), F.greatest(-d, F.lit(0))
+        length = n - F.abs(d)
+        products = F.zip_with(F.slice(a, behind + 1, length), F.slice(v, ahead + 1, length), lambda x, y: x * y)
+        return F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)
+
+    every = F.transform(F.sequence(-reach, reach), lambda d: F.struct(correlation(d).alias("corr"), (-d).alias("minus")))
+    best = _once(rows, _best=F.array_max(every))
+    lag = (-F.col("_best.minus")).cast("long")
+    return best.select(*keys, lag.alias("lag"), F.col("_best.corr").alias("corr"), (lag * STEP_MS).alias("offset_ms"))
 
 
-def head_tail_drift(series: DataFrame, keys: Sequence[str] = ("file_id",), window: int = WINDOW_STEPS) -> DataFrame:
-    """Offsets of the first and last window; short files reuse the first."""
+def head_tail_drift(series: DataFrame, window: int, keys: Sequence[str] = ("file_id",), scale: bool = False) -> DataFrame:
+    """Offsets of the first and last ``window`` steps; short files reuse the first."""
     pick = lambda df, end: df.select(
         *keys, F.col("offset_ms").alias(f"offset_{end}_ms"), F.col("corr").alias(f"confidence_{end}")
     )
-    head = pick(xcorr_lag(series, keys, window), "head")
-    tail = pick(xcorr_lag(series, keys, window, tail=True), "tail").drop("confidence_tail")
+    head = pick(xcorr_lag(series, window, keys, scale=scale), "head")
+    tail = pick(xcorr_lag(series, window, keys, tail=True, scale=scale), "tail").drop("confidence_tail")
     both = head.join(tail, list(keys), "left").withColumn(
         "offset_tail_ms", F.coalesce("offset_tail_ms", "offset_head_ms")
     )

@@ -1,7 +1,6 @@
 """Whole checks: from measurement tables to verdicts and events, and their registry.
 
-Findings are few next to the measurements and feed both results, so the costly
-ones are settled once instead of being found twice.
+Verdicts and events are lazy: nothing runs while a check is put together.
 
 Every check takes the tables it needs and returns ``Outcome(verdicts, events)``:
 verdicts ``file_id, module, status, effective_status`` and events ``file_id,
@@ -23,11 +22,9 @@ from ..functions import logs as L
 from ..functions.quality import classify_severity
 from ..operators import frames as fr
 from ..operators import lag
-from ..operators.chunks import spread_join
 from ..operators.density import broadcast_bursts
 from ..operators.intervals import overlap_anti_join, pair_start_end
-from ..profiles import join_profile, setting
-from ..session import settle
+from ..profiles import join_profile, setting, with_profile
 
 EVENT_COLUMNS = ("type", "start_time", "end_time", "severity", "details")
 
@@ -84,19 +81,20 @@ def frames_report(t: Tables, fps: float = 25.0, max_changed: int = 50) -> tuple[
 
     ``logs``, ``pixels`` (``frame_idx, px``) and ``frames`` (``frame_idx, pts_us``).
     """
-    errors = L.cap_per_type(L.log_errors(t["logs"]))
+    errors = L.log_errors(t["logs"])
     frames = t["frames"]
     # Pixels travel once; the times join the narrow flags afterwards.
     flags = fr.mark_duplicates(t["pixels"].select("file_id", "frame_idx", "px"), max_changed)
-    marked = settle(flags.join(frames.select("file_id", "frame_idx", "pts_us"), ["file_id", "frame_idx"]).drop("width"))
+    marked = flags.join(frames.select("file_id", "frame_idx", "pts_us"), ["file_id", "frame_idx"])
     drift = fr.max_pts_drift(frames, fps)
-    events = settle(_events(
-        "validate_frames", errors, fr.frame_gaps(frames, fps), fr.freeze_runs(marked, fps), fr.drift_events(drift)
-    ))
+    events = _events("validate_frames", errors, fr.frame_gaps(frames, fps), fr.freeze_runs(marked, fps), fr.drift_events(drift))
+    # A file counts as soon as one of the tables knows it.
+    known = [t[name].select("file_id") for name in ("frames", "pixels", "logs")]
+    every = t["files"].select("file_id") if "files" in t else known[0].union(known[1]).union(known[2]).distinct()
     files = (
-        drift.join(fr.duplicate_count(marked), "file_id", "left")
+        every.join(drift, "file_id", "left").join(fr.duplicate_count(flags), "file_id", "left")
         .withColumn("duplicate_frame_count", F.coalesce("duplicate_frame_count", F.lit(0)))
-        .withColumn("max_pts_drift_ms", F.round("max_pts_drift_ms", 2))
+        .withColumn("max_pts_drift_ms", F.round(F.coalesce("max_pts_drift_ms", F.lit(0.0)), 2))
     )
     return video.frame_status(files, events), events
 
@@ -108,7 +106,7 @@ def check_frames(t: Tables, mode: str = "strict") -> Outcome:
 
 def check_analog(t: Tables, mode: str = "strict") -> Outcome:
     name = "validate_analog"
-    runs = settle(fr.vrep_runs(t["frames"]))
+    runs = fr.vrep_runs(t["frames"])
     counts = fr.vrep_spike_count(t["frames"], runs)
     found = runs.select("file_id", "details", F.col("timestamp").alias("start_time"))
     return Outcome(_verdicts(name, counts.withColumn("status", video.analog_status(F.col("vrep_spikes")))), _events(name, found))
@@ -116,7 +114,7 @@ def check_analog(t: Tables, mode: str = "strict") -> Outcome:
 
 def check_signal(t: Tables, mode: str = "strict") -> Outcome:
     name = "validate_signal"
-    bursts = settle(broadcast_bursts(t["frames"], mode))
+    bursts = broadcast_bursts(t["frames"], mode)
     files = video.signal_status(video.signal_metrics(t["frames"]), bursts)
     return Outcome(_verdicts(name, files), _events(name, bursts))
 
@@ -124,13 +122,13 @@ def check_signal(t: Tables, mode: str = "strict") -> Outcome:
 def check_black_freeze(t: Tables, mode: str = "strict") -> Outcome:
     """``logs`` and ``durations`` (``file_id, duration_sec``)."""
     name = "validate_black_freeze"
-    black = video.fade_classify(spread_join(L.parse_black(t["logs"]), t["durations"], ["file_id"], "line_no"))
+    black = video.fade_classify(L.parse_black(t["logs"]).join(t["durations"], "file_id", "left"))
     words = (
         F.when(F.col("type") == "fade_in", F.lit("Intentional Fade-In detected."))
         .when(F.col("type") == "fade_out", F.lit("Intentional Fade-Out detected."))
         .otherwise(F.concat(F.lit("Unexpected Black Screen for "), F.col("duration").cast("string"), F.lit("s.")))
     )
-    frozen = pair_start_end(settle(L.parse_freeze(t["logs"]).select("file_id", "line_no", "kind", "at")), ["file_id"])
+    frozen = pair_start_end(L.parse_freeze(t["logs"]).select("file_id", "line_no", "kind", "at"), ["file_id"])
     length = F.round(F.col("end_time") - F.col("start_time"), 2).cast("string")
     frozen = frozen.withColumns({
         "type": F.lit("video_freeze"),
@@ -155,16 +153,18 @@ def check_interlace(t: Tables, mode: str = "strict") -> Outcome:
 
 def artifacts_report(t: Tables, profiles: DataFrame, profile: str | Column = "strict") -> tuple[DataFrame, DataFrame]:
     """``bitrates`` (one row per file) and ``scores`` (``file_id, ts, ord, score``)."""
-    name = F.lit(profile) if isinstance(profile, str) else profile
+    if isinstance(profile, str):
+        rows = with_profile(t["scores"], profiles, profile)
+    else:
+        rows = join_profile(t["scores"].withColumn("profile", profile), profiles)
     scored = (
-        join_profile(t["scores"].withColumn("profile", name), profiles)
-        .where(setting("ml_enabled") & (F.col("score") >= 0))
+        rows.where(setting("ml_enabled") & (F.col("score") >= 0))
         .withColumn("score", F.round("score", 2))
         .withColumn("severity", classify_severity(F.col("score"), setting("mild"), setting("moderate"), setting("severe")))
         .withColumn("min_duration", setting("min_duration_sec"))
         .select("file_id", "min_duration", "ts", "ord", "score", "severity")
     )
-    stitched = settle(fr.stitch_ml_events(scored, "min_duration"))
+    stitched = fr.stitch_ml_events(scored, "min_duration")
     events = _events("validate_artifacts", video.bitrate_events(t["bitrates"]), stitched)
     files = t["bitrates"].select("file_id").join(video.quality_metrics(scored), "file_id", "left")
     return video.artifact_status(files, events), events
@@ -172,15 +172,12 @@ def artifacts_report(t: Tables, profiles: DataFrame, profile: str | Column = "st
 
 def audio_signal_report(t: Tables) -> tuple[DataFrame, DataFrame]:
     """``logs`` of the source, ``mono_logs`` of the channel sum, ``channels`` per file."""
-    # The few parsed silences are read by several branches, the logs only once.
-    source = settle(L.parse_silence(t["logs"]).select("file_id", "start", "end"))
+    source = L.parse_silence(t["logs"]).select("file_id", "start", "end")
     live = t["channels"].where(F.col("channels") > 0).select("file_id")
     stereo = t["channels"].where(F.col("channels") >= 2).select("file_id")
-    mono = settle(
-        spread_join(L.parse_silence(t["mono_logs"]), stereo, ["file_id"], "line_no", "left_semi").select("file_id", "start", "end")
-    )
+    mono = L.parse_silence(t["mono_logs"]).select("file_id", "start", "end").join(stereo, "file_id", "left_semi")
     length = F.format_string("%.2f", F.col("end") - F.col("start"))
-    dropouts = spread_join(source, live, ["file_id"], "start", "left_semi").select(
+    dropouts = source.join(live, "file_id", "left_semi").select(
         "file_id", F.lit("audio_dropout").alias("type"),
         F.concat(F.lit("Audio Silence detected ("), length, F.lit("s).")).alias("details"),
         F.col("start").alias("start_time"), F.col("end").alias("end_time"),
@@ -208,10 +205,13 @@ def check_audio_signal(t: Tables, mode: str = "strict") -> Outcome:
     return Outcome(_verdicts("validate_audio_signal", files), events)
 
 
-def avsync_report(series: DataFrame, durations: DataFrame, mode: str | Column = "strict", window: int = lag.WINDOW_STEPS) -> tuple[DataFrame, DataFrame]:
-    """``series``: ``file_id, i, a, v`` per analysis step."""
-    scaled = lag.max_normalise(lag.max_normalise(series, "a"), "v")
-    offsets = lag.head_tail_drift(scaled, window=window).join(durations, "file_id")
+def avsync_report(series: DataFrame, durations: DataFrame, mode: str | Column = "strict", *, window: int) -> tuple[DataFrame, DataFrame]:
+    """``series``: ``file_id, i, a, v`` per analysis step; the first and last ``window`` steps count.
+
+    Both series are scaled within each window.  A file without a known length
+    has a verdict too.
+    """
+    offsets = lag.head_tail_drift(series, window, scale=True).join(durations, "file_id", "left")
     checked = video.avsync_status(offsets, mode)
     events = _events("validate_avsync", video.avsync_events(checked))
     rounded = {c: F.round(c, 2) for c in ("offset_head_ms", "offset_tail_ms", "drift_ms", "max_offset_ms")}
@@ -220,7 +220,7 @@ def avsync_report(series: DataFrame, durations: DataFrame, mode: str | Column =
 
 
 def check_avsync(t: Tables, mode: str = "strict") -> Outcome:
-    files, events = avsync_report(t["series"], t["durations"], mode)
+    files, events = avsync_report(t["series"], t["durations"], mode, window=lag.WINDOW_STEPS)
     return Outcome(_verdicts("validate_avsync", files), events)
 
 

@@ -24,7 +24,7 @@ def calibration_report(frames: DataFrame, pixels: DataFrame, logs: DataFrame) ->
     """Signal, field and geometry measurements side by side, one row per file."""
     signal = calibration_signal(frames)
     fields = field_metrics(pixels).drop("frames")
-    return signal.join(fields, "file_id", "left").join(last_crop(logs), "file_id", "left")
+    return signal.join(fields, "file_id", "full").join(last_crop(logs), "file_id", "full")
 
 
 def benchmark_grade(plan: DataFrame, results: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:

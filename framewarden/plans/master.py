@@ -31,18 +31,23 @@ def module_table(reports: DataFrame) -> DataFrame:
     return reports.groupBy("file_id", "module").agg(F.max_by(reported_status(), "ord").alias("status"))
 
 
-def master_report(reports: DataFrame, events: DataFrame, profiles: DataFrame, tolerance: float = 0.1) -> Master:
+def master_report(
+    reports: DataFrame, events: DataFrame, profiles: DataFrame, tolerance: float = 0.1, profile: str | None = None
+) -> Master:
     """``reports``: ``file_id, ord, module, status, effective_status, profile``;
-    ``events``: ``file_id, ord, type, start_time, end_time, severity, details``."""
+    ``events``: ``file_id, ord, type, start_time, end_time, severity, details``.
+
+    ``profile`` names one profile for all files; then reports need no such column."""
     stitched = stitch_events(events, tolerance)
-    verdicts = reports.groupBy("file_id", "profile").agg(
+    keys = ["file_id"] if profile else ["file_id", "profile"]
+    verdicts = reports.groupBy(*keys).agg(
         overall_status_of("ord").alias("overall_status"), F.count_distinct("module").alias("n_modules")
     )
     counts = stitched.groupBy("file_id").agg(
         F.count(F.lit(1)).alias("n_events"), F.min("start_time").alias("first_event"), F.max("end_time").alias("last_event")
     )
     files = (
-        governance(verdicts, profiles)
+        governance(verdicts, profiles, name=profile)
         .join(counts, "file_id", "left")
         .withColumn("n_events", F.coalesce("n_events", F.lit(0)))
     )
@@ -56,8 +61,10 @@ def report_events(reports: DataFrame, normalize: bool = False, top_level_only: b
     fills their times first.
     """
     events = collect_events(reports, top_level_only)
-    # Reading order: reports in order, events in order within each.
-    ordered = events.withColumn("ord", F.col("report_ord") * (1 << 20) + F.col("pos"))
+    # Reading order: reports in order, events in order within each.  The widest
+    # decimal has room for any two 64-bit counters.
+    wide = F.col("report_ord").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)")
+    ordered = events.withColumn("ord", (wide + F.col("pos")).cast("decimal(38,0)"))
     if normalize:
         ordered = normalize_event_time(ordered.withColumn("module", F.col("source_module")))
     return ordered

@@ -184,19 +184,39 @@ def setting(name: str) -> Column:
 
 
 def join_profile(df: DataFrame, profiles: DataFrame, on: str = "profile") -> DataFrame:
-    """Add the settings of each row's profile; unknown names use ``strict``.
+    """Add the settings of each row's profile, ``resolved_profile`` its name.
 
-    The dimension has one row per profile, a fixed handful, hence the broadcast.
+    The given table decides which names are known; others use its ``strict`` row.
     """
-    known = F.col(on).isin([r for r in PROFILES])
-    resolved = df.withColumn("resolved_profile", F.when(known, F.col(on)).otherwise(F.lit(FALLBACK)))
+    known = profiles.select(F.col("profile").alias("_known")).distinct()
+    resolved = df.join(known, F.col(on) == F.col("_known"), "left").withColumn(
+        "resolved_profile", F.coalesce("_known", F.lit(FALLBACK))
+    ).drop("_known")
     dim = profiles.withColumnRenamed("profile", "resolved_profile")
-    return resolved.join(F.broadcast(dim), "resolved_profile", "left")
+    return resolved.join(dim, "resolved_profile", "left")
 
 
-def governance(df: DataFrame, profiles: DataFrame, on: str = "profile") -> DataFrame:
-    """``active_profile, config_version_hash, compliance_standard`` for every row."""
-    joined = join_profile(df.select("*"), profiles.select("profile", "config_hash", "description"), on)
+def with_profile(df: DataFrame, profiles: DataFrame, name: str) -> DataFrame:
+    """The settings of one profile as literal columns; an unknown name uses ``strict``.
+
+    Its row is picked before the plan is built, so no join is planned.
+    """
+    rows = {r["profile"]: r for r in profiles.where(F.col("profile").isin(name, FALLBACK)).collect()}
+    row = rows.get(name, rows.get(FALLBACK))
+    fields = [f for f in profiles.schema.fields if f.name != "profile"]
+    return df.withColumns({
+        "resolved_profile": F.lit(row["profile"] if row else FALLBACK),
+        **{f.name: F.lit(row[f.name] if row else None).cast(f.dataType) for f in fields},
+    })
+
+
+def governance(df: DataFrame, profiles: DataFrame, on: str = "profile", name: str | None = None) -> DataFrame:
+    """``active_profile, config_version_hash, compliance_standard`` for every row.
+
+    ``name`` stands for a profile that is the same for all rows.
+    """
+    few = profiles.select("profile", "config_hash", "description")
+    joined = join_profile(df, few, on) if name is None else with_profile(df.withColumn(on, F.lit(name)), few, name)
     return joined.select(
         *df.columns,
         F.col(on).alias("active_profile"),

@@ -7,10 +7,8 @@ depends on the settings below except the UTC time zone.
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "framewarden", cpus: int | str = 8) -> SparkSession:
@@ -29,14 +27,13 @@ def build_session(app: str = "framewarden", cpus: int | str = 8) -> SparkSession
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    shared_dir(spark)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and round trips, below the one the cluster names.
+    """Folder for checkpoints and round trips: the one the cluster names.
 
-    Only a local session without the setting gets a temporary folder.
+    A local session without the setting uses one in its warehouse.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -44,18 +41,6 @@ def shared_dir(spark: SparkSession) -> str:
         if named is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            named = tempfile.mkdtemp(prefix="framewarden-")
+            named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
         sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Keep an expensive narrow result that several branches read.
-
-    One pass writes it as Parquet to the shared folder, so it outlives lost
-    executors and its size is known to the planner.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
