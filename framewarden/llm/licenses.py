@@ -42,12 +42,16 @@ def terms_of(text: Column) -> Column:
 
 
 def sections(files: DataFrame) -> DataFrame:
-    """``path, section``: every line of a text with an anchor, and the whole text of licence files that have one."""
+    """``path, mark, section``: every line of a text with an anchor, and the whole text of licence files that have one.
+
+    ``mark`` is the MD5 of the section, which stands for it where terms are counted.
+    """
     text = text_of()
     lines = F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(ANCHORS)), lambda x: F.trim(x))
     whole = F.when(F.col("path").rlike(LICENSE_FILE), F.array(F.trim(text))).otherwise(F.array().cast("array<string>"))
     found = files.where(F.col("path").isNotNull() & text.rlike(ANCHORS))
-    return found.select("path", F.explode(F.array_distinct(F.concat(lines, whole))).alias("section"))
+    cut = found.select("path", F.explode(F.array_distinct(F.concat(lines, whole))).alias("section"))
+    return cut.withColumn("mark", F.md5("section"))
 
 
 def template_rows(spark: SparkSession, templates: tuple = TEMPLATES) -> DataFrame:
@@ -55,28 +59,30 @@ def template_rows(spark: SparkSession, templates: tuple = TEMPLATES) -> DataFram
 
 
 def similar_templates(found: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFrame:
-    """``section, license, similarity`` of each distinct section whose best template reaches ``least``.
+    """``mark, license, similarity`` of each distinct section whose best template reaches ``least``.
 
     A term's weight is its count times ``ln((1 + n) / (1 + df)) + 1``, with ``n``
     and ``df`` counted over all sections of all files, and the templates.
     Equal sections are weighed together.
     """
-    distinct = written(found.groupBy("section").agg(F.count("*").alias("copies")), "license-sections")
-    vectors = distinct.select("section", "copies", F.explode(terms_of(F.col("section"))).alias("term"))
-    vectors = vectors.groupBy("section", "copies", "term").agg(F.count("*").alias("tf"))
+    copies = written(found.groupBy("mark").agg(F.count("*").alias("copies"), F.min("path").alias("path")), "license-sections")
+    # The terms of one of the equal sections; a task sums them before the shuffle.
+    one = found.join(copies, ["mark", "path"])
+    vectors = one.select("mark", "copies", F.explode(terms_of(F.col("section"))).alias("term"))
+    vectors = vectors.groupBy("mark", "copies", "term").agg(F.count("*").alias("tf"))
     wanted = templates.select("license", F.explode(terms_of(F.col("template"))).alias("term")).groupBy("license", "term").agg(F.count("*").alias("tf"))
     df = vectors.select("term", "copies").union(wanted.select("term", F.lit(1).cast("bigint"))).groupBy("term").agg(F.sum("copies").alias("df"))
-    n = distinct.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] + templates.count()
+    n = copies.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] + templates.count()
     weight = F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
-    weighed = vectors.join(df, "term").select("section", "term", weight.alias("w"))
+    weighed = vectors.join(df, "term").select("mark", "term", weight.alias("w"))
     goal = wanted.join(df, "term").select("license", F.col("term").alias("t_term"), weight.alias("t_w"))
-    size = weighed.groupBy("section").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    size = weighed.groupBy("mark").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
     goal_size = goal.groupBy("license").agg(F.sqrt(F.sum(F.col("t_w") * F.col("t_w"))).alias("goal_size"))
-    dots = weighed.join(goal, F.col("term") == F.col("t_term")).groupBy("section", "license").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
-    rated = dots.join(size, "section").join(goal_size, "license").select(
-        "section", "license", F.round(F.col("dot") / (F.col("size") * F.col("goal_size")), 6).alias("similarity")
+    dots = weighed.join(goal, F.col("term") == F.col("t_term")).groupBy("mark", "license").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
+    rated = dots.join(size, "mark").join(goal_size, "license").select(
+        "mark", "license", F.round(F.col("dot") / (F.col("size") * F.col("goal_size")), 6).alias("similarity")
     )
-    return best(rated.where(F.col("similarity") >= least), ["section"])
+    return best(rated.where(F.col("similarity") >= least), ["mark"])
 
 
 def best(rated: DataFrame, key: list[str]) -> DataFrame:
@@ -99,9 +105,9 @@ def scan_licenses(files: DataFrame, least: float = LEAST, templates: tuple = TEM
     notice; a null path has none and inherits none; an empty table gives an empty
     one.
     """
-    found = written(sections(files.select("path", "text")), "license-found")
+    found = written(sections(files.select("path", "text")).dropDuplicates(["path", "mark"]), "license-found")
     named = similar_templates(found, template_rows(files.sparkSession, templates), least)
-    own = best(found.join(named, "section").select("path", "license", "similarity"), ["path"])
+    own = best(found.select("path", "mark").join(named, "mark").select("path", "license", "similarity"), ["path"])
     own = written(own, "license-own")
     # Folders with a licence file, joined with the folders below them.
     kept = own.where(F.col("path").rlike(LICENSE_FILE)).withColumn("folder", folder_of(F.col("path")))
