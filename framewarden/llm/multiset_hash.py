@@ -67,19 +67,23 @@ def hashed(rows: DataFrame, key: list[str], text: str) -> DataFrame:
         *[F.sum(F.when(first & F.col("u.a").isNotNull(), lane(j)).otherwise(0)).alias(f"e{j}") for j in range(EXACT)],
         *[F.sum(F.when(pair, pack(i)).otherwise(0)).alias(f"s{i}") for i in range(PACKS)],
     )
-    each = lambda c: F.expr(f"{c} div times")
-    half = lambda i, shift: F.expr(f"(shiftrightunsigned(s{i}, {shift}) & 4294967295L) div times")
+    # Sums divide by ``times`` without a rest; the arrays keep the generated code short.
+    once = lambda x: (x / F.col("times")).cast("bigint")
+    wrapped = lambda x, bits: (x + 2 ** (bits - 1)).bitwiseAND(2**bits - 1) - 2 ** (bits - 1)
+    sign = lambda x: wrapped(2 * once(x) - once(F.col("pairs")), 16).cast("short")
+    halves = [F.transform("s", lambda x: sign(x.bitwiseAND(0xFFFFFFFF))), F.transform("s", lambda x: sign(F.shiftrightunsigned(x, 32)))]
     return summed.select(
-        *key, "times", each("pairs").alias("pairs"),
-        F.array(*[each(f"e{j}").bitwiseAND(0xFFFFFFFF) for j in range(EXACT)]).alias("exact"),
-        F.array(*[(2 * half(i, shift) - each("pairs")).cast("int") for shift in (0, 32) for i in range(PACKS)]).alias("signs"),
+        *key, "times", "pairs", F.array(*[F.col(f"e{j}") for j in range(EXACT)]).alias("e"),
+        F.array(*[F.col(f"s{i}") for i in range(PACKS)]).alias("s"),
+    ).select(
+        *key, "times", F.transform("e", lambda x: wrapped(once(x), 32).cast("int")).alias("exact"), F.concat(*halves).alias("signs")
     )
 
 
 def spelled(exact: Column, signs: Column) -> Column:
     """A fingerprint in hex digits: exact lanes modulo 2**32, then sign lanes modulo 2**16."""
-    wide = F.transform(exact, lambda x: F.lpad(F.hex(x), 8, "0"))
-    low = F.transform(signs, lambda x: F.lpad(F.hex(x.bitwiseAND(0xFFFF).cast("bigint")), 4, "0"))
+    wide = F.transform(exact, lambda x: F.lpad(F.hex(x.cast("bigint").bitwiseAND(0xFFFFFFFF)), 8, "0"))
+    low = F.transform(signs, lambda x: F.lpad(F.hex(x.cast("bigint").bitwiseAND(0xFFFF)), 4, "0"))
     return F.lower(F.concat_ws("", F.concat(wide, low)))
 
 
@@ -114,11 +118,11 @@ def chunked(rows: DataFrame, rows_a_chunk: int = 4000, intervals: int = 256, par
     return rows.withColumn("chunk", place(edges))
 
 
-def with_next(rows: DataFrame) -> DataFrame:
-    """Each row with ``next_id, next_mark, next_text`` of the row after it by descending ``id``, then ``mark``.
+def with_next(rows: DataFrame, columns: tuple[str, ...] = ("id", "mark", "text")) -> DataFrame:
+    """Each row with the ``columns``, named ``next_...``, of the row after it by descending ``id``, then ``mark``.
 
-    After the last comes the first.  One shuffle of the texts, by chunk; the
-    first rows of the chunks, at most one each, follow the last of others.
+    After the last comes the first.  One shuffle of the rows, by chunk; the first
+    rows of the chunks, at most one each, follow the last of others.
     """
     rows = chunked(rows)
     spark = rows.sparkSession
@@ -126,13 +130,13 @@ def with_next(rows: DataFrame) -> DataFrame:
     after = {r["chunk"]: tops[(i + 1) % len(tops)]["top"] for i, r in enumerate(tops)}
     heads = bounded_rows(spark, [(c, top) for c, top in after.items()], "before bigint, top bigint", 1 << 16)
     first = rows.join(heads, F.col("id") == F.col("top")).groupBy(F.col("before").alias("chunk")).agg(
-        F.min_by(F.struct("id", "mark", "text"), "mark").alias("head")
+        F.min_by(F.struct(*columns), "mark").alias("head")
     )
     order = Window.partitionBy("chunk").orderBy(F.desc("id"), "mark")
-    ahead = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("id", "mark", "text")})
+    ahead = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
     joined = ahead.join(first, "chunk", "left")
     last = F.col("next_id").isNull()
-    return joined.withColumns({f"next_{c}": F.when(last, F.col(f"head.{c}")).otherwise(F.col(f"next_{c}")) for c in ("id", "mark", "text")}).drop("head", "chunk")
+    return joined.withColumns({f"next_{c}": F.when(last, F.col(f"head.{c}")).otherwise(F.col(f"next_{c}")) for c in columns}).drop("head", "chunk")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -145,7 +149,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("bigint").alias("id"), text_of().alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
-    own = written(hashed(rows, ["id", "mark"], "text").drop("times", "pairs"), "prints")
+    own = written(hashed(rows, ["id", "mark"], "text").drop("times"), "prints")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edits = with_next(rows).select(
@@ -153,14 +157,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.concat(F.left("text", n - half), F.left("next_text", half)).alias("edited"),
     )
     edits = edits.withColumn("sha", F.sha2("edited", 256))
-    changed = hashed(edits, ["id", "mark", "next_id", "next_mark", "n_chars", "sha"], "edited").drop("pairs")
+    changed = hashed(edits, ["id", "mark", "next_id", "next_mark", "n_chars", "sha"], "edited")
     named = lambda df, p: df.withColumnsRenamed({"exact": f"{p}_exact", "signs": f"{p}_signs"})
-    following = named(own, "after").withColumnsRenamed({"id": "next_id", "mark": "next_mark"})
-    all_three = named(changed, "edited").join(named(own, "own"), ["id", "mark"]).join(following, ["next_id", "next_mark"])
+    # Of equal rows all but the last are followed by their like.
+    ahead = named(with_next(own, ("id", "mark", "exact", "signs")), "own").withColumnsRenamed(
+        {"next_exact": "after_exact", "next_signs": "after_signs"}
+    )
+    onward = ahead.select("id", "mark", likeness("own", "after").alias("onward"))
+    all_three = named(changed, "edited").join(named(own, "own"), ["id", "mark"]).join(onward, ["id", "mark"])
+    like = (F.col("id") == F.col("next_id")) & (F.col("mark") == F.col("next_mark"))
     return all_three.select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_chars", F.col("sha").alias("edited_sha256"),
         spelled(F.col("own_exact"), F.col("own_signs")).alias("fingerprint"),
         spelled(F.col("edited_exact"), F.col("edited_signs")).alias("edited_fingerprint"),
-        likeness("own", "edited").alias("near_edited"), likeness("own", "after").alias("near_next"),
+        likeness("own", "edited").alias("near_edited"), F.when(like, 1.0).otherwise(F.col("onward")).alias("near_next"),
         F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_copy"),
     ).drop("_copy")
