@@ -10,9 +10,9 @@ from ..operators import events as ev
 from ..operators import frames as fr
 from ..operators import jobs as jb
 from ..operators.segments import assign_segment, plan_segments
-from ..operators.verdicts import crash_reports, missing_keys
+from ..operators.verdicts import contract_violations, crash_reports, missing_keys
 from ..plans.checks import CHECKS as REGISTRY
-from ..plans.checks import map_segments, run_checks
+from ..plans.checks import map_segments, report_rows, run_checks
 from ..plans.master import report_events
 from ..sources.readers import parse_reports
 from . import query
@@ -160,15 +160,36 @@ def mapped(frames):
 
 
 @query(
-    "run_checks", "frames",
+    "run_checks", "frames", "pixels",
     sql=f"""with {BURST_SQL}, {RUN_SQL}, f as (select distinct file_id from frames),
+       every as (select file_id from frames union select file_id from pixels),
+       none as (select file_id from every where file_id not in (select file_id from frames)),
        a as (select f.file_id, (select count(*) from vruns v where v.file_id = f.file_id) as n, (select count(*) from bursts b where b.file_id = f.file_id) as m from f)
        select file_id, 'validate_analog' as module, case when n > 10 then 'REJECTED' when n > 0 then 'WARNING' else 'PASSED' end as status,
          case when n > 10 then 'REJECTED' when n > 0 then 'WARNING' else 'PASSED' end as effective_status, 0 as ord from a
-       union all select file_id, 'validate_signal', case when m > 0 then 'REJECTED' else 'PASSED' end, case when m > 0 then 'REJECTED' else 'PASSED' end, 1 from a""",
+       union all select file_id, 'validate_signal', case when m > 0 then 'REJECTED' else 'PASSED' end, case when m > 0 then 'REJECTED' else 'PASSED' end, 1 from a
+       union all select file_id, 'validate_analog', 'WARNING', 'WARNING', 0 from none
+       union all select file_id, 'validate_signal', 'WARNING', 'WARNING', 1 from none""",
 )
-def registry(frames):
-    return run_checks(REGISTRY, {"frames": frames}, "strict", ("validate_analog", "validate_signal")).verdicts
+def registry(frames, pixels):
+    """Files that only the pixel table knows have no frames to check."""
+    files = frames.select("file_id").union(pixels.select("file_id")).distinct()
+    return run_checks(REGISTRY, {"frames": frames, "files": files}, "strict", ("validate_analog", "validate_signal")).verdicts
+
+
+@query(
+    "check_reports", "frames",
+    sql="""with s as (select file_id, least(255, min(ymin)) as lo, greatest(0, max(ymax)) as hi, count(*) as n from frames group by 1)
+       select file_id, cast(lo as double) as signal_min_y, cast(hi as double) as signal_max_y, cast(n as double) as total_frames, false as broken from s""",
+)
+def check_reports(frames):
+    """Metrics of the signal check's reports, which keep the report contract."""
+    reports = report_rows(run_checks(REGISTRY, {"frames": frames}, "strict", ("validate_signal",)))
+    broken = contract_violations(reports).select("file_id", F.lit(True).alias("broken"))
+    number = lambda n: F.try_element_at("metrics", F.lit(n)).alias(n)
+    return reports.join(broken, "file_id", "left").select(
+        "file_id", number("signal_min_y"), number("signal_max_y"), number("total_frames"), F.coalesce("broken", F.lit(False)).alias("broken")
+    )
 
 
 @query(

@@ -36,9 +36,18 @@ def registered(name: str, *views: str, sql: str | None = None):
     return keep
 
 
-@registered("scan_media_manifest")
+@registered(
+    "scan_media_manifest", "orders",
+    sql="""select distinct 'month=' || strftime(cast(o_orderdate as date), '%Y-%m') as folder, '.parquet' as suffix, 1 as n_files from orders""",
+)
 def scan_media_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.scan_media_manifest(spark, sf_dir, (".parquet",)).select("filename", "suffix", "length")
+    """Orders written by month, one file each, and the folders listed again."""
+    path = scratch(spark, "manifest")
+    orders = load(spark, sf_dir, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    orders.repartition("month").write.partitionBy("month").parquet(path)
+    files = readers.scan_media_manifest(spark, path, (".parquet",))
+    folder = F.element_at(F.split("path", "/"), -2)
+    return files.groupBy(folder.alias("folder"), "suffix").agg(F.count(F.lit(1)).cast("int").alias("n_files"))
 
 
 def nest_probes(flat: DataFrame) -> DataFrame:
@@ -155,12 +164,27 @@ def read_frame_stats(frames: DataFrame) -> DataFrame:
     return readers.parse_frame_stats(docs.select(name.alias("file_id"), text.alias("text")))
 
 
+@registered(
+    "read_logs", "logs",
+    sql="""select cast(file_id as varchar) as log, row_number() over (partition by file_id order by line_no) - 1 as line_no, line from logs""",
+)
+def read_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs written as text files, one a media file, and read again."""
+    path = scratch(spark, "logs")
+    lines = load(spark, sf_dir, "logs").select("file_id", "line_no", "line")
+    # One writer a log keeps its lines in one file.
+    ordered = lines.repartition("file_id").sortWithinPartitions("file_id", "line_no")
+    ordered.select("file_id", "line").write.partitionBy("file_id").text(path)
+    files = readers.read_logs(spark, path, "*.txt")
+    return files.select(F.regexp_extract("folder", "file_id=(.*)$", 1).alias("log"), "line_no", "line")
+
+
 @query(
-    "read_logs", "loudnorm_logs",
+    "split_lines", "loudnorm_logs",
     sql="""select file_id, cast(generate_subscripts(l, 1) - 1 as bigint) as line_no, unnest(l) as line
        from (select file_id, string_split(log, chr(10)) as l from loudnorm_logs) t""",
 )
-def read_logs(docs: DataFrame) -> DataFrame:
+def split_lines(docs: DataFrame) -> DataFrame:
     return readers.split_lines(docs, "log")
 
 
@@ -177,9 +201,11 @@ def read_segment_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_segment_list(spark, path)
 
 
-@query("read_jobs", "jobs", sql="select id, original_filename, status, created_at, fix_status from jobs")
-def read_jobs(jobs: DataFrame) -> DataFrame:
-    return jobs.select("id", "original_filename", "status", "created_at", "fix_status")
+@registered("read_jobs", "jobs", sql="select id, original_filename, status, created_at, fix_status from jobs")
+def read_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "jobs")
+    load(spark, sf_dir, "jobs").write.parquet(path)
+    return readers.read_jobs(spark, path).select("id", "original_filename", "status", "created_at", "fix_status")
 
 
 _STITCHED = """
@@ -199,26 +225,28 @@ stitched as (select file_id, type, id, min(start_time) as start_time, max(end_ti
        {_STITCHED}
        select cast(v.file_id as bigint) as file_id, case r when 3 then 'REJECTED' when 2 then 'WARNING' else 'PASSED' end as overall_status,
        n_modules, (select count(*) from stitched s where s.file_id = v.file_id) as n_events,
-       coalesce((select sum(s.end_time) from stitched s where s.file_id = v.file_id and s.end_time < 1), 0.0e0) as early_end
+       coalesce((select sum(s.end_time) from stitched s where s.file_id = v.file_id and s.end_time < 1), 0.0e0) as early_end,
+       (select cast(sum(w) as double) from (select module, arg_max(ord, (ord, report_id)) as w from reports r where r.file_id = v.file_id group by module) t) as metric_sum
        from v""",
 )
 def write_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the JSON master reports and read them back."""
     reports, timeline = load(spark, sf_dir, "reports"), load(spark, sf_dir, "timeline")
     reports = reports.withColumn("effective_status", F.lit(None).cast("string"))
-    master = overall_status(reports).withColumn("profile", F.lit("strict"))
-    docs = writers.master_documents(master, module_table(reports), stitch_events(timeline))
     path = scratch(spark, "master")
-    writers.write_master(docs, path)
-    event = "struct<start_time:double,type:string,end_time:double>"
-    back = spark.read.schema(
-        f"file_id long, part int, overall_status string, modules map<string,string>, aggregated_events array<{event}>"
-    ).json(path)
-    early = F.filter("aggregated_events", lambda e: e["end_time"] < 1)
-    return back.groupBy("file_id").agg(
-        F.first("overall_status").alias("overall_status"), F.max(F.size("modules")).cast("long").alias("n_modules"),
-        F.sum(F.size("aggregated_events")).alias("n_events"),
-        F.sum(F.aggregate(early, F.lit(0.0), lambda a, e: a + e["end_time"])).alias("early_end"),
+    numbered = reports.withColumn("metrics", F.create_map(F.lit("ord"), F.col("ord").cast("double"))).withColumn("ord", F.struct("ord", "report_id"))
+    writers.write_master(overall_status(reports), module_table(numbered), stitch_events(timeline), path)
+    read = lambda name, schema: spark.read.schema(schema).json(f"{path}/{name}")
+    files = read("files", "file_id long, overall_status string")
+    modules = read("modules", "file_id long, module string, status string, metrics map<string,double>").groupBy("file_id").agg(
+        F.count(F.lit(1)).alias("n_modules"), F.sum(F.try_element_at("metrics", F.lit("ord"))).alias("metric_sum")
+    )
+    events = read("events", "file_id long, start_time double, end_time double, type string").groupBy("file_id").agg(
+        F.count(F.lit(1)).alias("n_events"), F.sum(F.when(F.col("end_time") < 1, F.col("end_time"))).alias("early_end")
+    )
+    return files.join(modules, "file_id", "left").join(events, "file_id", "left").select(
+        "file_id", "overall_status", "n_modules", F.coalesce("n_events", F.lit(0)).alias("n_events"),
+        F.coalesce("early_end", F.lit(0.0)).alias("early_end"), "metric_sum",
     )
 
 

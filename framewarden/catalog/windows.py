@@ -8,7 +8,7 @@ from ..functions import logs as L
 from ..functions.quality import classify_severity
 from ..operators import frames as fr
 from ..operators.density import broadcast_bursts
-from ..operators.intervals import stitch_events
+from ..operators.intervals import stitch_events, stitch_islands
 from ..operators.lag import max_normalise, motion_energy
 from . import query
 from .aggregates import DUP_SQL, marked
@@ -32,6 +32,18 @@ def stitch(timeline):
     return stitch_events(timeline).select(*STITCHED_COLUMNS)
 
 
+@query(
+    "stitch_texts", "timeline",
+    sql=f"""with own as (select * replace (concat(details, ' of ', cast(ord as varchar)) as details) from timeline), {stitched_sql('own', 't')}
+       select file_id, type, min(start_time) over (partition by file_id, type, isl) as start_time,
+         first_value(ord) over (partition by file_id, type, isl order by start_time, ord) as ord, details from t_i""",
+)
+def stitch_texts(timeline):
+    """Texts of merged events as rows, with a text of its own for every event."""
+    own = timeline.withColumn("details", F.concat("details", F.lit(" of "), F.col("ord").cast("string")))
+    return stitch_islands(own).texts.select("file_id", "type", "start_time", "ord", "details")
+
+
 def ml_sql(source: str, extra: str = "1.0e0") -> str:
     return f"""dirty as (select * from {source} where severity <> 'CLEAN'),
  g as (select *, case when ts - lag(ts) over (partition by file_id order by ts, ord) <= 1.5e0 then 0 else 1 end as new from dirty),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,25 +21,33 @@ def fold_details(items: Column) -> Column:
     )
 
 
-def stitch_events(
+@dataclass(frozen=True)
+class Stitched:
+    """``islands``: one numeric row per merged event; ``texts``: its distinct texts as rows, numbered by ``at``."""
+
+    islands: DataFrame
+    texts: DataFrame
+
+
+def stitch_islands(
     events: DataFrame,
     tolerance: float = 0.1,
     keys: Sequence[str] = ("file_id",),
     carry: Sequence[str] = ("severity",),
     width: float = CHUNK_SEC,
-) -> DataFrame:
+) -> Stitched:
     """Merge events of one type that overlap or follow within ``tolerance``.
 
     Input: ``keys, ord, type, start_time, end_time, details`` and the ``carry``
     columns, which come from the first event of each merged one.  Missing times
-    count as 0.  Output: one row per merged event with ``n_events``.
-
-    Rows that differ only in ``ord`` and end are combined before the shuffle, so
-    a chunk is bounded by its distinct starts and texts, not by its rows.  Rows
-    whose end lies before ``start - tolerance`` cannot be joined to by a row
-    with the same start and are kept apart by ``ord``.  An island is named by
-    its first row (start and ord), which travels as grouping keys; the
-    aggregates are plain numbers and stay hash-based.
+    count as 0.  An island is named by its first row: ``keys``, ``type`` and the
+    ``start_time`` and ``ord`` of that row.
+
+    Rows that differ only in ``ord`` and end are combined before the shuffle.
+    Rows whose end lies before ``start - tolerance`` cannot be joined to by a row
+    with the same start and are kept apart by ``ord``.  What goes on from chunk to
+    chunk is settled on numbers, at most two rows a chunk; texts are rows
+    throughout and only look up the name of their island.
     """
     keys, carry = list(keys), list(carry)
     full = [*keys, "_type"]
@@ -74,16 +83,9 @@ def stitch_events(
         F.row_number().over(in_order).alias("_rn"),
         F.last(F.when(F.col("_opens"), F.struct(*head.values(), *carry)), ignorenulls=True).over(in_order).alias("_h"),
     )
-    pieces = (
-        marked.select(
-            "*", *[F.col(f"_h.{c}").alias(n) for n, c in {**head, **first}.items()],
-        )
-        .groupBy(*full, "_chunk", *head, *first, "details")
-        .agg(
-            F.max("end_time").alias("end_time"),
-            F.sum("n_events").alias("n_events"),
-            F.min("_rn").alias("_rn"),
-        )
+    placed = marked.select("*", *[F.col(f"_h.{c}").alias(n) for n, c in {**head, **first}.items()])
+    pieces = placed.groupBy(*full, "_chunk", *head, *first).agg(
+        F.max("end_time").alias("end_time"), F.sum("n_events").alias("n_events")
     )
     # Pieces that continue an island, and each chunk's last island, which may be
     # continued, meet per file; the rest is final.
@@ -96,32 +98,46 @@ def stitch_events(
     # Continuations (no head) come first in their chunk and take the head before.
     w = Window.partitionBy(*full, "_slot").orderBy("_chunk", F.asc_nulls_first("_h_start_time"), F.asc_nulls_first("_h_ord"))
     named = F.struct(*head, *first)
-    merged = (
-        slotted.withColumn("_h", F.last(F.when(F.col("_h_ord").isNotNull(), named), ignorenulls=True).over(w))
-        .select(
-            *full, "_slot", "end_time", "details", "n_events",
-            (F.col("_chunk") * (1 << 32) + F.col("_rn")).alias("_at"),
-            *[F.col(f"_h.{n}").alias(n) for n in (*head, *first)],
-        )
-        .groupBy(*full, "_slot", *head, *first, "details")
-        .agg(F.max("end_time").alias("end_time"), F.sum("n_events").alias("n_events"), F.min("_at").alias("_at"))
-        .groupBy(*full, "_slot", *head, *first)
-        .agg(
-            F.max("end_time").alias("end_time"),
-            F.sum("n_events").alias("n_events"),
-            # The distinct texts that make up this one output cell.
-            F.array_sort(F.collect_list(F.struct("_at", "details"))).alias("_texts"),
-        )
-    )
-    return merged.select(
-        *keys,
-        open_key("_type").alias("type"),
-        F.col("_h_start_time").alias("start_time"),
-        "end_time",
-        *[F.col(f"_f_{c}").alias(c) for c in carry],
-        fold_details(F.col("_texts")).alias("details"),
-        "n_events",
-        F.col("_h_ord").alias("ord"),
+    carried = slotted.withColumn("_h", F.last(F.when(F.col("_h_ord").isNotNull(), named), ignorenulls=True).over(w)).withColumn(
+        "_goes_on", F.col("_h_ord").isNull()
+    )
+    merged = carried.select(
+        *full, "_slot", "_chunk", "_goes_on", "end_time", "n_events", *[F.col(f"_h.{n}").alias(n) for n in (*head, *first)]
+    )
+    islands = merged.groupBy(*full, "_slot", *head, *first).agg(F.max("end_time").alias("end_time"), F.sum("n_events").alias("n_events"))
+    name = [*keys, open_key("_type").alias("type"), F.col("_h_start_time").alias("start_time"), F.col("_h_ord").alias("ord")]
+    numbers = islands.select(*name, "end_time", *[F.col(f"_f_{c}").alias(c) for c in carry], "n_events")
+    # Texts: those of a continued island take its name, the others have theirs.
+    at = (F.col("_chunk").cast("decimal(38,0)") * (1 << 40) + F.col("_rn")).alias("at")
+    texts = placed.groupBy(*full, "_chunk", *head, "details").agg(F.min("_rn").alias("_rn"))
+    going_on = merged.where("_goes_on").select(*full, "_chunk", *head)
+    lines = texts.where(F.col("_h_ord").isNotNull()).select(*full, *head, "details", at).unionByName(
+        texts.where(F.col("_h_ord").isNull()).drop(*head).join(going_on, [*full, "_chunk"]).select(*full, *head, "details", at)
+    )
+    lines = lines.groupBy(*full, *head, "details").agg(F.min("at").alias("at"))
+    return Stitched(numbers, lines.select(*name, "at", "details"))
+
+
+def stitch_events(
+    events: DataFrame,
+    tolerance: float = 0.1,
+    keys: Sequence[str] = ("file_id",),
+    carry: Sequence[str] = ("severity",),
+    width: float = CHUNK_SEC,
+) -> DataFrame:
+    """Merged events with their texts folded into one ``details`` cell.
+
+    One row per merged event with ``n_events``.  The cell joins the distinct texts
+    of the events, so it suits timelines whose events share few texts; where each
+    has its own, take ``stitch_islands`` and leave the texts as rows.
+    """
+    both = stitch_islands(events, tolerance, keys, carry, width)
+    name = [*keys, "_t", "start_time", "ord"]
+    folded = both.texts.withColumn("_t", solid_key("type")).groupBy(*name).agg(
+        fold_details(F.array_sort(F.collect_list(F.struct("at", "details")))).alias("details")
+    )
+    return both.islands.withColumn("_t", solid_key("type")).join(folded, name).select(
+        *keys, "type", "start_time", "end_time", *carry, "details", "n_events", "ord"
     )
 
 

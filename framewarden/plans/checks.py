@@ -31,8 +31,11 @@ EVENT_COLUMNS = ("type", "start_time", "end_time", "severity", "details")
 
 @dataclass(frozen=True)
 class Outcome:
+    """``metrics``: ``file_id, module, metrics``, a map of the numbers a report states."""
+
     verdicts: DataFrame
     events: DataFrame
+    metrics: DataFrame
 
 
 Tables = dict[str, DataFrame]
@@ -51,6 +54,13 @@ def _events(module: str, *parts: DataFrame) -> DataFrame:
     return out
 
 
+def _metrics(module: str, df: DataFrame, *names: str) -> DataFrame:
+    """The named columns as one map; what is null is left out."""
+    values = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n).cast("double") for n in names]))
+    present = F.map_filter(values, lambda _, v: v.isNotNull()) if names else F.create_map().cast("map<string,double>")
+    return df.select("file_id", F.lit(module).alias("module"), present.alias("metrics"))
+
+
 def _verdicts(module: str, df: DataFrame) -> DataFrame:
     effective = F.col("effective_status") if "effective_status" in df.columns else F.col("status")
     return df.select("file_id", F.lit(module).alias("module"), "status", effective.alias("effective_status"))
@@ -58,9 +68,11 @@ def _verdicts(module: str, df: DataFrame) -> DataFrame:
 
 def check_structure(t: Tables, mode: str = "strict") -> Outcome:
     name = "validate_structure"
+    measured = picture.structure_metrics(t["probes"])
     return Outcome(
         _verdicts(name, picture.structure_status(t["probes"])),
         _events(name, picture.structure_events(t["probes"], mode)),
+        _metrics(name, measured, "duration_sec", "bitrate_bps", "track_count_video", "track_count_audio", "track_count_subs"),
     )
 
 
@@ -73,7 +85,10 @@ def check_geometry(t: Tables, mode: str = "strict") -> Outcome:
         "ar_distortion",
         F.format_string("Metadata DAR (%.2f) mismatch with Resolution-based DAR (%.2f).", "display_ratio", "calculated_ratio"),
     ))
-    return Outcome(_verdicts(name, checked), _events(name, distorted, picture.active_area_events(t["geometry"])))
+    return Outcome(
+        _verdicts(name, checked), _events(name, distorted, picture.active_area_events(t["geometry"])),
+        _metrics(name, checked, "display_ratio", "calculated_ratio", "blanking_pct"),
+    )
 
 
 def frames_report(t: Tables, fps: float = 25.0, max_changed: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -101,7 +116,8 @@ def frames_report(t: Tables, fps: float = 25.0, max_changed: int = 50) -> tuple[
 
 def check_frames(t: Tables, mode: str = "strict") -> Outcome:
     files, events = frames_report(t)
-    return Outcome(_verdicts("validate_frames", files), events)
+    name = "validate_frames"
+    return Outcome(_verdicts(name, files), events, _metrics(name, files, "duplicate_frame_count", "max_pts_drift_ms"))
 
 
 def check_analog(t: Tables, mode: str = "strict") -> Outcome:
@@ -109,14 +125,16 @@ def check_analog(t: Tables, mode: str = "strict") -> Outcome:
     runs = fr.vrep_runs(t["frames"])
     counts = fr.vrep_spike_count(t["frames"], runs)
     found = runs.select("file_id", "details", F.col("timestamp").alias("start_time"))
-    return Outcome(_verdicts(name, counts.withColumn("status", video.analog_status(F.col("vrep_spikes")))), _events(name, found))
+    checked = counts.withColumn("status", video.analog_status(F.col("vrep_spikes")))
+    return Outcome(_verdicts(name, checked), _events(name, found), _metrics(name, counts, "vrep_spikes"))
 
 
 def check_signal(t: Tables, mode: str = "strict") -> Outcome:
     name = "validate_signal"
     bursts = broadcast_bursts(t["frames"], mode)
     files = video.signal_status(video.signal_metrics(t["frames"]), bursts)
-    return Outcome(_verdicts(name, files), _events(name, bursts))
+    names = ("signal_min_y", "signal_max_y", "broadcast_illegal_frames", "saturation_warnings", "total_frames")
+    return Outcome(_verdicts(name, files), _events(name, bursts), _metrics(name, files, *names))
 
 
 def check_black_freeze(t: Tables, mode: str = "strict") -> Outcome:
@@ -135,8 +153,10 @@ def check_black_freeze(t: Tables, mode: str = "strict") -> Outcome:
         "details": F.concat(F.lit("Video Freeze detected for "), length, F.lit("s.")),
     })
     events = _events(name, black.withColumn("details", words), frozen)
-    files = video.black_freeze_status(t["durations"].select("file_id"), events)
-    return Outcome(_verdicts(name, files), events)
+    # A file without a known length has a verdict too.
+    every = t["durations"].select("file_id").union(t["logs"].select("file_id")).distinct()
+    files = video.black_freeze_status(every, events)
+    return Outcome(_verdicts(name, files), events, _metrics(name, files))
 
 
 def check_interlace(t: Tables, mode: str = "strict") -> Outcome:
@@ -148,7 +168,7 @@ def check_interlace(t: Tables, mode: str = "strict") -> Outcome:
         event("global_interlace_warning", F.format_string(
             "Low average Field PSNR (%.2f dB). Content appears globally interlaced.", "avg_psnr"), F.lit(0.0), F.lit(0.0)),
     )
-    return Outcome(_verdicts(name, checked), _events(name, warned))
+    return Outcome(_verdicts(name, checked), _events(name, warned), _metrics(name, checked, "avg_psnr"))
 
 
 def artifacts_report(t: Tables, profiles: DataFrame, profile: str | Column = "strict") -> tuple[DataFrame, DataFrame]:
@@ -202,7 +222,8 @@ def audio_signal_report(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 def check_audio_signal(t: Tables, mode: str = "strict") -> Outcome:
     files, events = audio_signal_report(t)
-    return Outcome(_verdicts("validate_audio_signal", files), events)
+    name = "validate_audio_signal"
+    return Outcome(_verdicts(name, files), events, _metrics(name, files, "dc_offset_max", "dynamic_range_db", "peak_volume_db"))
 
 
 def avsync_report(series: DataFrame, durations: DataFrame, mode: str | Column = "strict", *, window: int) -> tuple[DataFrame, DataFrame]:
@@ -221,7 +242,9 @@ def avsync_report(series: DataFrame, durations: DataFrame, mode: str | Column =
 
 def check_avsync(t: Tables, mode: str = "strict") -> Outcome:
     files, events = avsync_report(t["series"], t["durations"], mode, window=lag.WINDOW_STEPS)
-    return Outcome(_verdicts("validate_avsync", files), events)
+    name = "validate_avsync"
+    names = ("offset_head_ms", "offset_tail_ms", "drift_ms", "max_offset_ms", "confidence_score")
+    return Outcome(_verdicts(name, files), events, _metrics(name, files, *names))
 
 
 # Checks that need only measurement tables; the profile-driven ones are bound by
@@ -244,13 +267,15 @@ def with_profiles(profiles: DataFrame) -> dict[str, Callable[[Tables, str], Outc
 
     def artifacts(t: Tables, mode: str = "strict") -> Outcome:
         files, events = artifacts_report(t, profiles, mode)
-        return Outcome(_verdicts("validate_artifacts", files), events)
+        name = "validate_artifacts"
+        return Outcome(_verdicts(name, files), events, _metrics(name, files, "frames_analyzed", "avg_quality_score", "worst_score"))
 
     def loudness(t: Tables, mode: str = "strict") -> Outcome:
         measured = t["loudness"].withColumn("profile", F.lit(mode))
         return Outcome(
             _verdicts("validate_loudness", sound.loudness_check(measured, profiles)),
             _events("validate_loudness", sound.loudness_events(measured, profiles)),
+            _metrics("validate_loudness", measured, "integrated_lufs", "true_peak"),
         )
 
     def phase(t: Tables, mode: str = "strict") -> Outcome:
@@ -260,7 +285,8 @@ def with_profiles(profiles: DataFrame) -> dict[str, Callable[[Tables, str], Outc
             metrics = every.join(metrics, ["file_id", "profile"], "left")
         checked = sound.phase_status(metrics, profiles)
         none = checked.where(F.lit(False)).withColumn("type", F.lit(None).cast("string")).select("file_id", "type")
-        return Outcome(_verdicts("validate_phase", checked), _events("validate_phase", none))
+        numbers = _metrics("validate_phase", checked, "mean_phase_correlation", "min_phase_correlation")
+        return Outcome(_verdicts("validate_phase", checked), _events("validate_phase", none), numbers)
 
     return {**CHECKS, "validate_artifacts": artifacts, "validate_loudness": loudness, "validate_phase": phase}
 
@@ -283,14 +309,44 @@ MODULES = (
 
 
 def run_checks(registry: dict[str, Callable[[Tables, str], Outcome]], tables: Tables, mode: str = "strict", modules=MODULES) -> Outcome:
-    """Union of the named checks' outcomes, numbered in the given order."""
-    verdicts = events = None
+    """Union of the named checks' outcomes, numbered in the given order.
+
+    With a table ``files`` every file has a verdict of every module: WARNING
+    where the module's tables know nothing of it.
+    """
+    verdicts = events = metrics = None
     for position, name in enumerate(modules):
         out = registry[name](tables, mode)
-        v = out.verdicts.withColumn("ord", F.lit(position))
+        found = out.verdicts
+        if "files" in tables:
+            every = tables["files"].select("file_id", F.lit(name).alias("module"))
+            found = every.join(found.drop("module"), "file_id", "left").select(
+                "file_id", "module", *[F.coalesce(c, F.lit("WARNING")).alias(c) for c in ("status", "effective_status")]
+            )
+        v = found.withColumn("ord", F.lit(position))
         verdicts = v if verdicts is None else verdicts.unionByName(v)
         events = out.events if events is None else events.unionByName(out.events)
-    return Outcome(verdicts, events)
+        metrics = out.metrics if metrics is None else metrics.unionByName(out.metrics)
+    return Outcome(verdicts, events, metrics)
+
+
+def report_rows(outcome: Outcome) -> DataFrame:
+    """One row a report: verdict, ``metrics``, ``n_events`` and ``present_keys``, as the contract check reads them.
+
+    Events stay rows of their own.
+    """
+    counts = outcome.events.groupBy("file_id", "module").agg(F.count(F.lit(1)).alias("n_events"))
+    rows = outcome.verdicts.join(outcome.metrics, ["file_id", "module"], "left").join(counts, ["file_id", "module"], "left")
+    keys = ("module", "video_file", "status", "metrics", "events")
+    return rows.withColumns({
+        "metrics": F.coalesce("metrics", F.create_map().cast("map<string,double>")),
+        "n_events": F.coalesce("n_events", F.lit(0)), "present_keys": F.array(*[F.lit(k) for k in keys]),
+    })
+
+
+def segment_values(reports: DataFrame) -> DataFrame:
+    """``file_id, segment_id, module, key, v`` of reports of segments, for folding their metrics."""
+    return reports.select("file_id", "segment_id", "module", F.explode("metrics").alias("key", "v"))
 
 
 def map_segments(rows: DataFrame, validators: dict[str, Callable[[Iterable[pd.DataFrame]], str]], keys=("file_id", "segment_id")) -> DataFrame:

@@ -2,7 +2,7 @@
 
 The report stays three tables (one row per file, per module, per event); nesting
 a file's whole timeline in one row would not scale with the file.  The JSON form
-is written by ``sources.writers.master_documents``.
+is written by ``sources.writers.write_master``.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.events import collect_events, normalize_event_time
-from ..operators.intervals import stitch_events
+from ..operators.intervals import stitch_events, stitch_islands
 from ..operators.segments import join_segment_offset, merge_segment_details, shift_times, tag_origin
 from ..operators.verdicts import escalate, overall_status_of, reported_status, segment_summary, segment_worst_status
 from ..profiles import governance
@@ -27,8 +27,12 @@ class Master:
 
 
 def module_table(reports: DataFrame) -> DataFrame:
-    """A file's modules; a later report of the same module replaces the earlier."""
-    return reports.groupBy("file_id", "module").agg(F.max_by(reported_status(), "ord").alias("status"))
+    """A file's modules; a later report of the same module replaces the earlier.
+
+    Reports with ``metrics`` keep those of the last one.
+    """
+    kept = [F.max_by("metrics", "ord").alias("metrics")] if "metrics" in reports.columns else []
+    return reports.groupBy("file_id", "module").agg(F.max_by(reported_status(), "ord").alias("status"), *kept)
 
 
 def master_report(
@@ -43,7 +47,8 @@ def master_report(
     verdicts = reports.groupBy(*keys).agg(
         overall_status_of("ord").alias("overall_status"), F.count_distinct("module").alias("n_modules")
     )
-    counts = stitched.groupBy("file_id").agg(
+    # The verdict needs numbers only.
+    counts = stitch_islands(events, tolerance).islands.groupBy("file_id").agg(
         F.count(F.lit(1)).alias("n_events"), F.min("start_time").alias("first_event"), F.max("end_time").alias("last_event")
     )
     files = (

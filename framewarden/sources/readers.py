@@ -1,5 +1,6 @@
-"""Readers.  A JSON document or log is one row, since neither can be split;
-convert large libraries to Parquet once and run the operators on that."""
+"""Readers.  Logs are read line by line, in blocks.  A JSON document is one row,
+since it cannot be split; convert large libraries to Parquet once and run the
+operators on that."""
 
 from __future__ import annotations
 
@@ -7,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators.chunks import numbered
 
 # Media file suffixes; the batch tool also takes ``.ts``.
 MEDIA_SUFFIXES = (".mp4", ".mov", ".mkv", ".avi", ".mxf")
@@ -138,7 +140,21 @@ def split_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_logs(spark: SparkSession, folder: str, glob: str = "*.log") -> DataFrame:
-    return split_lines(read_texts(spark, folder, glob), "text")
+    """``file_id`` (stem), ``folder, line_no, line``; a long log is read in blocks by several tasks.
+
+    Lines are counted within their block first; the blocks before it add theirs.
+    """
+    lines = (
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+        .option("ignoreMissingFiles", "true").text(folder)
+    )
+    placed = lines.select(
+        _stem(F.col("_metadata.file_path")).alias("file_id"), _folder(F.col("_metadata.file_path")).alias("folder"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"),
+    )
+    counted = numbered(placed, ["folder", "file_id"], F.col("block"), ["pos"], "line_no")
+    return counted.select("file_id", "folder", "line_no", "line")
 
 
 def read_segment_list(spark: SparkSession, path: str) -> DataFrame:
@@ -146,8 +162,18 @@ def read_segment_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.SEGMENT_LIST).csv(path).where(F.col("name").isNotNull()).select("name", "start_time")
 
 
+# What lets Spark read a table over JDBC in several tasks.
+JDBC_BOUNDS = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
+
+
 def read_jobs(spark: SparkSession, path: str | None = None, **jdbc) -> DataFrame:
-    """The job table: Parquet at ``path``, or JDBC options (``url, dbtable, ...``)."""
+    """The job table: Parquet at ``path``, or JDBC options (``url, dbtable, ...``).
+
+    JDBC needs the bounds of its partition column, or one task would read it all.
+    """
     if path is not None:
         return spark.read.parquet(path)
+    missing = [b for b in JDBC_BOUNDS if b not in jdbc]
+    if missing:
+        raise ValueError("JDBC options missing: " + ", ".join(missing))
     return spark.read.format("jdbc").options(**jdbc).load()

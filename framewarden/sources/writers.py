@@ -5,36 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DOCUMENT_SPAN_SEC = 6 * 3600.0
 
 
-def master_documents(master: DataFrame, modules: DataFrame, events: DataFrame, span_sec: float = DOCUMENT_SPAN_SEC) -> DataFrame:
-    """One JSON-shaped row per file and stretch of ``span_sec``.
+def write_master(files: DataFrame, modules: DataFrame, events: DataFrame, path: str) -> None:
+    """Master documents as JSON lines in three folders, whatever a file's length.
 
-    Stitched events of one type lie further apart than the stitching tolerance,
-    so a stretch holds a bounded number of them; nothing is left out.  Ordinary
-    files fit in part 0.
+    ``files`` has a header row a file (verdict, governance, licences), ``modules``
+    a row for each report with its metrics, ``events`` the stitched timeline.
+    Rows are ranged by file, events also by time: a long file spreads over
+    several part files, short ones share them.
     """
-    part = F.floor(F.coalesce("start_time", F.lit(0.0)) / span_sec).cast("int")
-    item = F.struct("start_time", "type", "end_time", "severity", "details")
-    lists = events.groupBy("file_id", part.alias("part")).agg(
-        F.array_sort(F.collect_list(item)).alias("aggregated_events")
-    )
-    # One entry per distinct check name.
-    named = modules.groupBy("file_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("module", "status")))).alias("modules")
-    )
-    empty = F.array().cast(lists.schema["aggregated_events"].dataType)
-    return (
-        master.join(lists, "file_id", "left")
-        .withColumn("part", F.coalesce("part", F.lit(0)))
-        .withColumn("aggregated_events", F.coalesce("aggregated_events", empty))
-        .join(named, "file_id", "left")
-    )
-
-
-def write_master(documents: DataFrame, path: str) -> None:
-    documents.write.mode("overwrite").partitionBy("profile").json(path)
+    for name, df, order in (
+        ("files", files, ["file_id"]), ("modules", modules, ["file_id", "module"]), ("events", events, ["file_id", "start_time"])
+    ):
+        df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").json(f"{path}/{name}")
 
 
 def write_datavyu(rows: DataFrame, path: str) -> None:

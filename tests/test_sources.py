@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from framewarden.operators.intervals import stitch_events
@@ -65,7 +66,7 @@ def test_probes_frames_and_logs(spark, tmp_path):
 
     (tmp_path / "logs/a.log").write_text("first\n\nthird")
     logs = sorted(tuple(r) for r in readers.read_logs(spark, str(tmp_path / "logs")).collect())
-    assert logs == [("a", 0, "first"), ("a", 1, ""), ("a", 2, "third")]
+    assert logs == [("a", "logs", 0, "first"), ("a", "logs", 1, ""), ("a", "logs", 2, "third")]
 
 
 def test_segment_list(spark, tmp_path):
@@ -74,17 +75,22 @@ def test_segment_list(spark, tmp_path):
     assert got == [("seg_000.mp4", 0.0), ("seg_001.mp4", 300.1)]
 
 
-def test_master_documents_are_split_not_cut(spark, tmp_path):
-    master = spark.createDataFrame([(1, "REJECTED", "strict"), (2, "PASSED", "ott")], "file_id int, overall_status string, profile string")
-    modules = spark.createDataFrame([(1, "m1", "PASSED"), (1, "m2", "REJECTED"), (2, "m1", "PASSED")], "file_id int, module string, status string")
-    events = spark.createDataFrame([(1, t * 10.0, "x", t * 10.0 + 1, None, "d") for t in range(10)],
-                                   "file_id int, start_time double, type string, end_time double, severity string, details string")
-    docs = writers.master_documents(master, modules, events, span_sec=40.0)
-    writers.write_master(docs, str(tmp_path / "out"))
-    back = spark.read.json(str(tmp_path / "out")).collect()
-    parts = {(r.file_id, r.part): len(r.aggregated_events) for r in back}
-    assert parts == {(1, 0): 4, (1, 1): 4, (1, 2): 2, (2, 0): 0}
-    assert {r.profile for r in back} == {"strict", "ott"}
+def test_master_documents_have_one_layout(spark, tmp_path):
+    files = spark.createDataFrame([(1, "PASSED", "x")], "file_id long, overall_status string, profile string")
+    modules = spark.createDataFrame([(1, "a", "PASSED", {"m": 1.5})], "file_id long, module string, status string, metrics map<string,double>")
+    events = spark.createDataFrame(
+        [(1, "t", float(i) * 3600, float(i) * 3600 + 1, "MILD", "d") for i in range(20)],
+        "file_id long, type string, start_time double, end_time double, severity string, details string",
+    )
+    writers.write_master(files, modules, events, str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m/files")).count() == 1
+    assert spark.read.json(str(tmp_path / "m/modules")).first().metrics.m == 1.5
+    assert spark.read.json(str(tmp_path / "m/events")).count() == 20
+
+
+def test_jdbc_needs_bounds(spark):
+    with pytest.raises(ValueError, match="partitionColumn"):
+        readers.read_jobs(spark, url="jdbc:x", dbtable="jobs")
 
 
 def test_executive_summary_lists_failures_first(spark, tmp_path):
