@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 from .common import bounded_rows
 
 GRAM = 5
-WINDOW_BYTES = 48
+#: Windows of several sizes: a match gains differently next to other words.
+WINDOW_BYTES = (24, 48, 96)
 LEVEL = 3
 
 
@@ -33,7 +34,7 @@ class ToxicityModel:
     ordinary: bytes
     toxic: bytes
     weights: tuple[float, ...]
-    window_bytes: int = WINDOW_BYTES
+    window_bytes: tuple[int, ...] = WINDOW_BYTES
 
 
 def grams(piece: bytes) -> set[bytes]:
@@ -112,7 +113,7 @@ class Scorer:
 
     def features(self, text: str | None) -> np.ndarray:
         plain, primed = self.plain.compress, self.primed.compress
-        saved = [len(plain(w)) - len(primed(w)) for w in windows(text or "", self.model.window_bytes)]
+        saved = [len(plain(w)) - len(primed(w)) for size in self.model.window_bytes for w in windows(text or "", size)]
         over1 = sum(s - 1 for s in saved if s > 1)
         over2 = sum(s - 2 for s in saved if s > 2)
         n = 3 + len(saved)
