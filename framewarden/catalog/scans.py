@@ -136,9 +136,9 @@ def read_reports(flat: DataFrame) -> DataFrame:
     "read_frame_stats", "frames",
     sql="""select concat(cast(file_id as string), '-', cast(frame_idx // 256 as string)) as file_id, frame_idx % 256 as frame_idx,
        case when frame_idx % 9 = 0 then 0 else pts_us end as pts_us,
-       case when frame_idx % 5 = 0 then 16 else ymin end as ymin, case when frame_idx % 6 = 0 then 235 else ymax end as ymax,
+       case when frame_idx % 5 = 0 then 16 when frame_idx % 11 <> 0 then ymin end as ymin, case when frame_idx % 6 = 0 then 235 else ymax end as ymax,
        case when frame_idx % 7 = 0 then 0 else satmax end as satmax, vrep
-       from frames where frame_idx % 11 <> 0 or frame_idx % 5 = 0""",
+       from frames""",
 )
 def read_frame_stats(frames: DataFrame) -> DataFrame:
     """Documents of 256 frames with some tags missing and some unreadable."""

@@ -82,7 +82,8 @@ def signal_status(files: DataFrame, bursts: DataFrame, total_frames: str = "tota
 
 def signal_metrics(frames: DataFrame) -> DataFrame:
     """Luma extremes and counts of out-of-range frames (a frame can count twice)."""
-    under, over = (F.col("ymin") < 16).cast("int"), (F.col("ymax") > 235).cast("int")
+    count = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    under, over = count(F.col("ymin") < 16), count(F.col("ymax") > 235)
     return frames.groupBy("file_id").agg(
         F.least(F.lit(255), F.min("ymin")).alias("signal_min_y"),
         F.greatest(F.lit(0), F.max("ymax")).alias("signal_max_y"),

@@ -20,7 +20,9 @@ def frame_violations(
 
     Clean frames stay: a burst lasts while the window behind them is still dense.
     """
-    under, over, sat = F.col("ymin") < ymin_safe, F.col("ymax") > ymax_safe, F.col("satmax") > sat_max
+    # A level that could not be read violates nothing.
+    known = lambda c: F.coalesce(c, F.lit(False))
+    under, over, sat = known(F.col("ymin") < ymin_safe), known(F.col("ymax") > ymax_safe), known(F.col("satmax") > sat_max)
     under_conf = violation_confidence(F.col("ymin"), F.lit(ymin_safe)) * 100.0
     over_conf = violation_confidence(F.col("ymax"), F.lit(ymax_safe)) * 100.0
     high = F.lit(confidence * 100.0)

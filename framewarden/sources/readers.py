@@ -116,11 +116,14 @@ def frame_tags(frame: Column) -> dict[str, Column]:
 
 
 def explode_frames(docs: DataFrame) -> DataFrame:
-    """``file_id, frames`` documents to one row per frame, counted from 0."""
+    """``file_id, frames`` documents to one row per frame, counted from 0.
+
+    A frame whose tag is no number keeps its row with a null there, and each
+    check passes over what it cannot read.
+    """
     rows = docs.select("file_id", F.posexplode("frames").alias("frame_idx", "_f"))
     cols = frame_tags(F.col("_f"))
-    typed = rows.select("file_id", F.col("frame_idx").cast("long").alias("frame_idx"), *[c.alias(n) for n, c in cols.items()])
-    return typed.dropna(subset=list(cols))
+    return rows.select("file_id", F.col("frame_idx").cast("long").alias("frame_idx"), *[c.alias(n) for n, c in cols.items()])
 
 
 def parse_frame_stats(docs: DataFrame) -> DataFrame:

@@ -287,3 +287,71 @@ def test_failing_validator_becomes_a_row(spark, tables):
     assert len(got) == 8
     assert got["bad", 1, "broken"] == ("CRASHED", "boom")
     assert got["good", 0, "fine"] == ("PASSED", None)
+
+
+def test_every_log_error_counts(spark):
+    from framewarden.plans import checks
+
+    logs = spark.createDataFrame([(1, i, "corrupt decoded frame " + "x" * 200) for i in range(25)], "file_id long, line_no long, line string")
+    frames = spark.createDataFrame([(1, 0, 0)], "file_id long, frame_idx long, pts_us long")
+    pixels = spark.createDataFrame([(2, 0, [1, 2])], "file_id long, frame_idx long, px array<int>")
+    files, events = checks.frames_report({"logs": logs, "frames": frames, "pixels": pixels})
+    assert events.count() == 25 and events.first().details.endswith("x" * 200)
+    assert sorted((r.file_id, r.status) for r in files.collect()) == [(1, "REJECTED"), (2, "PASSED")]
+
+
+def test_report_order_has_room(spark):
+    from framewarden.plans.master import report_events
+
+    event = "struct<type:string,start_time:double,end_time:double,timestamp:double,severity:string,details:string,confidence:double,source_module:string>"
+    rows = [(1, "m", 2**62 + i, [], [("t", 1.0, 2.0, None, None, None, None, None)] * 2) for i in range(3)]
+    reports = spark.createDataFrame(rows, f"file_id long, module string, report_ord long, details_events array<{event}>, events array<{event}>")
+    reports = reports.withColumn("segment_offset_sec", F.lit(0.0))
+    assert len({r.ord for r in report_events(reports).collect()}) == 6
+
+
+def test_a_custom_profile_decides(spark):
+    table = profiles.profiles_table(spark)
+    house = table.where("profile = 'ott'").withColumn("profile", F.lit("house")).withColumn("threshold_score", F.lit(12.5))
+    asked = spark.createDataFrame([(1, "house"), (2, "unknown")], "file_id long, profile string")
+    joined = profiles.join_profile(asked, table.union(house))
+    got = {r.file_id: r.resolved_profile for r in joined.collect()}
+    assert got == {1: "house", 2: "strict"}
+    assert "NestedLoop" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert profiles.with_profile(asked, table.union(house), "house").first().threshold_score == 12.5
+
+
+def test_heat_map_takes_any_score(spark):
+    from framewarden.operators.intervals import severity_heatmap
+
+    events = spark.createDataFrame([(1, 0.0, 2.5, 4), (1, 1.0, 1.5, 9), (1, 4.0, 5.0, 0)], "file_id long, start_time double, end_time double, severity_score int")
+    assert [r.level for r in severity_heatmap(events, bins_per_chunk=2).orderBy("bin").collect()] == [4, 9, 4, 0, 1, 1]
+
+
+def test_gaps_across_holes_do_not_depend_on_chunks(spark):
+    from framewarden.operators.frames import frame_gaps
+
+    frames = spark.createDataFrame([(1, i, i * 40_000) for i in range(20) if i not in (3, 4, 7, 8, 9, 10, 11)], "file_id long, frame_idx long, pts_us long")
+    found = [sorted(r.frame_idx for r in frame_gaps(frames, 25.0, chunk_rows=n).collect()) for n in (2, 4, 1000)]
+    assert found == [[5, 12]] * 3
+
+
+def test_few_defects_say_how_many_more(spark):
+    from framewarden.operators.events import top_defects
+
+    events = spark.createDataFrame([(1, t) for t in "dcba"], "file_id long, type string")
+    assert top_defects(events).first().defects == "a, b, c, d"
+    assert top_defects(events, 3).first().defects == "a, b, c (+1 more)"
+
+
+def test_sync_is_scaled_within_its_window(spark):
+    from framewarden.plans.checks import avsync_report
+
+    steps = [(1, i, float(i == 3), float(i == 5)) for i in range(40)]
+    loud = [(1, i, a + 1000.0 * (i == 20), v + 1000.0 * (i == 20)) for _, i, a, v in steps]
+    durations = spark.createDataFrame([], "file_id long, duration_sec double")
+    for rows in (steps, loud):
+        series = spark.createDataFrame(rows, "file_id long, i long, a double, v double")
+        files, _ = avsync_report(series, durations, window=10)
+        row = files.first()
+        assert row.confidence_score == 1.0 and row.offset_head_ms == 46.44

@@ -61,8 +61,8 @@ def test_probes_frames_and_logs(spark, tmp_path):
         {"pkt_pts_time": "0.04", "tags": {"YMIN": "3", "lavfi.signalstats.VREP": "7.5"}},
         {"tags": {"YMIN": "n/a"}}, {"pkt_pts_time": "0.08", "tags": {"YMAX": "240", "SATMAX": "111"}}]}
     (tmp_path / "frames/a.json").write_text(json.dumps(frames))
-    rows = sorted(tuple(r) for r in readers.read_frame_stats(spark, str(tmp_path / "frames")).collect())
-    assert rows == [("a", 0, 40000, 3, 235, 0, 7.5), ("a", 2, 80000, 16, 240, 111, 0.0)]
+    rows = sorted((tuple(r) for r in readers.read_frame_stats(spark, str(tmp_path / "frames")).collect()), key=lambda r: r[1])
+    assert rows == [("a", 0, 40000, 3, 235, 0, 7.5), ("a", 1, 0, None, 235, 0, 0.0), ("a", 2, 80000, 16, 240, 111, 0.0)]
 
     (tmp_path / "logs/a.log").write_text("first\n\nthird")
     logs = sorted(tuple(r) for r in readers.read_logs(spark, str(tmp_path / "logs")).collect())
