@@ -9,11 +9,12 @@ from ..checks import picture, sound, video
 from ..fixtures import load
 from ..functions.quality import classify_severity, valid_frame, violation_confidence
 from ..operators.verdicts import contract_violations
-from ..profiles import COLUMNS, DEFAULTS, join_profile, profile_values, profiles_table, setting
+from ..profiles import COLUMNS, DEFAULTS, join_profile, profiles_table, setting
 from . import query
+from .profile_rows import PROFILE_ROWS
 from .scans import nest_probes, registered
 
-PROFILE_SQL = f"(select * from ({profile_values()}) as p({', '.join(c for c, _ in COLUMNS)}))"
+PROFILE_SQL = f"(select * from ({PROFILE_ROWS}) as p({', '.join(c for c, _ in COLUMNS)}))"
 KNOWN = "('strict', 'netflix_hd', 'youtube', 'ott')"
 
 

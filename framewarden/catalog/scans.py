@@ -13,10 +13,11 @@ from ..operators.events import datavyu_rows, describe_events, executive_summary,
 from ..operators.intervals import stitch_events
 from ..operators.verdicts import overall_status
 from ..plans.master import module_table
-from ..profiles import COLUMNS, profile_values, profiles_table
+from ..profiles import COLUMNS, join_profile, profiles_table
 from ..session import shared_dir
 from ..sources import readers, writers
 from . import CHECKS, QUERIES, query
+from .profile_rows import PROFILE_ROWS
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -283,11 +284,13 @@ def write_executive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "profiles_table", "orders",
-    sql=f"""select p.*, n.n_files from ({profile_values()}) as p({', '.join(c for c, _ in COLUMNS)})
-       join (select case o_custkey % 5 when 0 then 'strict' when 1 then 'netflix_hd' when 2 then 'youtube' when 3 then 'ott' else 'archive' end as profile,
+    sql=f"""select p.*, n.n_files from ({PROFILE_ROWS}) as p({', '.join(c for c, _ in COLUMNS)})
+       join (select case o_custkey % 5 when 1 then 'netflix_hd' when 2 then 'youtube' when 3 then 'ott' else 'strict' end as profile,
        count(*) as n_files from orders group by 1) n on n.profile = p.profile""",
 )
 def profiles_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The profile dimension with the number of files that ask for each."""
-    asked = load(spark, sf_dir, "mixed_reports").groupBy("profile").agg(F.count(F.lit(1)).alias("n_files"))
-    return profiles_table(spark).join(asked, "profile")
+    """The profile dimension with the number of files that resolve to each; an unknown name counts for ``strict``."""
+    table = profiles_table(spark)
+    files = join_profile(load(spark, sf_dir, "mixed_reports").select("file_id", "profile"), table.select("profile"))
+    asked = files.groupBy(F.col("resolved_profile").alias("profile")).agg(F.count(F.lit(1)).alias("n_files"))
+    return table.join(asked, "profile")

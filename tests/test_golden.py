@@ -121,7 +121,9 @@ def test_config_hash_is_stable():
     text = json.dumps(profiles.PROFILES["ott"], sort_keys=True)
     assert text.startswith('{"audio": {"integrated_loudness_target": -24.0}, "description": ')
     assert profiles.config_hash("nobody") == profiles.config_hash("strict")
-    assert len({profiles.config_hash(p) for p in profiles.PROFILES}) == 4
+    assert {p: profiles.config_hash(p) for p in profiles.PROFILES} == {
+        "strict": "2a39001b", "netflix_hd": "785f84ea", "youtube": "6bbd4585", "ott": "3e7a05c8",
+    }
 
 
 def test_profile_fallbacks(spark):
