@@ -26,6 +26,10 @@ from .shingles import set_hash, sets_of
 
 NO_ID = -(2**63)
 STAR_ROWS = 256
+#: Up to so many questions, of less than 100 bytes each, are broadcast to the texts instead of dealing these out.
+BROADCAST_ROWS = 100_000
+#: Lists from this length on are answered for further leaders, so many a round.
+LONG_LIST, LEADERS, ROUNDS = 32, 5, 2
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -51,10 +55,11 @@ def frequent_members(keyed: DataFrame, sample_docs: int, most: int) -> np.ndarra
 
     top = (
         picked.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-        .where("n >= 4").orderBy(F.desc("n"), "h").limit(most)
+        .where("n >= 2").orderBy(F.desc("n"), "h").limit(most)
     )
-    rows = sorted(top.collect(), key=lambda r: (r.n, r.h))
-    return np.array([r.h for r in rows], dtype=np.int64).view(np.uint64)
+    found = top.toArrow()
+    members, times = found["h"].to_numpy(), found["n"].to_numpy()
+    return members[np.lexsort((members, times))].astype(np.int64).view(np.uint64)
 
 
 def indexed(keyed: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
@@ -108,7 +113,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
     portion = F.pmod(F.xxhash64("b"), F.col("portions")).cast("int").alias("portion")
     heads = fan.select("a", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.col("a").alias("set_id"), F.lit(0).alias("turn"))
     rest = pairs.join(fan, "a").select("a", portion, F.col("b").alias("set_id"), F.lit(1).alias("turn"))
-    wanted = heads.union(rest).join(nodes.select("set_id", F.col("rep").alias("key")), "set_id").join(keyed, "key")
+    asked = written(heads.union(rest).join(nodes.select("set_id", F.col("rep").alias("key")), "set_id"), "jaccard-questions")
+    wanted = keyed.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, "key")
     wanted = wanted.select("a", "portion", "turn", "set_id", "text").repartition("a", "portion")
     wanted = wanted.sortWithinPartitions("a", "portion", "turn")
 
@@ -137,6 +143,40 @@ def similar_sizes(one: Column, other: Column, percent: int) -> Column:
     return F.least(one, other) * 100 >= F.greatest(one, other) * percent
 
 
+def enough_shared(one: Column, other: Column, percent: int) -> Column:
+    """Whether ``shared`` members of both prefixes leave room for a link.
+
+    Of the two prefixes one ends first; what its set has in common with the
+    other set lies in both prefixes or after its own end.
+    """
+    after = F.ceil(F.greatest(one, other) * percent / 100) - 1
+    return (F.col("shared") + after) * (100 + percent) >= (one + other) * percent
+
+
+def overlap_of(one: Column, other: Column, percent: int) -> Column:
+    """The least number of common members of linked sets."""
+    return F.ceil((one + other) * percent / (100 + percent))
+
+
+def first_shared(one: Column, other: Column, percent: int) -> Column:
+    """How many first common members to look for.
+
+    The ``k``-th common member of linked sets has at least ``overlap - k`` of
+    either set behind it, so each of the first ``k`` stands no later than
+    ``last_place``.  A larger ``k`` looks further into the lists and drops more
+    pairs; both prefixes reach far enough for any up to ``room + 1``.  Small sets
+    seldom meet by chance, so one is enough for them.
+    """
+    room = overlap_of(one, other, percent) - F.ceil(F.greatest(one, other) * percent / 100)
+    return F.when(room > 20, F.floor(room * 0.25)).otherwise(0) + 1
+
+
+def last_place(x: str, y: str, percent: int) -> Column:
+    """The last position in ``x`` of the common members counted."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return n - overlap_of(n, m, percent) + first_shared(n, m, percent) - 1
+
+
 def reachable_overlap(x: str, y: str, percent: int) -> Column:
     """Whether lists positions leave room for enough common members: none before the nearer
 
@@ -148,7 +188,36 @@ def reachable_overlap(x: str, y: str, percent: int) -> Column:
     return most * (100 + percent) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * percent
 
 
-def jaccard_join(docs: DataFrame, percent: int = 75, sample_docs: int = 8000, most_frequent: int = 100_000) -> DataFrame:
+def more_leaders(long: DataFrame, classes: DataFrame, asked: DataFrame, turn: int, percent: int) -> DataFrame:
+    """New questions ``a, b`` (``a`` < ``b``) on lists whose sets are in several classes.
+
+    Each list draws up to ``LEADERS`` sets and asks about its sets of other
+    classes than theirs: as many questions as rows, whatever the length.  The
+    first turn draws those that are in most long lists, as the text is that
+    others were edited from; later turns draw by hash.
+    """
+    rows = long.join(classes, long.set_id == classes.node, "left").select(
+        "member", "set_id", "n", "lists", F.coalesce("component", "set_id").alias("class")
+    )
+    several = rows.groupBy("member").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
+    rows = written(rows.join(several.select("member"), "member"), "jaccard-open")
+    draw = F.xxhash64(F.lit(turn), "set_id")
+    part = F.pmod(draw, F.lit(LEADERS)).alias("part")
+    if turn == 0:
+        draw = F.pmod(draw, F.lit(2**31)) - F.col("lists") * 2**31
+    heads = rows.groupBy("member", part).agg(
+        F.min_by("set_id", draw).alias("head"), F.min_by("class", draw).alias("head_class"), F.min_by("n", draw).alias("head_n")
+    )
+    pairs = rows.join(heads, "member").where("class <> head_class").where(similar_sizes(F.col("n"), F.col("head_n"), percent))
+    pairs = pairs.select(
+        F.least("set_id", "head").alias("a"), F.greatest("set_id", "head").alias("b"), F.col("n").alias("one"), F.col("head_n").alias("other")
+    )
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("one").alias("one"), F.max("other").alias("other"))
+    pairs = pairs.where(enough_shared(F.col("one"), F.col("other"), percent)).select("a", "b")
+    return written(pairs.join(asked, ["a", "b"], "left_anti"), "jaccard-more")
+
+
+def jaccard_join(docs: DataFrame, percent: int = 75, sample_docs: int = 32_000, most_frequent: int = 200_000) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row.
 
     Two rows link when 100 * common shingles >= ``percent`` * shingles of either;
@@ -162,19 +231,36 @@ def jaccard_join(docs: DataFrame, percent: int = 75, sample_docs: int = 8000, mo
     index = written(indexed(keyed, frequent_members(keyed, sample_docs, most_frequent), percent), "jaccard-index")
     nodes = written(index.where("n > 0").groupBy("set_id", "n").agg(F.min("key").alias("rep")), "jaccard-nodes")
 
-    # Index lists with more than one set, and every list's questions to its leader.
+    # Index lists with more than one set.  A list asks its leader about the sets
+    # that share enough of the leader's lists; the rest stays open.
     entries = index.where("n > 0").select("set_id", "n", F.posexplode("prefix").alias("pos", "member"))
     lists = entries.groupBy("member").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("other")).where("leader <> other")
-    posted = written(
-        entries.join(lists.drop("other"), "member").select("member", "leader", "set_id", "n", "pos"), "jaccard-lists"
-    )
+    posted = entries.join(lists.drop("other"), "member").select("member", "leader", "set_id", "n", "pos").distinct()
+    posted = written(posted, "jaccard-lists")
     own = nodes.select(F.col("set_id").alias("leader"), F.col("n").alias("leader_n"))
-    star = posted.where("set_id <> leader").select("leader", "set_id", "n").distinct().join(own, "leader")
-    star = star.where(similar_sizes(F.col("n"), F.col("leader_n"), percent))
+    own = nodes.select(F.col("set_id").alias("leader"), F.col("n").alias("leader_n"))
+    star = posted.where("set_id <> leader").groupBy("leader", "set_id", "n").agg(F.count("*").alias("shared")).join(own, "leader")
+    star = star.where(
+        similar_sizes(F.col("n"), F.col("leader_n"), percent) & enough_shared(F.col("n"), F.col("leader_n"), percent)
+    )
     star = written(star.select(F.col("leader").alias("a"), F.col("set_id").alias("b")), "jaccard-star")
     told = written(verified(star, nodes, keyed), "jaccard-told")
     linked = F.expr(f"common * 100 >= (na + nb - common) * {percent}")
-    classes = components(told.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-classes")
+    edges = lambda rows: rows.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    classes = components(edges(told), "jaccard-classes")
+    long = posted.groupBy("member").agg(F.count("*").alias("length")).where(f"length >= {LONG_LIST}").select("member")
+    long = written(posted.join(long, "member").select("member", "set_id", "n"), "jaccard-long")
+    hubs = long.groupBy("set_id").agg(F.count("*").alias("lists"))
+    long = written(long.join(hubs, "set_id"), "jaccard-long")
+    asked_before = star
+    for turn in range(ROUNDS):
+        more = more_leaders(long, classes, asked_before, turn, percent)
+        if more.isEmpty():
+            break
+        asked_before = asked_before.union(more)
+        found = written(verified(more, nodes, keyed), "jaccard-told")
+        merged = classes.select(F.col("node").alias("u"), F.col("component").alias("v")).union(edges(found))
+        classes = components(merged, "jaccard-classes")
 
     # Questions the leaders leave open: sets of one list in different classes.
     limit = 1 - percent / 100
@@ -187,12 +273,12 @@ def jaccard_join(docs: DataFrame, percent: int = 75, sample_docs: int = 8000, mo
         "set_id", F.coalesce("component", "set_id").alias("class")
     )
     far = F.when(F.col("set_id") == F.col("leader"), 0.0).otherwise(F.col("known"))
-    rows = posted.distinct().join(class_of, "set_id").join(answers, ["leader", "set_id"], "left")
+    rows = posted.join(class_of, "set_id").join(answers, ["leader", "set_id"], "left")
     rows = rows.join(class_of.select(F.col("set_id").alias("leader"), F.col("class").alias("leader_class")), "leader")
     rows = written(
         rows.select(
             "member", "set_id", "n", "pos", "class", (F.col("class") == F.col("leader_class")).alias("near"),
-            F.coalesce(far, F.lit(limit)).alias("least"), F.coalesce(far, F.lit(1.0)).alias("most"),
+            F.coalesce(far, F.lit(0.0)).alias("least"), F.coalesce(far, F.lit(1.0)).alias("most"),
         ),
         "jaccard-rows",
     )
@@ -207,13 +293,18 @@ def jaccard_join(docs: DataFrame, percent: int = 75, sample_docs: int = 8000, mo
         & F.expr(f"x.least - y.most <= {slack} and y.least - x.most <= {slack}")
         & similar_sizes(F.col("x.n"), F.col("y.n"), percent)
         & reachable_overlap("x", "y", percent)
+        & (F.col("x.pos") <= last_place("x", "y", percent)) & (F.col("y.pos") <= last_place("y", "x", percent))
     )
-    pairs = pairs.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"))
-    more = written(verified(written(pairs.distinct(), "jaccard-asked"), nodes, keyed), "jaccard-more")
-    edges = classes.select(F.col("node").alias("u"), F.col("component").alias("v")).union(
-        more.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    pairs = pairs.select(
+        F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"),
+        first_shared(F.col("x.n"), F.col("y.n"), percent).alias("needed"),
     )
-    final = components(edges, "jaccard-final")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("needed").alias("needed"))
+    pairs = pairs.where("shared >= needed").select("a", "b")
+    pairs = written(pairs.join(asked_before, ["a", "b"], "left_anti"), "jaccard-asked")
+    more = written(verified(pairs, nodes, keyed), "jaccard-more")
+    merged = classes.select(F.col("node").alias("u"), F.col("component").alias("v")).union(edges(more))
+    final = components(merged, "jaccard-final")
 
     # A component's name is its smallest id.
     member_of = nodes.join(final, nodes.set_id == final.node, "left").select(
