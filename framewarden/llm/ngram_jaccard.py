@@ -13,6 +13,7 @@ the known distances rule out.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import WORD, written
 from .components import components
 from .shingles import set_hash, sets_of
 
@@ -63,13 +64,13 @@ def frequent_members(keyed: DataFrame, sample_docs: int, most: int) -> np.ndarra
 
 
 def indexed(keyed: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """``key, n, set_id, prefix`` of every document."""
+    """``key, mark, n, set_id, prefix`` of every document."""
     by_hash = np.argsort(frequent)
     known = frequent[by_hash]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, sets in sets_of(batch.column(1)):
+            for at, sets in sets_of(batch.column(2)):
                 sizes, names, heads = [], [], []
                 for s in sets:
                     sizes.append(len(s))
@@ -94,14 +95,15 @@ def indexed(keyed: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(sets)),
+                        batch.column(1).slice(at, len(sets)),
                         pa.array(sizes, pa.int64()),
                         pa.array(names, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)),
                     ],
-                    ["key", "n", "set_id", "prefix"],
+                    ["key", "mark", "n", "set_id", "prefix"],
                 )
 
-    return keyed.mapInArrow(run, "key bigint, n bigint, set_id bigint, prefix array<bigint>")
+    return keyed.mapInArrow(run, "key bigint, mark bigint, n bigint, set_id bigint, prefix array<bigint>")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -113,8 +115,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
     portion = F.pmod(F.xxhash64("b"), F.col("portions")).cast("int").alias("portion")
     heads = fan.select("a", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.col("a").alias("set_id"), F.lit(0).alias("turn"))
     rest = pairs.join(fan, "a").select("a", portion, F.col("b").alias("set_id"), F.lit(1).alias("turn"))
-    asked = written(heads.union(rest).join(nodes.select("set_id", F.col("rep").alias("key")), "set_id"), "jaccard-questions")
-    wanted = keyed.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, "key")
+    asked = written(heads.union(rest).join(nodes.select("set_id", "rep.key", "rep.mark"), "set_id"), "jaccard-questions")
+    wanted = keyed.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, ["key", "mark"])
     wanted = wanted.select("a", "portion", "turn", "set_id", "text").repartition("a", "portion")
     wanted = wanted.sortWithinPartitions("a", "portion", "turn")
 
@@ -217,7 +219,12 @@ def more_leaders(long: DataFrame, classes: DataFrame, asked: DataFrame, turn: in
     return written(pairs.join(asked, ["a", "b"], "left_anti"), "jaccard-more")
 
 
-def jaccard_join(docs: DataFrame, percent: int = 75, sample_docs: int = 32_000, most_frequent: int = 200_000) -> DataFrame:
+def marked(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``key``, the id with a number for null, and ``mark``, a hash of the text; both together name a text."""
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("bigint").alias("key"), F.xxhash64("text").alias("mark"), "*")
+
+
+def jaccard_join(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row.
 
     Two rows link when 100 * common shingles >= ``percent`` * shingles of either;
@@ -227,9 +234,19 @@ def jaccard_join(docs: DataFrame, percent: int = 75, sample_docs: int = 32_000,
     shingle, null is an empty text, an empty table gives an empty one.  Sets and
     members are compared by 64-bit hashes.
     """
-    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("bigint").alias("key"), "text")
+    as_id = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    shown = classed(docs, **options)
+    return shown.select(as_id("key").alias("doc_id"), F.col("n").alias("n_shingles"), as_id("component").alias("component_id"))
+
+
+def classed(docs: DataFrame, percent: int = 75, sample_docs: int = 32_000, most_frequent: int = 200_000) -> DataFrame:
+    """``key, mark, n, set_id, class, component`` of every row; an empty text is in no class.
+
+    A class is named by one of its sets, so two classes may share the id that names their component.
+    """
+    keyed = marked(docs.select("doc_id", "text")).drop("doc_id")
     index = written(indexed(keyed, frequent_members(keyed, sample_docs, most_frequent), percent), "jaccard-index")
-    nodes = written(index.where("n > 0").groupBy("set_id", "n").agg(F.min("key").alias("rep")), "jaccard-nodes")
+    nodes = written(index.where("n > 0").groupBy("set_id", "n").agg(F.min(F.struct("key", "mark")).alias("rep")), "jaccard-nodes")
 
     # Index lists with more than one set.  A list asks its leader about the sets
     # that share enough of the leader's lists; the rest stays open.
@@ -310,17 +327,26 @@ def jaccard_join(docs: DataFrame, percent: int = 75, sample_docs: int = 32_000,
     member_of = nodes.join(final, nodes.set_id == final.node, "left").select(
         "set_id", "rep", F.coalesce("component", "set_id").alias("class")
     )
-    least_id = member_of.groupBy("class").agg(F.min("rep").alias("component"))
-    named = member_of.join(least_id, "class").select("set_id", "component")
-    shown = index.where("n > 0").join(named, "set_id").select("key", "n", "component")
-    shown = shown.union(index.where("n = 0").select("key", "n", F.col("key").alias("component")))
-    as_id = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return shown.select(as_id("key").alias("doc_id"), F.col("n").alias("n_shingles"), as_id("component").alias("component_id"))
+    least_id = member_of.groupBy("class").agg(F.min("rep.key").alias("component"))
+    named = member_of.join(least_id, "class").select("set_id", "class", "component")
+    columns = ["key", "mark", "n", "set_id", "class", "component"]
+    shown = index.where("n > 0").join(named, "set_id").select(columns)
+    empty = index.where("n = 0").withColumns({"class": F.lit(None).cast("bigint"), "component": F.col("key")})
+    return shown.union(empty.select(columns))
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all their columns, whose id is the smallest of its component; one row an id."""
-    found = jaccard_join(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = found.select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each class of similar texts, all its columns, and every row of an empty text.
+
+    The row is that of the smallest id, null first, then of the smallest set
+    hash; of rows alike in id and text one stays.
+    """
+    order = F.struct("key", "set_id", "mark")
+    first = classed(docs, **options).where("n > 0").groupBy("class").agg(F.min(order).alias("first"))
+    wanted = first.select(F.col("first.key").alias("key"), F.col("first.mark").alias("mark"))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    # Equal rows are made one before they are dealt out, so a text repeated under one id, or none, stays small.
+    rows = docs.where(worded).select("doc_id", "text", F.struct("*").alias("row"))
+    hashed = F.xxhash64(*[F.col(f"row.{f.name}") for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())])
+    single = marked(rows).groupBy("key", "mark").agg(F.min_by("row", hashed).alias("row"))
+    return single.join(wanted, ["key", "mark"], "left_semi").select("row.*").union(docs.where(~worded))

@@ -115,6 +115,25 @@ def test_jaccard_join_edge_cases(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [4, 5, 6, 7, 8, 9, 11, 12]
 
 
+def test_one_of_each_group_keeps_every_text(spark):
+    rng = random.Random(9)
+    long = words(rng, 200)
+    near = [*long[:199], "other"]
+    texts = [
+        (None, "one of none"), (None, "two of none"), (None, "two of none"), (None, ""), (None, None), (None, " "), (7, "a b c d"), (12, "x y z"), (12, "a b c d"),
+        (12, ""), (12, ""), (3, "x y z"), (20, " ".join(long)), (None, " ".join(near)), (21, "A b C d"), (30, "q r"), (30, "q r"), (30, "Q r"), (31, "s t"), (31, "s u"),
+    ]
+    kept = ngram_jaccard.one_of_each_group(docs_of(spark, texts))
+    assert kept.columns == docs_of(spark, texts).columns
+    got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    either = [k for k in ((30, "q r"), (30, "Q r")) if got.pop(k, 0)]
+    assert len(either) == 1
+    assert got == collections.Counter([
+        (None, "one of none"), (None, "two of none"), (None, ""), (None, None), (None, " "), (7, "a b c d"), (12, ""), (12, ""), (3, "x y z"),
+        (None, " ".join(near)), (31, "s t"), (31, "s u"),
+    ])
+
+
 def test_components_of_a_path(spark):
     n = 60
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (7, 7)], "u bigint, v bigint")
