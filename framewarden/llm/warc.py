@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +28,9 @@ VERSION = b"WARC/1."
 MEMBER = b"\x1f\x8b\x08"
 BLOCK = 16 << 20
 STEP = 1 << 20
-MOST_HEADER = 1 << 16
+FIRST_HEADER = 1 << 16
+VERSION_LINE = re.compile(rb"WARC/1\.[0-9]+[ \t]*")
+HEADER_LINE = re.compile(rb"[^\s:](?:[^:]*[^\s:])?:")
 # The digits of base 32.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -156,15 +159,27 @@ def checked(headers: dict[str, str], block: bytes) -> None:
             raise Damaged("payload digest differs")
 
 
-def plain_record(window: Reads, start: int) -> Record:
-    head = window.get(start, 1024)
-    cut = head.find(END)
-    if cut < 0:
-        head = window.get(start, MOST_HEADER)
-        cut = head.find(END)
-        if cut < 0:
+def header_at(window: Reads, start: int) -> bytes:
+    """The header that begins at ``start``, of any length; a long one is read on while all its lines so far look like a header's."""
+    count, seen, line = 1024, 0, 0
+    while (cut := (head := window.get(start, count)).find(END, max(0, seen - len(END) + 1))) < 0:
+        if start + count >= window.size:
             raise Damaged("no end of the header")
-    headers = parsed_headers(head[:cut])
+        if count >= FIRST_HEADER:
+            while (stop := head.find(b"\r\n", line)) >= 0:
+                if not (HEADER_LINE.match(head, line, stop) if line else VERSION_LINE.fullmatch(head, 0, stop)):
+                    raise Damaged("no end of the header")
+                line = stop + 2
+            if not line:
+                raise Damaged("no version line")
+        seen, count = len(head), max(2 * count, FIRST_HEADER)
+    return head[:cut]
+
+
+def plain_record(window: Reads, start: int) -> Record:
+    head = header_at(window, start)
+    cut = len(head)
+    headers = parsed_headers(head)
     begin = start + cut + len(END)
     stop = begin + int(headers["content-length"])
     if stop + len(END) > window.size or window.get(stop, len(END)) != END:

@@ -95,6 +95,24 @@ def test_pages_round_trip(spark):
     assert warc.archived_pages(pages.where("page_id > 99")).count() == 0
 
 
+def test_pages_with_long_urls_round_trip(spark):
+    urls = {1: "u", 2: "data:," + "x" * 200_000, 3: "http://h/" + "é: " * 1_000_000, 4: "y" * 65_400, 5: "z" * 200_000}
+    rows = [(i, url, "same" if i in (2, 5) else f"page {i}") for i, url in urls.items()]
+    got = warc.archived_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == [
+        (1, 6, "response", None), (2, 4, "response", None), (3, 6, "response", None), (4, 6, "response", None), (5, 4, "revisit", 2),
+    ]
+
+
+def test_long_headers_of_damaged_archives(spark):
+    long = page(2, b"long").replace(b"WARC-Type", b"WARC-Target-URI: " + b"u" * 300_000 + b"\r\nWARC-Type", 1)
+    no_header = b"WARC/1.0\r\nno header line\r\n" + b"t" * 100_000
+    data = page(1, b"abc") + no_header + long + b"WARC/1.0" + b"s" * 200_000 + page(3, b"def") + b"WARC/1.0\r\nWARC-Type: " + b"q" * 100_000
+    for block in (50_000, 1 << 20):
+        found, gaps = read(spark, put(spark, "c.warc", data), block)
+        assert [f[0] for f in found] == ["1", "2", "3"] and len(gaps) == 3
+
+
 def test_url_filters_follow_dates(spark):
     events = [
         ("ads", "d:x.org", "add", 10), ("ads", "d:x.org", "add", 12), ("ads", "d:x.org", "remove", 20), ("ads", "d:x.org", "remove", 20),
