@@ -1,7 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: ``ordinary`` on text labelled 0, and
-``toxic`` on what text labelled 1 has and ordinary text lacks.  Every window of
+Two dictionaries prime zstandard: ``ordinary``, which zstandard trains on text
+labelled 0, and ``toxic``, the words and word pairs that are proven to recur in
+text labelled 1 and to be rare in ordinary text, be it of one language or one
+source alone.  (A dictionary that zstandard trains on toxic text is mostly
+ordinary words, as toxic text is.)  Every window of
 a text is compressed twice, primed with ordinary text alone and with ordinary
 plus toxic text; the bytes the toxic dictionary saves are the window's distance.
 A logistic curve fitted on other labelled rows turns a text's savings into a
@@ -10,8 +13,9 @@ score.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +31,12 @@ GRAM = 5
 #: Windows of several sizes: a match gains differently next to other words.
 WINDOW_BYTES = (24, 48, 96)
 LEVEL = 3
+#: A unit counts from so many toxic texts on, if it is so many times as frequent there, with so large a share of chance finds.
+SUPPORT, LEAST_RATIO, FALSE_SHARE = 3, 25, 0.02
+
+
+#: Columns that split the texts into groups, where the table has them.
+GROUPS = ("lang", "source")
 
 
 @dataclass(frozen=True)
@@ -69,30 +79,86 @@ def ordinary_dictionary(texts: list[str], size: int) -> bytes:
         return b" ".join(samples)[-size:]
 
 
-def toxic_dictionary(toxic: list[str], ordinary: list[str], size: int) -> bytes:
-    """The byte runs that recur in toxic texts and hardly occur in ordinary ones,
+def word_grams(words: list[bytes]) -> Iterator[tuple[bytes, int]]:
+    """The byte runs of words, each with a hash of the words beside it."""
+    for before, word, after in zip([b"", *words], words, [*words[1:], b""]):
+        beside = hash((before, after))
+        for g in grams(b" %b " % word):
+            yield g, beside
+
+
+def word_pairs(words: list[bytes]) -> Iterator[tuple[bytes, int]]:
+    """The pairs of neighbouring words, each with a hash of the words beside it."""
+    for before, one, two, after in zip([b"", *words], words, words[1:], [*words[2:], b""]):
+        yield b" %b %b " % (one, two), hash((before, after))
+
 
-    the most frequent ones last, where a match costs least.
+def chance(n: int, m: int, toxic: int, ordinary: int) -> float:
+    """How likely ``n`` or more of ``n + m`` texts are among the ``toxic`` ones if all texts are alike."""
+    of = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    whole = of(toxic + ordinary, n + m)
+    return sum(math.exp(of(toxic, k) + of(ordinary, n + m - k) - whole) for k in range(max(n, n + m - ordinary), min(toxic, n + m) + 1))
+
+
+def telling(toxic: list[tuple], ordinary: list[tuple], units: Callable[[list[bytes]], Iterator[tuple[bytes, int]]]) -> Counter[bytes]:
+    """Units that recur in toxic texts and hardly occur in ordinary ones, with the number of toxic texts they are in.
+
+    Rows are a text and its groups, as language and source.  The texts of each
+    group, and all together, are judged by themselves, so the share a group has
+    of all texts does not matter: units are taken as long as no more than
+    ``FALSE_SHARE`` of them are expected to be there by chance.  Texts copied
+    from each other are no evidence: a unit counts once for the same neighbours.
     """
-    in_toxic = Counter(g for t in toxic for g in {g for w in padded_words(t) for g in grams(w)})
-    in_ordinary = Counter(g for t in ordinary for g in {g for w in padded_words(t) for g in grams(w)})
-    least = max(2, min(3, len(toxic) // 10), 0.03 * len(toxic))
-    scale = (len(ordinary) + 1) / max(1, len(toxic))
-    telling = {g for g, n in in_toxic.items() if n >= least and n * scale > 25 * (in_ordinary[g] + 0.3)}
-    runs: Counter[bytes] = Counter()
-    for text in toxic:
+    support = max(2, min(SUPPORT, len(toxic) // 10))
+    words = [[row[0].lower().encode().split() for row in rows] for rows in (toxic, ordinary)]
+    sets = lambda kind: ({u for u, _ in units(w)} for w in words[kind])
+    groups_of = lambda row: ((), *enumerate(row[1:]))
+    count = Counter(u for own in sets(0) for u in own)
+    known = {u for u, n in count.items() if n >= support}
+    seen: dict[tuple, tuple[Counter, Counter]] = {}
+    sizes: Counter[tuple] = Counter()
+    for kind, rows in enumerate((toxic, ordinary)):
+        for row, own in zip(rows, sets(kind)):
+            own &= known
+            for group in groups_of(row):
+                sizes[group, kind] += 1
+                seen.setdefault(group, (Counter(), Counter()))[kind].update(own)
+    rare = {}
+    for group, (bad, good) in seen.items():
+        t, o = sizes[group, 0], sizes[group, 1]
+        rare[group] = {u: set() for u, n in bad.items() if n >= support and n * (o + 1) > LEAST_RATIO * good[u] * t}
+    for row, own in zip(toxic, words[0]):
+        places = [(u, beside) for u, beside in units(own) if u in known]
+        for group in groups_of(row):
+            open_units = rare[group]
+            for u, beside in places:
+                if u in open_units:
+                    open_units[u].add(beside)
+    found = set()
+    for group, (bad, good) in seen.items():
+        t, o = sizes[group, 0], sizes[group, 1]
+        tried = sum(n >= support for n in bad.values())
+        chances = sorted((chance(min(bad[u], len(beside)), good[u], t, o), u) for u, beside in rare[group].items())
+        last = max((k for k, (p, _) in enumerate(chances, 1) if p * tried <= FALSE_SHARE * k), default=0)
+        found.update(u for _, u in chances[:last])
+    return Counter({u: count[u] for u in found})
+
+
+def toxic_dictionary(toxic: list[tuple], ordinary: list[tuple]) -> bytes:
+    """All telling byte runs of words and telling pairs of words, the most frequent ones last, where a match costs least."""
+    known = telling(toxic, ordinary, word_grams)
+    runs: Counter[bytes] = telling(toxic, ordinary, word_pairs)
+    for text, *_ in toxic:
         for word in padded_words(text):
             start = None
             for i in range(len(word) - GRAM + 2):
-                if word[i : i + GRAM] in telling:
+                if word[i : i + GRAM] in known:
                     start = i if start is None else start
                 elif start is not None:
                     runs[word[start : i + GRAM - 1]] += 1
                     start = None
     content = b""
     for run, _ in sorted(runs.items(), key=lambda x: (-x[1], x[0])):
-        if len(content) + len(run) > size:
-            break
         if not all(g in content for g in grams(run)):
             content = run + content
     return content
@@ -138,25 +204,25 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 40)
     return w
 
 
-def fit(rows: list[tuple[str, int]], ordinary_bytes: int = 8192, toxic_bytes: int = 1024) -> ToxicityModel:
-    """Model of ``(text, 0 or 1)`` rows; every third row calibrates, the others train the dictionaries.
+def fit(rows: list[tuple], ordinary_bytes: int = 8192) -> ToxicityModel:
+    """Model of ``(text, 0 or 1, groups...)`` rows; every third row calibrates, the others train the dictionaries.
 
     Without rows of both kinds every text scores 0.
     """
     train = [r for i, r in enumerate(rows) if i % 3]
-    toxic = [t for t, y in train if y == 1]
-    ordinary = [t for t, y in train if y == 0]
+    toxic = [(t, *groups) for t, y, *groups in train if y == 1]
+    ordinary = [(t, *groups) for t, y, *groups in train if y == 0]
     if not toxic or not ordinary:
         return ToxicityModel(b"", b"", (-30.0, 0, 0, 0, 0, 0))
     model = ToxicityModel(
-        ordinary_dictionary(ordinary, ordinary_bytes), toxic_dictionary(toxic, ordinary, toxic_bytes), (0.0,) * 6
+        ordinary_dictionary([t for t, *_ in ordinary], ordinary_bytes), toxic_dictionary(toxic, ordinary), (0.0,) * 6
     )
     scorer = Scorer(model)
     held = [r for i, r in enumerate(rows) if i % 3 == 0]
-    if len({y for _, y in held}) < 2:
+    if len({y for _, y, *_ in held}) < 2:
         held = rows
-    x = np.array([scorer.features(t) for t, _ in held])
-    y = np.array([y for _, y in held], dtype=float)
+    x = np.array([scorer.features(t) for t, *_ in held])
+    y = np.array([y for _, y, *_ in held], dtype=float)
     return ToxicityModel(model.ordinary, model.toxic, tuple(map(float, logistic(x, y))))
 
 
@@ -182,7 +248,8 @@ def train_toxicity(
         for r in known.where(F.col("toxic") == kind).orderBy(order, "doc_id").limit(most_rows).collect():
             ids[r.doc_id] = kind
     chosen = bounded_rows(spark, ids.items(), "_id bigint, _toxic int", 2 * most_rows)
-    texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).where(F.col("_text").isNotNull())
+    groups = [F.col(c).cast("string").alias(f"_{c}") for c in GROUPS if c in docs.columns]
+    texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"), *groups).where(F.col("_text").isNotNull())
     picked = texts.join(chosen, F.col("_doc") == F.col("_id"))
     sizes = sorted(
         picked.select("_id", "_toxic", F.length("_text").alias("_n"), order_of("_id")).dropDuplicates(["_id"]).collect(),
@@ -197,12 +264,12 @@ def train_toxicity(
     chosen = bounded_rows(spark, within, "_id bigint, _toxic int", 2 * most_rows)
     rows = (
         texts.join(chosen, F.col("_doc") == F.col("_id"))
-        .select("_id", "_toxic", "_text", order_of("_id"))
+        .select("_id", "_toxic", "_text", order_of("_id"), F.array(*[F.coalesce(f"_{c}", F.lit("")) for c in GROUPS if c in docs.columns]).alias("_groups"))
         .collect()
     )
     seen: dict[int, tuple] = {}
-    for r in sorted(rows, key=lambda r: (r._order, r._id, r._text)):
-        seen.setdefault(r._id, (r._text, r._toxic))
+    for r in sorted(rows, key=lambda r: (r._order, r._id, r._text, r._groups)):
+        seen.setdefault(r._id, (r._text, r._toxic, *r._groups))
     return fit(list(seen.values()))
 
 
@@ -225,7 +292,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bound
     """One row per input row: ``doc_id, held_out, score, predicted``.
 
     Repeated rows are scored each; a null id is never held out; an empty table
-    gives an empty one; columns besides ``doc_id`` and ``text`` are not read.
+    gives an empty one; columns besides ``doc_id``, ``text`` and, to train, ``GROUPS`` are not read.
     """
     model = train_toxicity(docs, labels, **bounds)
     scored = docs.select(

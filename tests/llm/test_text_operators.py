@@ -179,6 +179,37 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.toxicity(docs_of(spark, texts).where("doc_id > 9"), none).count() == 0
 
 
+def test_toxic_words_of_a_small_language_and_phrases_are_learned():
+    rng = random.Random(4)
+    small = "zo wip gax yed hule vyn kop".split()
+    own = {"en": "idiotic lostrake vequmol".split(), "xx": ["qarzoth"], "yy": ["der pan"]}
+
+    def text(lang, toxic):
+        base = words(rng, 80) if lang == "en" else ["".join(rng.choices(small, k=2)) for _ in range(80)] + ["der", "pan"]
+        for _ in range(5 * toxic):
+            base.insert(rng.randrange(len(base)), rng.choice(own[lang]))
+        rng.shuffle(base)
+        return " ".join(base)
+
+    rows = [(text("en", i % 2), i % 2, "en", "s") for i in range(1200)]
+    rows += [(text(lang, i % 10 == 0), int(i % 10 == 0), lang, "s") for i in range(170) for lang in ("xx", "yy")]
+    rng.shuffle(rows)
+    model = toxicity.fit(rows)
+    assert b"qarzoth" in model.toxic and b" der pan " in model.toxic
+    scorer = toxicity.Scorer(model)
+    for lang, least in (("en", 45), ("xx", 45), ("yy", 25)):
+        assert sum(scorer.score(text(lang, True)) >= 0.7 for _ in range(50)) >= least, lang
+        assert sum(scorer.score(text(lang, False)) >= 0.7 for _ in range(50)) <= 2
+
+
+def test_copies_of_a_toxic_text_are_no_evidence():
+    rng = random.Random(6)
+    copied = words(rng, 100)
+    rows = [(" ".join([*copied, "idiotic"] if i % 4 == 0 else words(rng, 80) + ["idiotic"] * (i % 2 == 0)), int(i % 2 == 0), "en", "s") for i in range(600)]
+    known = toxicity.telling([(t, *g) for t, y, *g in rows if y], [(t, *g) for t, y, *g in rows if not y], toxicity.word_pairs)
+    assert not any(b" %b %b " % (a.encode(), b.encode()) in known for a, b in zip(copied, copied[1:]))
+
+
 def test_windows_cover_the_text():
     text = " ".join(words(random.Random(1), 300)) + " " + "y" * 1000
     parts = [w.strip() for w in toxicity.windows(text, 48)]
