@@ -1,12 +1,17 @@
 """Licence scans, in column functions only.
 
-Lines that speak of a licence, and licence files as a whole, are compared with
-templates by the cosine of sparse TF-IDF vectors.  Files without a licence of
+Lines that speak of a licence, the comments and paragraphs around them, and
+licence files as a whole are compared with templates of notices, of headers and
+of full licence texts by the cosine of sparse TF-IDF vectors.  Files without a licence of
 their own inherit that of the nearest folder above that has a licence file.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter, defaultdict
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +35,39 @@ TEMPLATES = (
     ("ISC", "Licensed under the ISC License"),
     ("Unlicense", "This is free and unencumbered software released into the public domain, see the Unlicense"),
 )
+_GNU = (
+    "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by "
+    "the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+)
+# Headers that span lines.  What follows # tells the headers of one licence apart.
+HEADERS = (
+    ("GPL-2.0", _GNU.format("program", "General Public License", "2")),
+    ("GPL-3.0", _GNU.format("program", "General Public License", "3")),
+    ("LGPL-2.1", _GNU.format("library", "Lesser General Public License", "2.1")),
+    ("LGPL-3.0", _GNU.format("program", "Lesser General Public License", "3")),
+    ("AGPL-3.0", _GNU.format("program", "Affero General Public License", "3")),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with '
+        "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    ),
+    (
+        "Apache-2.0#1",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    ),
+)
+TEXTS = Path(__file__).parent / "license_texts"
+# Licence texts that also stand at the head of files.
+SHORT = ("BSD-2-Clause", "BSD-3-Clause", "ISC", "MIT", "Unlicense")
+# A block without one of these is no header.
+BLOCK_ANCHORS = "(?i)licen[cs]|public domain|spdx|permission\\s|redistribution"
+# Blank lines, and lines of comment signs alone.
+BLANK, BARE = r"\r?\n[ \t]*\r?\n", r"\r?\n[ \t]*[#*/;%!-]*[ \t]*(?=\r?\n)"
 # A line without one of these is no notice.
 ANCHORS = "(?i)licen[cs]|copyright|public domain|spdx"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
@@ -54,6 +92,33 @@ def sections(files: DataFrame) -> DataFrame:
     return cut.withColumn("mark", F.md5("section"))
 
 
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """Full licence texts; that of AGPL-3.0 is the one of GPL-3.0 with its own name."""
+    texts = {p.stem: p.read_text(encoding="utf-8") for p in sorted(TEXTS.glob("*.txt"))}
+    affero = texts["GPL-3.0"].replace("GNU General Public", "GNU Affero General Public").replace("GNU GENERAL PUBLIC", "GNU AFFERO GENERAL PUBLIC")
+    return tuple((texts | {"AGPL-3.0": affero}).items())
+
+
+def header_templates() -> tuple[tuple[str, str], ...]:
+    return (*HEADERS, *((name, text) for name, text in full_texts() if name in SHORT))
+
+
+def blocks(files: DataFrame) -> DataFrame:
+    """``path, mark, section``: comments and paragraphs of several lines with an anchor."""
+    text = text_of()
+    several = lambda x: x.contains("\n") & x.rlike(BLOCK_ANCHORS)
+    cut = F.transform(F.concat(F.split(text, BLANK), F.split(text, BARE)), lambda x: F.trim(x))
+    found = files.where(F.col("path").isNotNull() & text.contains("\n") & text.rlike(BLOCK_ANCHORS))
+    found = found.select("path", F.explode(F.array_distinct(F.filter(cut, several))).alias("section"))
+    return found.withColumn("mark", F.xxhash64("section"))
+
+
+def whole_files(files: DataFrame) -> DataFrame:
+    """``path, mark, section``: the whole text of licence files."""
+    found = files.where(F.col("path").rlike(LICENSE_FILE)).select("path", F.trim(text_of()).alias("section"))
+    return found.withColumn("mark", F.xxhash64("section"))
+
+
 def template_rows(spark: SparkSession, templates: tuple = TEMPLATES) -> DataFrame:
     return bounded_rows(spark, templates, "license string, template string", 10_000)
 
@@ -85,6 +150,35 @@ def similar_templates(found: DataFrame, templates: DataFrame, least: float = LEA
     return best(rated.where(F.col("similarity") >= least), ["mark"])
 
 
+def similar_texts(found: DataFrame, templates: tuple, least: float) -> DataFrame:
+    """``mark, license, similarity`` of each section whose best template reaches ``least``.
+
+    As ``similar_templates``, but ``n`` and ``df`` are counted over the templates
+    alone, so that the many terms of long sections are dealt out once.  Sections
+    that are there several times only scale their vector.
+    """
+    goals = template_rows(found.sparkSession, templates).select("license", F.explode(terms_of(F.col("template"))).alias("term"))
+    goals = goals.groupBy("license", "term").agg(F.count("*").alias("tf")).collect()
+    df = Counter(r.term for r in goals)
+    weight = lambda n: math.log((1 + len(templates)) / (1 + n)) + 1
+    sizes: Counter[str] = Counter()
+    by_term: dict[str, list] = defaultdict(list)
+    for r in goals:
+        sizes[r.license] += (r.tf * weight(df[r.term])) ** 2
+        by_term[r.term].append((r.license, r.tf * weight(df[r.term])))
+    rows = [(term, weight(df[term]), [(name, w / math.sqrt(sizes[name])) for name, w in own]) for term, own in by_term.items()]
+    known = bounded_rows(found.sparkSession, rows, "term string, w double, goals array<struct<license string, t_w double>>", 100_000)
+    vectors = found.select("mark", F.explode(terms_of(F.col("section"))).alias("term")).groupBy("mark", "term").agg(F.count("*").alias("tf"))
+    weighed = vectors.join(known, "term", "left").select("mark", (F.col("tf") * F.coalesce("w", F.lit(weight(0)))).alias("w"), "goals")
+    # The row without a licence sums up the squares.
+    square = F.array(F.struct(F.lit(None).cast("string").alias("license"), F.col("w").alias("t_w")))
+    sums = weighed.select("mark", "w", F.explode(F.concat(square, F.coalesce("goals", F.array().cast("array<struct<license:string,t_w:double>>")))).alias("goal"))
+    sums = sums.groupBy("mark", "goal.license").agg(F.sum(F.col("w") * F.col("goal.t_w")).alias("dot"))
+    size = sums.where("license is null").select("mark", F.sqrt("dot").alias("size"))
+    rated = sums.where("license is not null").join(size, "mark").select("mark", "license", F.round(F.col("dot") / F.col("size"), 6).alias("similarity"))
+    return best(rated.where(F.col("similarity") >= least), ["mark"])
+
+
 def best(rated: DataFrame, key: list[str]) -> DataFrame:
     """The row of the highest ``similarity`` of each key, the first name of equals."""
     top = rated.groupBy(*key).agg(F.max("similarity").alias("similarity"))
@@ -99,16 +193,27 @@ def folder_of(path: Column) -> Column:
 def scan_licenses(files: DataFrame, least: float = LEAST, templates: tuple = TEMPLATES) -> DataFrame:
     """``path, license, similarity, origin, from_path`` of every row of ``files`` (``path``, ``text``).
 
+    Of a file's own licences that of its whole text counts before those of its
+    headers, and these before those of single lines, by similarity each.
     ``origin`` is ``own``, ``inherited`` or ``none``; an inherited licence names
     the licence file it comes from, of several in a folder the most similar, then
     the first by path.  Rows that repeat a path are one file.  A null text has no
     notice; a null path has none and inherits none; an empty table gives an empty
     one.
     """
-    found = written(sections(files.select("path", "text")).dropDuplicates(["path", "mark"]), "license-found")
+    narrow = files.select("path", "text")
+    found = written(sections(narrow).dropDuplicates(["path", "mark"]), "license-found")
     named = similar_templates(found, template_rows(files.sparkSession, templates), least)
-    own = best(found.select("path", "mark").join(named, "mark").select("path", "license", "similarity"), ["path"])
-    own = written(own, "license-own")
+    rated = found.select("path", "mark").join(named, "mark").select("path", F.lit(0).alias("rank"), "license", "similarity")
+    for rank, (cut, goals) in enumerate(((blocks, header_templates()), (whole_files, full_texts())), 1):
+        named = written(similar_texts(cut(narrow), goals, least), "license-named")
+        more = cut(narrow).select("path", "mark").join(named, "mark").select("path", F.lit(rank).alias("rank"), "license", "similarity")
+        rated = rated.union(more.distinct())
+    rated = written(rated, "license-rated")
+    # A full text says more than a header, and a header more than a line of it.
+    top = rated.groupBy("path").agg(F.max("rank").alias("rank"))
+    own = best(rated.join(top, ["path", "rank"]).select("path", "license", "similarity"), ["path"])
+    own = written(own.withColumn("license", F.substring_index("license", "#", 1)), "license-own")
     # Folders with a licence file, joined with the folders below them.
     kept = own.where(F.col("path").rlike(LICENSE_FILE)).withColumn("folder", folder_of(F.col("path")))
     top = kept.groupBy("folder").agg(F.max("similarity").alias("similarity"))

@@ -541,6 +541,34 @@ def test_licenses_are_inherited_from_the_nearest_folder(spark):
     assert licenses.scan_licenses(files.where("doc_id > 99")).count() == 0
 
 
+def test_wrapped_headers_and_full_texts(spark):
+    full = dict(licenses.full_texts())
+    gpl = (
+        "#!/bin/sh\n# Copyright (C) 2020 Some One\n#\n# This program is free software: you can redistribute it and/or modify\n# it under the terms of the"
+        " GNU General Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version.\n"
+        "#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY.\n\nrun me\n"
+    )
+    lgpl = gpl.format(3).replace("General Public License as", "Lesser General Public License as").replace("# ", "// ")
+    mpl = (
+        "/* This Source Code Form is subject to the terms of the Mozilla Public\r\n * License, v. 2.0. If a copy of the MPL was not distributed with this\r\n"
+        " * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\r\n\r\nint x;\r\n"
+    )
+    commented = "".join(f" * {line}".rstrip() + "\n" for line in full["BSD-3-Clause"].split("\n"))
+    rows = [
+        (1, "a/LICENSE", "Copyright (c) 2020 Some One\n\n" + full["MIT"].split("\n\n", 1)[1]), (2, "a/x.c", "int x;"), (3, "b/COPYING", full["GPL-3.0"]),
+        (4, "b/y.c", None), (5, "c/LICENSE.txt", "Copyright 2020, Some One\nAll rights reserved.\n\n" + full["BSD-3-Clause"]),
+        (6, "d/LICENSE", full["BSD-2-Clause"]), (7, "e/g3.sh", gpl.format(3)), (8, "e/g2.sh", gpl.format(2)), (9, "e/l.c", lgpl), (10, "e/m.c", mpl),
+        (11, "e/b.c", "/*\n * Copyright 2020\n *\n" + commented + " */\nint x;"), (12, "f/COPYING", full["GPL-2.0"]), (13, "g/LICENSE", full["Apache-2.0"]),
+        (14, "e/none.c", "license talk of\nmany lines that\ngrant nothing"),
+    ]
+    got = {r.doc_id: (r.license, r.origin) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()}
+    assert got == {
+        1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("GPL-3.0", "own"), 4: ("GPL-3.0", "inherited"), 5: ("BSD-3-Clause", "own"), 6: ("BSD-2-Clause", "own"),
+        7: ("GPL-3.0", "own"), 8: ("GPL-2.0", "own"), 9: ("LGPL-3.0", "own"), 10: ("MPL-2.0", "own"), 11: ("BSD-3-Clause", "own"), 12: ("GPL-2.0", "own"),
+        13: ("Apache-2.0", "own"), 14: (None, "none"),
+    }
+
+
 def test_hash_helpers():
     from framewarden.llm.shingles import shingle_sets
 
