@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Fixed value: characters between words.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -58,3 +60,7 @@ def bounded_rows(spark: SparkSession, rows: Iterable[tuple], schema: str, most:
     if len(rows) > most:
         raise ValueError(f"{len(rows)} rows, at most {most} may be broadcast")
     return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
+    return to_arrow_schema(spark.createDataFrame([], ddl).schema)

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .exact_dedup import exact_dedup
+from .fill_in_middle import fill_in_middle, restore
 from .licenses import ANCHORS, LEAST, TEMPLATES, as_files, scan_licenses
+from .merkle_manifest import manifest
 from .mixing import mixed_counts
 from .multiset_hash import fingerprints
 from .ngram_jaccard import jaccard_join
@@ -163,3 +166,113 @@ from files f left join own o using (path) left join (select * from near where k
 @registered("op4_license_scan", _OP4_SQL)
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(as_files(table(spark, sf_dir, "documents")))
+
+
+def _field(value: str) -> str:
+    """SQL of a field of a leaf."""
+    return f"coalesce(cast(strlen(cast({value} as varchar)) as varchar) || ':' || cast({value} as varchar), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _levels(leaves: str) -> str:
+    """SQL of all nodes of the trees over ``leaves``."""
+    return f"""
+  select tree, 0 as level, pos, h from {leaves}
+  union all
+  select tree, level + 1, pos // 3, sha256(string_agg(h, '' order by pos))
+  from (select *, count(*) over (partition by tree) as n from %s) where n > 1 group by tree, level, pos // 3"""
+
+
+_OP11_SQL = f"""
+with recursive
+d as (
+  select row_number() over () as rid, doc_id, source, {_leaf("text")} as leaf, {_leaf("replace(text, chr(10), '')")} as spared,
+    list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(cast(doc_id as varchar)) + 1),
+      lambda i: [ascii(cast(doc_id as varchar)[i]), 0, 0, 0, 0, 0, 0, 0]))),
+      lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)) as crc
+  from documents),
+placed as (
+  select *, source as tree, row_number() over (partition by source order by doc_id nulls last, leaf) - 1 as pos,
+    case when xor(crc, 4294967295) % 2 = 0 then spared else leaf end as now
+  from d),
+leaves as (select tree, pos, leaf as h from placed),
+nodes as ({_levels("leaves") % "nodes"}),
+heights as (select tree, max(level) as height from nodes group by tree),
+subroots as (select nodes.tree, h, row_number() over (order by nodes.tree nulls first) - 1 as pos
+  from nodes join heights on nodes.tree is not distinct from heights.tree and level = height),
+top_leaves as (select '' as tree, pos, h from subroots),
+top_nodes as ({_levels("top_leaves") % "top_nodes"}),
+steps as (
+  select p.rid, n.level, string_agg(n.h, '' order by n.pos) filter (n.pos < p.pos // cast(pow(3, n.level) as bigint)) as l,
+    string_agg(n.h, '' order by n.pos) filter (n.pos > p.pos // cast(pow(3, n.level) as bigint)) as r
+  from placed p join heights x on p.tree is not distinct from x.tree
+  join nodes n on n.tree is not distinct from p.tree and n.level < x.height and n.pos // 3 = p.pos // cast(pow(3, n.level + 1) as bigint)
+  group by p.rid, n.level
+  union all
+  select p.rid, x.height + n.level, string_agg(n.h, '' order by n.pos) filter (n.pos < s.pos // cast(pow(3, n.level) as bigint)),
+    string_agg(n.h, '' order by n.pos) filter (n.pos > s.pos // cast(pow(3, n.level) as bigint))
+  from placed p join heights x on p.tree is not distinct from x.tree join subroots s on s.tree is not distinct from p.tree
+  join top_nodes n on n.level < (select max(level) from top_nodes) and n.pos // 3 = s.pos // cast(pow(3, n.level + 1) as bigint)
+  group by p.rid, x.height, n.level),
+fold as (
+  select rid, 0 as level, now as h from placed
+  union all
+  select f.rid, f.level + 1, sha256(coalesce(s.l, '') || f.h || coalesce(s.r, '')) from fold f join steps s on s.rid = f.rid and s.level = f.level),
+folded as (select rid, arg_max(h, level) as h from fold group by rid),
+proofs as (select rid, string_agg(coalesce(l, '') || coalesce(r, ''), '' order by level) as proof from steps group by rid),
+root as (select h from top_nodes where level = (select max(level) from top_nodes))
+select p.doc_id, p.leaf, s.h as subroot, root.h as root, sha256(coalesce(proof, '')) as proof_sha256, folded.h as folded_root, folded.h = root.h as verified
+from placed p join subroots s on s.tree is not distinct from p.tree join folded on folded.rid = p.rid left join proofs on proofs.rid = p.rid, root
+"""
+
+
+@registered("op11_merkle_manifest", _OP11_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+_OP12_SQL = r"""
+with cut as (
+  select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as k, length(coalesce(text, '')) as n from documents)
+select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by k) as group_size,
+  row_number() over w = 1 as kept, sha256(k) as text_sha256
+from cut window w as (partition by k order by n desc, doc_id nulls last)
+"""
+
+
+@registered("op12_exact_dedup", _OP12_SQL)
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+_OP13_SQL = r"""
+with cut as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as t,
+    sha256('1:' || coalesce(cast(doc_id as varchar), '')) as x from documents),
+drawn as (
+  select *, len(t) as n, cast('0x' || x[1:8] as bigint) as h1, cast('0x' || x[9:16] as bigint) as h2,
+    cast('0x' || x[17:24] as bigint) as h3, cast('0x' || x[25:32] as bigint) as h4 from cut),
+ends as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b from drawn),
+parts as (
+  select doc_id, text, n, array_to_string(t[1:a], '') as p, array_to_string(t[a + 1:b], '') as m, array_to_string(t[b + 1:], '') as s,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+      when h4 % 100 < 20 then 'spm' else 'psm' end as form
+  from ends)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+    else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256
+from parts
+"""
+
+
+@registered("op13_fill_in_middle", _OP13_SQL)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = restore(fill_in_middle(table(spark, sf_dir, "documents")))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
