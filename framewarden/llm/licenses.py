@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_rows, text_of, written
+from .pii import let
 
 # What licences are called and how notices word them.
 TEMPLATES = (
@@ -123,60 +125,128 @@ def template_rows(spark: SparkSession, templates: tuple = TEMPLATES) -> DataFram
     return bounded_rows(spark, templates, "license string, template string", 10_000)
 
 
-def similar_templates(found: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFrame:
-    """``mark, license, similarity`` of each distinct section whose best template reaches ``least``.
+def counted(terms: Column) -> Column:
+    """``struct(term, tf)`` of the distinct terms of an array: sorted, then the lengths of the runs."""
+
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        length = lambda b, p, i: F.coalesce(F.get(b, i + 1), F.size(s)) - p
+        return let(begins, lambda b: F.transform(b, lambda p, i: F.struct(F.get(s, p).alias("term"), length(b, p, i).alias("tf"))))
+
+    nothing = F.array().cast("array<struct<term:string,tf:int>>")
+    return let(F.sort_array(terms), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(nothing))
+
+
+def once(found: DataFrame) -> DataFrame:
+    """Sections without those that a path repeats; texts are shuffled only for these."""
+    again = found.groupBy("path", "mark").agg(F.count("*").alias("times")).where("times > 1").select("path", "mark")
+    again = written(again, "license-again")
+    if again.isEmpty():
+        return found
+    return found.join(again, ["path", "mark"], "left_anti").union(
+        found.join(again, ["path", "mark"], "left_semi").select(found.columns).dropDuplicates(["path", "mark"])
+    )
+
+
+def similar_templates(found: DataFrame, templates: tuple, least: float = LEAST) -> DataFrame:
+    """``path, license, similarity`` of each section whose best template reaches ``least``.
 
     A term's weight is its count times ``ln((1 + n) / (1 + df)) + 1``, with ``n``
-    and ``df`` counted over all sections of all files, and the templates.
-    Equal sections are weighed together.
+    and ``df`` counted over all sections of all files, and the templates.  A
+    cosine is at most the root of the share that the templates' terms have of a
+    section's squared weights, and every other term weighs 1 at least; sections
+    ruled out by this never leave their row.
     """
-    copies = written(found.groupBy("mark").agg(F.count("*").alias("copies"), F.min("path").alias("path")), "license-sections")
-    # The terms of one of the equal sections; a task sums them before the shuffle.
-    one = found.join(copies, ["mark", "path"])
-    vectors = one.select("mark", "copies", F.explode(terms_of(F.col("section"))).alias("term"))
-    vectors = vectors.groupBy("mark", "copies", "term").agg(F.count("*").alias("tf"))
-    wanted = templates.select("license", F.explode(terms_of(F.col("template"))).alias("term")).groupBy("license", "term").agg(F.count("*").alias("tf"))
-    df = vectors.select("term", "copies").union(wanted.select("term", F.lit(1).cast("bigint"))).groupBy("term").agg(F.sum("copies").alias("df"))
-    n = copies.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] + templates.count()
-    weight = F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
-    weighed = vectors.join(df, "term").select("mark", "term", weight.alias("w"))
-    goal = wanted.join(df, "term").select("license", F.col("term").alias("t_term"), weight.alias("t_w"))
+    spark = found.sparkSession
+    found = once(found)
+    rows = template_rows(spark, templates)
+    wanted = rows.select("license", F.explode(terms_of(F.col("template"))).alias("term")).groupBy("license", "term").agg(F.count("*").alias("tf"))
+    wanted = wanted.collect()
+    own = Counter(r.term for r in wanted)
+    seen = found.select(F.explode(F.array_distinct(terms_of(F.col("section")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    seen = written(seen, "license-terms")
+    n = found.count() + len(templates)
+    df = {r.term: r.df for r in seen.where(F.col("term").isin(*own)).collect()} if own else {}
+    weights = {t: math.log((1 + n) / (1 + df.get(t, 0) + own[t])) + 1 for t in own}
+    sizes: Counter[str] = Counter()
+    for r in wanted:
+        sizes[r.license] += (r.tf * weights[r.term]) ** 2
+    goals = [(r.license, r.term, r.tf * weights[r.term] / math.sqrt(sizes[r.license])) for r in wanted]
+    goals = bounded_rows(spark, goals, "license string, t_term string, t_w double", 100_000)
+    terms = terms_of(F.col("section"))
+    able = within_bound(weights, lambda t, on: on + F.size(F.filter(t, lambda x: ~x.isin(*weights))), least)
+    likely = written(found.where(able(terms)).select("path", "mark", "section"), "license-likely")
+    vectors = likely.groupBy("mark").agg(F.min("section").alias("section")).select("mark", F.explode(counted(terms)).alias("c")).select("mark", "c.*")
+    extra = bounded_rows(spark, list(own.items()), "o_term string, more bigint", 100_000)
+    dfs = seen.join(extra, F.col("term") == F.col("o_term"), "left").select("term", (F.col("df") + F.coalesce("more", F.lit(0))).alias("df"))
+    weighed = vectors.join(dfs, "term").select("mark", "term", (F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("w"))
     size = weighed.groupBy("mark").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    goal_size = goal.groupBy("license").agg(F.sqrt(F.sum(F.col("t_w") * F.col("t_w"))).alias("goal_size"))
-    dots = weighed.join(goal, F.col("term") == F.col("t_term")).groupBy("mark", "license").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
-    rated = dots.join(size, "mark").join(goal_size, "license").select(
-        "mark", "license", F.round(F.col("dot") / (F.col("size") * F.col("goal_size")), 6).alias("similarity")
-    )
-    return best(rated.where(F.col("similarity") >= least), ["mark"])
+    dots = weighed.join(goals, F.col("term") == F.col("t_term")).groupBy("mark", "license").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
+    rated = dots.join(size, "mark").select("mark", "license", F.round(F.col("dot") / F.col("size"), 6).alias("similarity"))
+    named = written(best(rated.where(F.col("similarity") >= least), ["mark"]), "license-named")
+    return likely.select("path", "mark").join(named, "mark").select("path", "license", "similarity")
+
+
+def squares(terms: Column, weights: dict[str, float], rest: float) -> Column:
+    """Sum of the squared weights of a section's terms; terms without a weight have ``rest``.
+
+    Templates are few, so weights have few values: one look-up in a set of terms each.
+    """
+    classes: dict[float, list[str]] = defaultdict(list)
+    for term, w in sorted(weights.items()):
+        classes[w].append(term)
+
+    def square(c: Column) -> Column:
+        weight = F.lit(rest)
+        for w, members in sorted(classes.items()):
+            weight = F.when(c["term"].isin(*members), F.lit(w)).otherwise(weight)
+        return let(c["tf"] * weight, lambda x: x * x)
+
+    return F.aggregate(counted(terms), F.lit(0.0), lambda total, c: total + square(c))
+
+
+def within_bound(weights: dict[str, float], all_of, least: float):
+    """Whether terms with ``weights`` have ``least**2`` of a section's squared weights, ``all_of`` terms and those, at least."""
+
+    def able(terms: Column) -> Column:
+        on = lambda t: squares(F.filter(t, lambda x: x.isin(*weights)), weights, 0.0)
+        return let(terms, lambda t: let(on(t), lambda x: (x > 0) & (x * (1 + 1e-9) >= least**2 * all_of(t, x))))
+
+    return able
 
 
 def similar_texts(found: DataFrame, templates: tuple, least: float) -> DataFrame:
-    """``mark, license, similarity`` of each section whose best template reaches ``least``.
+    """``path, license, similarity`` of each section whose best template reaches ``least``.
 
     As ``similar_templates``, but ``n`` and ``df`` are counted over the templates
-    alone, so that the many terms of long sections are dealt out once.  Sections
-    that are there several times only scale their vector.
+    alone, so a section's squared weights are known in its row.  Where the
+    templates' terms have less than ``least**2`` of them no cosine reaches
+    ``least``; only the other sections are compared.
     """
-    goals = template_rows(found.sparkSession, templates).select("license", F.explode(terms_of(F.col("template"))).alias("term"))
+    spark = found.sparkSession
+    goals = template_rows(spark, templates).select("license", F.explode(terms_of(F.col("template"))).alias("term"))
     goals = goals.groupBy("license", "term").agg(F.count("*").alias("tf")).collect()
     df = Counter(r.term for r in goals)
     weight = lambda n: math.log((1 + len(templates)) / (1 + n)) + 1
+    weights = {t: weight(n) for t, n in df.items()}
     sizes: Counter[str] = Counter()
-    by_term: dict[str, list] = defaultdict(list)
     for r in goals:
-        sizes[r.license] += (r.tf * weight(df[r.term])) ** 2
-        by_term[r.term].append((r.license, r.tf * weight(df[r.term])))
-    rows = [(term, weight(df[term]), [(name, w / math.sqrt(sizes[name])) for name, w in own]) for term, own in by_term.items()]
-    known = bounded_rows(found.sparkSession, rows, "term string, w double, goals array<struct<license string, t_w double>>", 100_000)
-    vectors = found.select("mark", F.explode(terms_of(F.col("section"))).alias("term")).groupBy("mark", "term").agg(F.count("*").alias("tf"))
-    weighed = vectors.join(known, "term", "left").select("mark", (F.col("tf") * F.coalesce("w", F.lit(weight(0)))).alias("w"), "goals")
-    # The row without a licence sums up the squares.
-    square = F.array(F.struct(F.lit(None).cast("string").alias("license"), F.col("w").alias("t_w")))
-    sums = weighed.select("mark", "w", F.explode(F.concat(square, F.coalesce("goals", F.array().cast("array<struct<license:string,t_w:double>>")))).alias("goal"))
-    sums = sums.groupBy("mark", "goal.license").agg(F.sum(F.col("w") * F.col("goal.t_w")).alias("dot"))
-    size = sums.where("license is null").select("mark", F.sqrt("dot").alias("size"))
-    rated = sums.where("license is not null").join(size, "mark").select("mark", "license", F.round(F.col("dot") / F.col("size"), 6).alias("similarity"))
-    return best(rated.where(F.col("similarity") >= least), ["mark"])
+        sizes[r.license] += (r.tf * weights[r.term]) ** 2
+    known = [(r.license, r.term, r.tf * weights[r.term] ** 2 / math.sqrt(sizes[r.license])) for r in goals]
+    known = bounded_rows(spark, known, "license string, t_term string, t_w double", 1_000_000)
+    terms = terms_of(F.col("section"))
+    all_of = lambda t: squares(t, weights, weight(0))
+    # The first bound is cheap: each other term weighs as a term of no template at least once.
+    first = within_bound(weights, lambda t, on: on + weight(0) ** 2 * F.size(F.filter(t, lambda x: ~x.isin(*weights))), least)
+    second = within_bound(weights, lambda t, on: all_of(t), least)
+    able = found.where(F.when(first(terms), second(terms)).otherwise(F.lit(False)))
+    able = written(able.select("path", "mark", "section", F.sqrt(all_of(terms)).alias("size")), "license-able")
+    vectors = able.groupBy("mark").agg(F.min("section").alias("section"), F.min("size").alias("size"))
+    vectors = vectors.select("mark", "size", F.explode(counted(terms)).alias("c")).select("mark", "size", "c.*")
+    dots = vectors.join(known, F.col("term") == F.col("t_term")).groupBy("mark", "size", "license").agg(F.sum(F.col("tf") * F.col("t_w")).alias("dot"))
+    rated = dots.select("mark", "license", F.round(F.col("dot") / F.col("size"), 6).alias("similarity"))
+    named = written(best(rated.where(F.col("similarity") >= least), ["mark"]), "license-named")
+    return able.select("path", "mark").join(named, "mark").select("path", "license", "similarity")
 
 
 def best(rated: DataFrame, key: list[str]) -> DataFrame:
@@ -202,14 +272,12 @@ def scan_licenses(files: DataFrame, least: float = LEAST, templates: tuple = TEM
     one.
     """
     narrow = files.select("path", "text")
-    found = written(sections(narrow).dropDuplicates(["path", "mark"]), "license-found")
-    named = similar_templates(found, template_rows(files.sparkSession, templates), least)
-    rated = found.select("path", "mark").join(named, "mark").select("path", F.lit(0).alias("rank"), "license", "similarity")
-    for rank, (cut, goals) in enumerate(((blocks, header_templates()), (whole_files, full_texts())), 1):
-        named = written(similar_texts(cut(narrow), goals, least), "license-named")
-        more = cut(narrow).select("path", "mark").join(named, "mark").select("path", F.lit(rank).alias("rank"), "license", "similarity")
-        rated = rated.union(more.distinct())
-    rated = written(rated, "license-rated")
+    parts = ((sections, templates, similar_templates), (blocks, header_templates(), similar_texts), (whole_files, full_texts(), similar_texts))
+    rated = [
+        compare(cut(narrow), goals, least).select("path", F.lit(rank).alias("rank"), "license", "similarity")
+        for rank, (cut, goals, compare) in enumerate(parts)
+    ]
+    rated = written(reduce(DataFrame.union, rated).distinct(), "license-rated")
     # A full text says more than a header, and a header more than a line of it.
     top = rated.groupBy("path").agg(F.max("rank").alias("rank"))
     own = best(rated.join(top, ["path", "rank"]).select("path", "license", "similarity"), ["path"])
