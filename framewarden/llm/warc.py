@@ -4,13 +4,15 @@ The reader cuts files into blocks and reads the records that begin in each.  A
 record counts if its header parses, its length leads to the closing line ends
 and its payload has the digest it names.  After a failed check the search goes
 on at the next version line, or the next gzip member in ``.gz`` files, so later
-records are recovered; bytes that belong to no record are logged as gaps.
+records are recovered; bytes that belong to no record are logged as gaps.  A record
+is kept where a digest or an HTTP header is only odd, with a remark on it.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh, written
 
+LOG = logging.getLogger(__name__)
+
 END = b"\r\n\r\n"
 VERSION = b"WARC/1."
 MEMBER = b"\x1f\x8b\x08"
@@ -31,6 +35,9 @@ STEP = 1 << 20
 FIRST_HEADER = 1 << 16
 VERSION_LINE = re.compile(rb"WARC/1\.[0-9]+[ \t]*")
 HEADER_LINE = re.compile(rb"[^\s:](?:[^:]*[^\s:])?:")
+LENGTH = re.compile("[0-9]{1,18}")
+# Digest algorithms and the bytes of a digest.
+DIGESTS = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
 # The digits of base 32.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -95,8 +102,10 @@ def write_warc(records: DataFrame, path: str) -> None:
 @dataclass(frozen=True)
 class Record:
     headers: dict[str, str]
-    block: bytes
+    payload: bytes
     stop: int
+    #: What is odd about a sound record.
+    remark: str | None = None
 
 
 class Damaged(Exception):
@@ -137,26 +146,64 @@ def parsed_headers(head: bytes) -> dict[str, str]:
         if not colon or not key.strip() or key != key.strip():
             raise Damaged("bad header line")
         out[key.lower()] = value.strip()
-    if not out.get("content-length", "").isdigit() or "warc-type" not in out:
+    if not LENGTH.fullmatch(out.get("content-length", "")) or "warc-type" not in out:
         raise Damaged("no length or type")
     return out
 
 
-def payload_of(headers: dict[str, str], block: bytes) -> bytes:
-    """The block without an HTTP header where it has one."""
-    if headers.get("content-type", "").startswith("application/http"):
-        head, gap, body = block.partition(END)
-        if not gap:
-            raise Damaged("no end of the HTTP header")
-        return body
-    return block
+def payload_of(headers: dict[str, str], block: bytes) -> tuple[bytes, str | None]:
+    """The block without an HTTP header where it has one, and a remark on a header without an end."""
+    if not headers.get("content-type", "").lower().startswith("application/http") or not block:
+        return block, None
+    head, gap, body = block.partition(END)
+    if gap:
+        return body, None
+    return (b"" if block.startswith(b"HTTP/") else block), "no end of the HTTP header"
+
+
+def digest_agrees(named: str, data: bytes) -> bool | None:
+    """Whether ``data`` has the digest ``algorithm:value`` names, in hex or base 32 of either case; None if that is unreadable."""
+    algorithm, _, value = named.partition(":")
+    algorithm, value = algorithm.strip().lower().replace("-", ""), value.strip()
+    size = DIGESTS.get(algorithm)
+    if size is None:
+        return None
+    bare = value.rstrip("=")
+    try:
+        if len(value) == 2 * size:
+            wanted = bytes.fromhex(value)
+        elif len(bare) == -(-8 * size // 5):
+            wanted = base64.b32decode(bare + "=" * (-len(bare) % 8), casefold=True)
+        else:
+            return None
+    except ValueError:
+        return None
+    return hashlib.new(algorithm, data, usedforsecurity=False).digest() == wanted
 
 
-def checked(headers: dict[str, str], block: bytes) -> None:
-    digest = headers.get("warc-payload-digest", "")
-    if digest.startswith("sha1:") and headers["warc-type"] != "revisit":
-        if base64.b32encode(hashlib.sha1(payload_of(headers, block)).digest()).decode() != digest[5:]:
+def checked(headers: dict[str, str], block: bytes, stop: int) -> Record:
+    """The record of a block that has the digests its header names.
+
+    A digest that cannot be read is a remark.  So is a payload digest that
+    differs where the block digest agrees: no byte is damaged then, the writer
+    meant another form of the payload.
+    """
+    payload, remark = payload_of(headers, block)
+    remarks = [remark] if remark else []
+    whole = None
+    if "warc-block-digest" in headers:
+        whole = digest_agrees(headers["warc-block-digest"], block)
+        if whole is False:
+            raise Damaged("block digest differs")
+        if whole is None:
+            remarks.append("unknown block digest")
+    if "warc-payload-digest" in headers and headers["warc-type"].lower() != "revisit":
+        same = digest_agrees(headers["warc-payload-digest"], payload)
+        if same is False and not whole:
             raise Damaged("payload digest differs")
+        if not same:
+            remarks.append("unknown payload digest" if same is None else "payload digest differs, block digest agrees")
+    return Record(headers, payload, stop, "; ".join(remarks) or None)
 
 
 def header_at(window: Reads, start: int) -> bytes:
@@ -185,8 +232,7 @@ def plain_record(window: Reads, start: int) -> Record:
     if stop + len(END) > window.size or window.get(stop, len(END)) != END:
         raise Damaged("no line ends where the length leads")
     block = window.get(begin, stop - begin)
-    checked(headers, block)
-    return Record(headers, block, stop + len(END))
+    return checked(headers, block, stop + len(END))
 
 
 def member_record(window: Reads, start: int) -> Record:
@@ -211,8 +257,7 @@ def member_record(window: Reads, start: int) -> Record:
     block = content[begin : begin + int(headers["content-length"])]
     if content[begin + len(block) :] != END or len(block) != int(headers["content-length"]):
         raise Damaged("length and member differ")
-    checked(headers, block)
-    return Record(headers, block, stop)
+    return checked(headers, block, stop)
 
 
 def scanned(window: Reads, start: int, stop: int, packed: bool) -> Iterator[tuple[int, Record | str]]:
@@ -238,7 +283,7 @@ def opened(path: str):
 
 COLUMNS = (
     "path string, start bigint, stop bigint, fault string, warc_type string, record_id string, target_uri string, "
-    "refers_to string, payload_digest string, payload_bytes bigint, payload binary"
+    "refers_to string, payload_digest string, remark string, payload_bytes bigint, payload binary"
 )
 
 
@@ -268,12 +313,12 @@ def scan_warc(spark: SparkSession, path: str, payloads: bool = True, block: int
                     stop = min(row["length"], row["start"] + block)
                     for at, got in scanned(window, row["start"], stop, row["path"].endswith(".gz")):
                         if isinstance(got, str):
-                            out.append((row["path"], at, None, got, *[None] * 7))
+                            out.append((row["path"], at, None, got, *[None] * 8))
                             continue
-                        h, body = got.headers, payload_of(got.headers, got.block)
+                        h, body = got.headers, got.payload
                         out.append((
                             row["path"], at, got.stop, None, h["warc-type"], h.get("warc-record-id"), h.get("warc-target-uri"),
-                            h.get("warc-refers-to"), h.get("warc-payload-digest"), len(body), body if payloads else None,
+                            h.get("warc-refers-to"), h.get("warc-payload-digest"), got.remark, len(body), body if payloads else None,
                         ))
                         size += len(body)
                         if size >= 8 << 20 or len(out) >= 5000:
@@ -288,7 +333,7 @@ def scan_warc(spark: SparkSession, path: str, payloads: bool = True, block: int
 
 def as_batch(rows: list[tuple]) -> pa.RecordBatch:
     text, number = pa.string(), pa.int64()
-    kinds = [text, number, number, *[text] * 6, number, pa.binary()]
+    kinds = [text, number, number, *[text] * 7, number, pa.binary()]
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
@@ -339,12 +384,17 @@ def archived_pages(pages: DataFrame, least_revisit_bytes: int = 0) -> DataFrame:
 
     A null html is an empty payload, a null url an empty address; an empty table
     gives an empty one; repeated rows stay.  A revisit has the size of the record
-    it refers to.
+    it refers to.  Gaps of the archives are written to a table ``warc-gaps`` in the
+    shared folder, empty if all is sound, and told in the log.
     """
     spark = pages.sparkSession
     path = fresh(spark, "warc")
     write_warc(records_of(pages, least_revisit_bytes), path)
-    records, _ = read_warc(spark, path, payloads=False)
+    records, gaps = read_warc(spark, path, payloads=False)
+    gaps = written(gaps, "warc-gaps")
+    lost = gaps.agg(F.count("*").alias("gaps"), F.sum(F.col("stop") - F.col("start")).alias("bytes")).first()
+    if lost["gaps"]:
+        LOG.warning("%d gaps of %d bytes in %s, listed in %s", lost["gaps"], lost["bytes"], path, gaps.inputFiles()[:1])
     found = records.select(
         page_of("record_id").alias("page_id"), "payload_bytes", F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"),
         F.col("warc_type").alias("record_type"), page_of("refers_to").alias("refers_to"),

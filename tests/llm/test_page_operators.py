@@ -73,6 +73,49 @@ def test_wrong_digest_is_quarantined(spark):
     assert [f[0] for f in found] == ["1", "3"] and [g[2] for g in gaps] == ["payload digest differs"]
 
 
+def record(name, content, kind="response", mime="application/http; msgtype=response", **digests):
+    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{name}>\r\nContent-Type: {mime}\r\n"
+    head += "".join(f"WARC-{k.title()}-Digest: {v}\r\n" for k, v in digests.items())
+    return f"{head}Content-Length: {len(content)}\r\n\r\n".encode() + content + b"\r\n\r\n"
+
+
+def test_odd_but_sound_records_are_rows(spark):
+    http, body = b"HTTP/1.1 200 OK\r\n\r\n", b"body"
+    sha1, sha256 = hashlib.sha1(body), hashlib.sha256(body)
+    b32 = lambda h: base64.b32encode(h.digest()).decode()
+    whole = "sha1:" + b32(hashlib.sha1(http + body))
+    sound = {  # name: (record, payload, remark)
+        0: (record(0, b"", "revisit", payload="sha1:" + "A" * 32), b"", None),
+        1: (record(1, b"HTTP/1.1 200 OK\r\n"), b"", "no end of the HTTP header"),
+        2: (record(2, b"no HTTP at all"), b"no HTTP at all", "no end of the HTTP header"),
+        3: (record(3, http + body, payload="sha1:" + sha1.hexdigest()), body, None),
+        4: (record(4, http + body, payload="SHA1:" + b32(sha1).lower()), body, None),
+        5: (record(5, http + body, payload="sha-256:" + b32(sha256), block=whole), body, None),
+        6: (record(6, http + body, payload="md5:" + hashlib.md5(body).hexdigest().upper()), body, None),
+        7: (record(7, http + body, payload="crc32:1234", block="sha1:short"), body, "unknown block digest; unknown payload digest"),
+        8: (record(8, http + body, payload="sha1:" + "A" * 32, block=whole), body, "payload digest differs, block digest agrees"),
+        9: (record(9, b"plain", "resource", "text/plain", block="sha1:" + b32(hashlib.sha1(b"plain"))), b"plain", None),
+    }
+    broken = [
+        record(20, http + body, block="sha256:" + sha256.hexdigest()), record(21, http + body, payload="md5:" + "0" * 32),
+        record(22, b"", "revisit", block="sha1:" + "A" * 32), record(23, b"").replace(b"Length: 0", "Length: ²".encode()),
+        record(24, b"").replace(b"Length: 0", b"Length: " + b"9" * 5000),
+    ]
+    for pack, name in ((bytes, "d.warc"), (gzip.compress, "d.warc.gz")):
+        data, spans = b"", []
+        for part in [x for pair in zip((r for r, _, _ in sound.values()), broken * 2) for x in pair]:
+            packed = pack(part)
+            if part not in broken:
+                spans.append((len(data), len(data) + len(packed)))
+            data += packed
+        records, gaps = warc.read_warc(spark, put(spark, name, data), block=400)
+        got = {int(r.record_id[10:-1]): (bytes(r.payload), r.remark) for r in records.collect()}
+        assert got == {k: v[1:] for k, v in sound.items()}
+        ends = [*[a for a, _ in spans[1:]], len(data)]
+        assert sorted((g.start, g.stop) for g in gaps.collect()) == [(stop, start) for (_, stop), start in zip(spans, ends)]
+        assert {g.fault for g in gaps.collect()} == {"block digest differs", "payload digest differs", "no length or type"}
+
+
 def test_pages_round_trip(spark):
     rows = [(3, "u", "abc"), (1, "v\r\nz", "abc"), (2, None, None), (None, "w", ""), (5, "é", "é\r\n\r\nWARC/1.0\r\nx"), (7, "é", "é\r\n\r\nWARC/1.0\r\nx"),
             (8, "l", "y" * 300_000), (9, "u", "WARC/1.1\r\nWARC-Type: x\r\n"), (9, "u", "WARC/1.1\r\nWARC-Type: x\r\n")]
