@@ -1,14 +1,13 @@
 """Toxicity by compression distance.
 
-Two dictionaries prime zstandard: ``ordinary``, which zstandard trains on text
-labelled 0, and ``toxic``, the words and word pairs that are proven to recur in
-text labelled 1 and to be rare in ordinary text, be it of one language or one
-source alone.  (A dictionary that zstandard trains on toxic text is mostly
-ordinary words, as toxic text is.)  Every window of
-a text is compressed twice, primed with ordinary text alone and with ordinary
-plus toxic text; the bytes the toxic dictionary saves are the window's distance.
-A logistic curve fitted on other labelled rows turns a text's savings into a
-score.
+zstandard trains two dictionaries: ``ordinary`` on text labelled 0 and ``toxic``
+on excerpts of text labelled 1.  Toxic text as a whole is mostly ordinary words,
+and so would its dictionary be; the excerpts are the words and word pairs that
+recur in toxic texts and are proven to be rare in ordinary ones, each time they
+occur.  Every window of a text is compressed twice, primed with ordinary text
+alone and with ordinary plus toxic text; the bytes the toxic dictionary saves are
+the window's distance.  A logistic curve fitted on other labelled rows turns a
+text's savings into a score.  Scores and training see nothing but texts and labels.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_rows
+from .common import bounded_rows, written
 
 GRAM = 5
 #: Windows of several sizes: a match gains differently next to other words.
@@ -35,8 +34,10 @@ LEVEL = 3
 SUPPORT, LEAST_RATIO, FALSE_SHARE = 3, 25, 0.02
 
 
-#: Columns that split the texts into groups, where the table has them.
-GROUPS = ("lang", "source")
+#: Segment and run lengths of the toxic dictionary's training, and its least size.
+TOXIC_K, TOXIC_D, TOXIC_BYTES = 24, 8, 8192
+#: Power of an excerpt's count, below 1 so that rare excerpts have their share.
+EVEN = 0.7
 
 
 @dataclass(frozen=True)
@@ -51,10 +52,6 @@ def grams(piece: bytes) -> set[bytes]:
     return {piece[i : i + GRAM] for i in range(len(piece) - GRAM + 1)}
 
 
-def padded_words(text: str) -> set[bytes]:
-    return {b" %b " % w for w in text.lower().encode().split()}
-
-
 def windows(text: str, size: int) -> Iterator[bytes]:
     """The whole text in windows of at least ``size`` bytes that end at a space.
 
@@ -71,12 +68,17 @@ def windows(text: str, size: int) -> Iterator[bytes]:
         at = cut
 
 
-def ordinary_dictionary(texts: list[str], size: int) -> bytes:
-    samples = [t.lower().encode() for t in texts if t]
+def trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
+    """The dictionary zstandard trains on samples; too few to train on serve as they are, the last ones last."""
+    samples = [x for x in samples if x]
     try:
-        return zstandard.train_dictionary(size, samples, k=64, d=6).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on: their own bytes serve
-        return b" ".join(samples)[-size:]
+        return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
+    except zstandard.ZstdError:
+        return b" ".join(dict.fromkeys(reversed(samples)))[:size] if samples else b""
+
+
+def ordinary_dictionary(texts: list[str], size: int) -> bytes:
+    return trained([t.lower().encode() for t in texts], size, 64, 6)
 
 
 def word_grams(words: list[bytes]) -> Iterator[tuple[bytes, int]]:
@@ -100,68 +102,51 @@ def chance(n: int, m: int, toxic: int, ordinary: int) -> float:
     return sum(math.exp(of(toxic, k) + of(ordinary, n + m - k) - whole) for k in range(max(n, n + m - ordinary), min(toxic, n + m) + 1))
 
 
-def telling(toxic: list[tuple], ordinary: list[tuple], units: Callable[[list[bytes]], Iterator[tuple[bytes, int]]]) -> Counter[bytes]:
-    """Units that recur in toxic texts and hardly occur in ordinary ones, with the number of toxic texts they are in.
+def telling(toxic: list[str], ordinary: list[str], units: Callable[[list[bytes]], Iterator[tuple[bytes, int]]]) -> set[bytes]:
+    """Units that recur in toxic texts and hardly occur in ordinary ones.
 
-    Rows are a text and its groups, as language and source.  The texts of each
-    group, and all together, are judged by themselves, so the share a group has
-    of all texts does not matter: units are taken as long as no more than
-    ``FALSE_SHARE`` of them are expected to be there by chance.  Texts copied
-    from each other are no evidence: a unit counts once for the same neighbours.
+    Units are taken as long as no more than ``FALSE_SHARE`` of them are expected
+    to be there by chance.  Texts copied from each other are no evidence: a unit
+    counts once for the same neighbours.
     """
     support = max(2, min(SUPPORT, len(toxic) // 10))
-    words = [[row[0].lower().encode().split() for row in rows] for rows in (toxic, ordinary)]
-    sets = lambda kind: ({u for u, _ in units(w)} for w in words[kind])
-    groups_of = lambda row: ((), *enumerate(row[1:]))
-    count = Counter(u for own in sets(0) for u in own)
-    known = {u for u, n in count.items() if n >= support}
-    seen: dict[tuple, tuple[Counter, Counter]] = {}
-    sizes: Counter[tuple] = Counter()
-    for kind, rows in enumerate((toxic, ordinary)):
-        for row, own in zip(rows, sets(kind)):
-            own &= known
-            for group in groups_of(row):
-                sizes[group, kind] += 1
-                seen.setdefault(group, (Counter(), Counter()))[kind].update(own)
-    rare = {}
-    for group, (bad, good) in seen.items():
-        t, o = sizes[group, 0], sizes[group, 1]
-        rare[group] = {u: set() for u, n in bad.items() if n >= support and n * (o + 1) > LEAST_RATIO * good[u] * t}
-    for row, own in zip(toxic, words[0]):
-        places = [(u, beside) for u, beside in units(own) if u in known]
-        for group in groups_of(row):
-            open_units = rare[group]
-            for u, beside in places:
-                if u in open_units:
-                    open_units[u].add(beside)
-    found = set()
-    for group, (bad, good) in seen.items():
-        t, o = sizes[group, 0], sizes[group, 1]
-        tried = sum(n >= support for n in bad.values())
-        chances = sorted((chance(min(bad[u], len(beside)), good[u], t, o), u) for u, beside in rare[group].items())
-        last = max((k for k, (p, _) in enumerate(chances, 1) if p * tried <= FALSE_SHARE * k), default=0)
-        found.update(u for _, u in chances[:last])
-    return Counter({u: count[u] for u in found})
-
-
-def toxic_dictionary(toxic: list[tuple], ordinary: list[tuple]) -> bytes:
-    """All telling byte runs of words and telling pairs of words, the most frequent ones last, where a match costs least."""
-    known = telling(toxic, ordinary, word_grams)
-    runs: Counter[bytes] = telling(toxic, ordinary, word_pairs)
-    for text, *_ in toxic:
-        for word in padded_words(text):
-            start = None
-            for i in range(len(word) - GRAM + 2):
-                if word[i : i + GRAM] in known:
-                    start = i if start is None else start
-                elif start is not None:
-                    runs[word[start : i + GRAM - 1]] += 1
-                    start = None
-    content = b""
-    for run, _ in sorted(runs.items(), key=lambda x: (-x[1], x[0])):
-        if not all(g in content for g in grams(run)):
-            content = run + content
-    return content
+    words = [[t.lower().encode().split() for t in texts] for texts in (toxic, ordinary)]
+    bad, good = (Counter(u for w in kind for u in {u for u, _ in units(w)}) for kind in words)
+    t, o = len(toxic), len(ordinary)
+    rare: dict[bytes, set] = {u: set() for u, n in bad.items() if n >= support and n * (o + 1) > LEAST_RATIO * good[u] * t}
+    for w in words[0]:
+        for u, beside in units(w):
+            if u in rare:
+                rare[u].add(beside)
+    tried = sum(n >= support for n in bad.values())
+    chances = sorted((chance(min(bad[u], len(beside)), good[u], t, o), u) for u, beside in rare.items())
+    last = max((k for k, (p, _) in enumerate(chances, 1) if p * tried <= FALSE_SHARE * k), default=0)
+    return {u for _, u in chances[:last]}
+
+
+def excerpts(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """All occurrences in toxic texts of words with a telling byte run, and of telling pairs of words."""
+    runs, pairs = telling(toxic, ordinary, word_grams), telling(toxic, ordinary, word_pairs)
+    out = []
+    for text in toxic:
+        words = text.lower().encode().split()
+        for one, two in zip(words, [*words[1:], b""]):
+            word, pair = b" %b " % one, b" %b %b " % (one, two)
+            out += [x for x, known in ((word, any(g in runs for g in grams(word))), (pair, pair in pairs)) if known]
+    return out
+
+
+def toxic_dictionary(toxic: list[str], ordinary: list[str]) -> bytes:
+    """The dictionary zstandard trains on the excerpts; its size grows with what there is to hold.
+
+    Training goes through the samples part by part, so they come in rounds: each
+    excerpt is in as many of the first ones as a power of its count says.
+    """
+    count = Counter(excerpts(toxic, ordinary))
+    rounds = {x: max(1, round(n**EVEN)) for x, n in count.items()}
+    samples = [x for r in range(max(rounds.values(), default=0)) for x in sorted(rounds) if rounds[x] > r]
+    size = max(TOXIC_BYTES, 2 * sum(map(len, set(samples))))
+    return trained(samples, size, TOXIC_K, TOXIC_D) if samples else b""
 
 
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -205,24 +190,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 40)
 
 
 def fit(rows: list[tuple], ordinary_bytes: int = 8192) -> ToxicityModel:
-    """Model of ``(text, 0 or 1, groups...)`` rows; every third row calibrates, the others train the dictionaries.
+    """Model of ``(text, 0 or 1)`` rows; every third row calibrates, the others train the dictionaries.
 
     Without rows of both kinds every text scores 0.
     """
     train = [r for i, r in enumerate(rows) if i % 3]
-    toxic = [(t, *groups) for t, y, *groups in train if y == 1]
-    ordinary = [(t, *groups) for t, y, *groups in train if y == 0]
+    toxic, ordinary = ([t for t, y in train if y == kind] for kind in (1, 0))
     if not toxic or not ordinary:
         return ToxicityModel(b"", b"", (-30.0, 0, 0, 0, 0, 0))
-    model = ToxicityModel(
-        ordinary_dictionary([t for t, *_ in ordinary], ordinary_bytes), toxic_dictionary(toxic, ordinary), (0.0,) * 6
-    )
+    model = ToxicityModel(ordinary_dictionary(ordinary, ordinary_bytes), toxic_dictionary(toxic, ordinary), (0.0,) * 6)
     scorer = Scorer(model)
     held = [r for i, r in enumerate(rows) if i % 3 == 0]
-    if len({y for _, y, *_ in held}) < 2:
+    if len({y for _, y in held}) < 2:
         held = rows
-    x = np.array([scorer.features(t) for t, *_ in held])
-    y = np.array([y for _, y, *_ in held], dtype=float)
+    x = np.array([scorer.features(t) for t, _ in held])
+    y = np.array([y for _, y in held], dtype=float)
     return ToxicityModel(model.ordinary, model.toxic, tuple(map(float, logistic(x, y))))
 
 
@@ -231,50 +213,38 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train_toxicity(
-    docs: DataFrame, labels: DataFrame, most_rows: int = 3000, most_chars: int = 24_000_000
+    docs: DataFrame, labels: DataFrame, most_rows: int = 3000, most_chars: int = 12_000_000
 ) -> ToxicityModel:
-    """Fit on at most ``most_rows`` rows of each label and ``most_chars`` characters of text.
+    """Fit on at most ``most_rows`` rows and ``most_chars`` characters of text of each label.
 
     The rows are those with the smallest hash of their id, outside the held-out
-    fold.  Labels other than 0 and 1, null ids and null texts are left out.
+    fold; a text that would go beyond the characters left is passed over.  Labels
+    other than 0 and 1, null ids and null texts are left out; an id with both
+    labels is toxic, and of an id's texts that with the smallest hash counts.
     """
     spark = docs.sparkSession
+    order = F.xxhash64(F.lit("toxicity"), "doc_id")
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
         F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))
+    ).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = [
+        (r.doc_id, kind, k) for kind in (0, 1)
+        for k, r in enumerate(known.where(F.col("toxic") == kind).orderBy(order, "doc_id").limit(most_rows).collect())
+    ]
+    chosen = bounded_rows(spark, ids, "_id bigint, _toxic int, _order int", 2 * most_rows)
+    texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).where(F.col("_text").isNotNull())
+    picked = texts.join(chosen, F.col("_doc") == F.col("_id")).groupBy("_id", "_toxic", "_order").agg(
+        F.min_by("_text", F.xxhash64("_text")).alias("_text")
     )
-    order = F.xxhash64(F.lit("toxicity"), "doc_id")
-    ids = {}
-    for kind in (0, 1):
-        for r in known.where(F.col("toxic") == kind).orderBy(order, "doc_id").limit(most_rows).collect():
-            ids[r.doc_id] = kind
-    chosen = bounded_rows(spark, ids.items(), "_id bigint, _toxic int", 2 * most_rows)
-    groups = [F.col(c).cast("string").alias(f"_{c}") for c in GROUPS if c in docs.columns]
-    texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"), *groups).where(F.col("_text").isNotNull())
-    picked = texts.join(chosen, F.col("_doc") == F.col("_id"))
-    sizes = sorted(
-        picked.select("_id", "_toxic", F.length("_text").alias("_n"), order_of("_id")).dropDuplicates(["_id"]).collect(),
-        key=lambda r: (r._order, r._id),
-    )
-    total, within = 0, []
-    for r in sizes:
-        total += r._n
-        if total > most_chars and within:
-            break
-        within.append((r._id, r._toxic))
-    chosen = bounded_rows(spark, within, "_id bigint, _toxic int", 2 * most_rows)
-    rows = (
-        texts.join(chosen, F.col("_doc") == F.col("_id"))
-        .select("_id", "_toxic", "_text", order_of("_id"), F.array(*[F.coalesce(f"_{c}", F.lit("")) for c in GROUPS if c in docs.columns]).alias("_groups"))
-        .collect()
-    )
-    seen: dict[int, tuple] = {}
-    for r in sorted(rows, key=lambda r: (r._order, r._id, r._text, r._groups)):
-        seen.setdefault(r._id, (r._text, r._toxic, *r._groups))
-    return fit(list(seen.values()))
-
-
-def order_of(column: str) -> Column:
-    return F.xxhash64(F.lit("toxicity"), column).alias("_order")
+    picked = written(picked, "toxicity-texts")
+    left, within = [most_chars, most_chars], []
+    for r in sorted(picked.select("_id", "_toxic", "_order", F.length("_text").alias("_n")).collect(), key=lambda r: (r._order, r._toxic)):
+        if r._n <= left[r._toxic]:
+            left[r._toxic] -= r._n
+            within.append(r._id)
+    kept = picked.join(bounded_rows(spark, [(i,) for i in within], "_kept bigint", 2 * most_rows), F.col("_id") == F.col("_kept"))
+    rows = sorted(kept.collect(), key=lambda r: (r._order, r._toxic))
+    return fit([(r._text, r._toxic) for r in rows])
 
 
 def toxicity_score(model: ToxicityModel, text: Column) -> Column:
@@ -292,7 +262,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bound
     """One row per input row: ``doc_id, held_out, score, predicted``.
 
     Repeated rows are scored each; a null id is never held out; an empty table
-    gives an empty one; columns besides ``doc_id``, ``text`` and, to train, ``GROUPS`` are not read.
+    gives an empty one; columns besides ``doc_id`` and ``text`` are not read.
     """
     model = train_toxicity(docs, labels, **bounds)
     scored = docs.select(

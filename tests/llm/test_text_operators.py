@@ -179,25 +179,26 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.toxicity(docs_of(spark, texts).where("doc_id > 9"), none).count() == 0
 
 
-def test_toxic_words_of_a_small_language_and_phrases_are_learned():
+def test_toxic_words_of_a_small_language_are_learned():
     rng = random.Random(4)
     small = "zo wip gax yed hule vyn kop".split()
-    own = {"en": "idiotic lostrake vequmol".split(), "xx": ["qarzoth"], "yy": ["der pan"]}
+    own = {"en": "idiotic lostrake vequmol".split(), "xx": ["qarzoth"]}
 
     def text(lang, toxic):
-        base = words(rng, 80) if lang == "en" else ["".join(rng.choices(small, k=2)) for _ in range(80)] + ["der", "pan"]
+        base = words(rng, 80) if lang == "en" else ["".join(rng.choices(small, k=2)) for _ in range(80)] + ["der", "pan"] 
         for _ in range(5 * toxic):
             base.insert(rng.randrange(len(base)), rng.choice(own[lang]))
         rng.shuffle(base)
         return " ".join(base)
 
-    rows = [(text("en", i % 2), i % 2, "en", "s") for i in range(1200)]
-    rows += [(text(lang, i % 10 == 0), int(i % 10 == 0), lang, "s") for i in range(170) for lang in ("xx", "yy")]
+    rows = [(text("en", i % 2), i % 2) for i in range(1200)]
+    rows += [(text(lang, i % 10 == 0), int(i % 10 == 0)) for i in range(170) for lang in ("xx",)]
     rng.shuffle(rows)
     model = toxicity.fit(rows)
-    assert b"qarzoth" in model.toxic and b" der pan " in model.toxic
+    found = toxicity.excerpts(*([t for t, y in rows if y == kind] for kind in (1, 0)))
+    assert b"qarzoth" in model.toxic and b" qarzoth " in found
     scorer = toxicity.Scorer(model)
-    for lang, least in (("en", 45), ("xx", 45), ("yy", 25)):
+    for lang, least in (("en", 45), ("xx", 45)):
         assert sum(scorer.score(text(lang, True)) >= 0.7 for _ in range(50)) >= least, lang
         assert sum(scorer.score(text(lang, False)) >= 0.7 for _ in range(50)) <= 2
 
@@ -205,11 +206,50 @@ def test_toxic_words_of_a_small_language_and_phrases_are_learned():
 def test_copies_of_a_toxic_text_are_no_evidence():
     rng = random.Random(6)
     copied = words(rng, 100)
-    rows = [(" ".join([*copied, "idiotic"] if i % 4 == 0 else words(rng, 80) + ["idiotic"] * (i % 2 == 0)), int(i % 2 == 0), "en", "s") for i in range(600)]
-    known = toxicity.telling([(t, *g) for t, y, *g in rows if y], [(t, *g) for t, y, *g in rows if not y], toxicity.word_pairs)
+    rows = [(" ".join([*copied, "idiotic"] if i % 4 == 0 else words(rng, 80) + ["idiotic"] * (i % 2 == 0)), int(i % 2 == 0)) for i in range(600)]
+    known = toxicity.telling([t for t, y in rows if y], [t for t, y in rows if not y], toxicity.word_pairs)
     assert not any(b" %b %b " % (a.encode(), b.encode()) in known for a, b in zip(copied, copied[1:]))
 
 
+def test_scores_need_no_other_columns_and_training_skips_long_texts(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(words(rng, 60) + ["vequmol"] * (3 * (i % 3 == 0))), rng.choice("ab"), rng.choice("xyz"), i) for i in range(300)]
+    rows += [(i, " ".join(words(rng, 5000)), "a", "x", 0) for i in range(300, 303)] + [(7, "another text", "b", "y", 0)] * 200
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(r[0], int(r[0] % 3 == 0 and r[0] < 300)) for r in rows], "doc_id bigint, toxic int")
+    got = sorted(toxicity.toxicity(docs, labels, most_chars=60_000).collect(), key=repr)
+    bare = sorted(toxicity.toxicity(docs.select("doc_id", "text"), labels, most_chars=60_000).collect(), key=repr)
+    assert got == bare and len({r.score for r in got}) > 20
+    found = [r.predicted for r in got if r.doc_id % 3 == 0 and r.doc_id < 300]
+    assert sum(found) > 0.9 * len(found)
+
+
+def test_features_are_savings_of_whole_windows():
+    """Window lengths by the library itself, with the dictionaries' own bytes in front."""
+    import zstandard
+
+    rng = random.Random(2)
+    rows = [(" ".join(words(rng, 60) + ["idiotic"] * (3 * (i % 2))), i % 2) for i in range(300)]
+    model = toxicity.fit(rows)
+    text = " ".join(words(rng, 300) + ["idiotic"] * 5 + words(rng, 40))
+    size = lambda content, w: len(zstandard.ZstdCompressor(
+        level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+        write_content_size=False, write_checksum=False, write_dict_id=False).compress(w))
+    saved = []
+    for width in model.window_bytes:
+        tokens, window = text.lower().encode().split(b" "), b""
+        for i, word in enumerate(tokens):
+            window += (b" " if window else b"") + word
+            # From the second window on the space before it counts.
+            if len(window) + (i + 1 > len(window.split())) >= width or i + 1 == len(tokens):
+                saved.append(size(model.ordinary, b" " + window + b" ") - size(model.ordinary + model.toxic, b" " + window + b" "))
+                window = b""
+    over = [sum(max(0, s - k) for s in saved) for k in (1, 2)]
+    n = 3 + len(saved)
+    want = [1, 10 * over[0] / n, 10 * over[1] / n, np.log1p(over[1]), max(saved) / 5, np.log(n)]
+    assert toxicity.Scorer(model).features(text) == pytest.approx(want)
+
+
 def test_windows_cover_the_text():
     text = " ".join(words(random.Random(1), 300)) + " " + "y" * 1000
     parts = [w.strip() for w in toxicity.windows(text, 48)]
