@@ -9,10 +9,11 @@ from ..fixtures import load
 from ..operators import events as ev
 from ..operators import frames as fr
 from ..operators import jobs as jb
+from ..operators.folding import Validator, map_segments
 from ..operators.segments import assign_segment, plan_segments
 from ..operators.verdicts import contract_violations, crash_reports, missing_keys
 from ..plans.checks import CHECKS as REGISTRY
-from ..plans.checks import map_segments, report_rows, run_checks
+from ..plans.checks import report_rows, run_checks
 from ..plans.master import report_events
 from ..sources.readers import parse_reports
 from . import query
@@ -132,22 +133,35 @@ def types(found):
     return ev.distinct_types(found.withColumnRenamed("name", "file_id"))
 
 
-def _loud(batches) -> str:
-    """Share of over-range frames, from a stream of batches."""
-    n = bad = 0
-    for batch in batches:
-        n += len(batch)
-        bad += int((batch["ymax"] > 235).sum())
-    return "REJECTED" if bad * 10 > n * 4 else "PASSED"
+def _over_range(state, batch):
+    """Rows, and rows over range."""
+    return state[0] + len(batch), state[1] + int((batch["ymax"] > 235).sum())
 
 
-def _fragile(batches) -> str:
-    top = max(int(batch["satmax"].max()) for batch in batches)
+def _both(a, b):
+    return a[0] + b[0], a[1] + b[1]
+
+
+def _loud(state) -> str:
+    return "REJECTED" if state[1] * 10 > state[0] * 4 else "PASSED"
+
+
+def _top(state, batch):
+    return max(state, int(batch["satmax"].max()))
+
+
+def _fragile(top) -> str:
     if top > 350:
         raise ValueError("saturation out of range")
     return "PASSED"
 
 
+_SEGMENT_VALIDATORS = {
+    "loud": Validator(lambda: (0, 0), _over_range, _both, _loud),
+    "fragile": Validator(lambda: 0, _top, max, _fragile),
+}
+
+
 @query(
     "map_segments", "frames",
     sql="""with s as (select file_id, cast(floor(pts_us / 1e6 / 6.0e0) as int) as segment_id, count(*) as n, count(*) filter (ymax > 235) as bad, max(satmax) as top from frames group by 1, 2)
@@ -155,8 +169,8 @@ def _fragile(batches) -> str:
        union all select file_id, segment_id, 'fragile', case when top > 350 then 'CRASHED' else 'PASSED' end, case when top > 350 then 'saturation out of range' end from s""",
 )
 def mapped(frames):
-    rows = frames.select("file_id", assign_segment(F.col("pts_us") / 1e6, 6.0).alias("segment_id"), "ymax", "satmax")
-    return map_segments(rows, {"loud": _loud, "fragile": _fragile})
+    rows = frames.select("file_id", assign_segment(F.col("pts_us") / 1e6, 6.0).alias("segment_id"), "frame_idx", "ymax", "satmax")
+    return map_segments(rows, _SEGMENT_VALIDATORS, order="frame_idx")
 
 
 @query(

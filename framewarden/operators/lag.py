@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ WINDOW_SEC = 60
 
 STEP_MS = HOP_LENGTH / SAMPLE_RATE * 1000.0
 WINDOW_STEPS = WINDOW_SEC * SAMPLE_RATE // HOP_LENGTH
+#: Steps of a block of the convolution.
+BLOCK_STEPS = 128
 
 
 def max_normalise(df: DataFrame, column: str, keys: Sequence[str] = ("file_id",)) -> DataFrame:
@@ -49,11 +53,31 @@ def _stretch(series: DataFrame, keys: Sequence[str], window: int, tail: bool) ->
     )
 
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that later expressions read often; explode keeps them from being computed again."""
-    for name, value in columns.items():
-        df = df.withColumn(name, F.explode(F.array(value)))
-    return df
+def _blocks(steps: DataFrame, keys: list[str], column: str, number: str) -> DataFrame:
+    """``keys, number`` and the block's values as one array of ``BLOCK_STEPS``, zero where a step is missing."""
+    at = F.pmod("p", F.lit(BLOCK_STEPS))
+    filled = steps.where(F.col(column) != 0).groupBy(*keys, F.floor(F.col("p") / BLOCK_STEPS).cast("int").alias(number)).agg(
+        F.map_from_entries(F.collect_list(F.struct(at.alias("at"), F.col(column)))).alias("m")
+    )
+    places = F.sequence(F.lit(0), F.lit(BLOCK_STEPS - 1))
+    value = lambda m: F.transform(places, lambda k: F.coalesce(F.try_element_at(m, k.cast("bigint")), F.lit(0.0)))
+    return filled.select(*keys, number, value(F.col("m")).alias(column))
+
+
+def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Correlations of pairs of blocks, as sums for each lag between them."""
+    for batch in batches:
+        n = batch.num_rows
+        a, v = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for c in ("a", "v"))
+        width = a.shape[1] if n else BLOCK_STEPS
+        sums = np.zeros((n, 2 * width - 1))
+        for step in range(width):
+            # Step k of one block meets step k + d of the other.
+            sums[:, width - 1 - step : 2 * width - 1 - step] += a[:, step : step + 1] * v
+        kept = [c for c in batch.schema.names if c not in ("a", "v")]
+        ends = np.arange(0, n * (2 * width - 1) + 1, 2 * width - 1, dtype=np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(sums.ravel()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), listed], names=[*kept, "sums"])
 
 
 def xcorr_lag(
@@ -67,38 +91,39 @@ def xcorr_lag(
     """Steps by which video follows audio, over the first (or last) ``window`` steps.
 
     Input: ``keys, i, a, v``; a missing ``i`` counts as silence.  ``window`` is
-    the analysed stretch, one minute in the checks (``WINDOW_STEPS``), so a
-    file's arrays are bounded however long it is.  ``scale`` divides both series
-    by their largest value within the stretch.  ``corr`` is the largest
-    correlation, ``lag`` the smallest with it.
+    the analysed stretch, one minute in the checks (``WINDOW_STEPS``), however
+    long a file is.  ``scale`` divides both series by their largest value within
+    the stretch.  ``corr`` is the largest correlation, ``lag`` the smallest with it.
+
+    A blocked convolution: both series are cut into blocks; blocks ``i`` and ``j``
+    give the lags around ``(j - i)`` blocks, so the work of one file is dealt out
+    by pairs of blocks, and their partial sums are added up by lag.  A block of
+    silence takes part in nothing.
     """
     keys = list(keys)
-    part = _stretch(series.select(*keys, "i", "a", "v"), keys, window, tail)
-    ends = part.groupBy(*keys).agg(F.min("i").alias("_lo"), F.max("i").alias("_hi"))
-    zero = F.lit(0).cast("double")
-    grid = ends.select(*keys, F.explode(F.sequence("_lo", "_hi")).alias("i"), zero.alias("a"), zero.alias("v"))
-    steps = grid.unionByName(part.select(*keys, F.col("i"), F.col("a").cast("double").alias("a"), F.col("v").cast("double").alias("v")))
-    dense = steps.groupBy(*keys, "i").agg(F.sum("a").alias("a"), F.sum("v").alias("v"))
-    rows = dense.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "a", "v"))).alias("s"))
-    rows = _once(rows, _a=F.col("s.a"), _v=F.col("s.v"))
-    if scale:
-        rows = _once(rows, _ma=F.array_max("_a"), _mv=F.array_max("_v"))
-        divided = lambda x, m: F.when(m > 0, F.transform(x, lambda e: e / m)).otherwise(x)
-        rows = _once(rows, _sa=divided(F.col("_a"), F.col("_ma")), _sv=divided(F.col("_v"), F.col("_mv")))
-        a, v = F.col("_sa"), F.col("_sv")
-    else:
-        a, v = F.col("_a"), F.col("_v")
-    n = F.size("_a")
-    reach = n - 1 if max_lag is None else F.least(n - 1, F.lit(max_lag))
-
-    def correlation(d: Column) -> Column:
-        ahead, behind = F.greatest(d, F.lit(0)), F.greatest(-d, F.lit(0))
-        length = n - F.abs(d)
-        products = F.zip_with(F.slice(a, behind + 1, length), F.slice(v, ahead + 1, length), lambda x, y: x * y)
-        return F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)
-
-    every = F.transform(F.sequence(-reach, reach), lambda d: F.struct(correlation(d).alias("corr"), (-d).alias("minus")))
-    best = _once(rows, _best=F.array_max(every))
+    part = _stretch(series.select(*keys, "i", F.col("a").cast("double").alias("a"), F.col("v").cast("double").alias("v")), keys, window, tail)
+    dense = part.groupBy(*keys, "i").agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("a"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("v"))
+    ends = dense.groupBy(*keys).agg(
+        F.min("i").alias("_lo"), (F.max("i") - F.min("i")).alias("_reach"), F.max("a").alias("_ma"), F.max("v").alias("_mv")
+    )
+    divided = lambda c, m: F.when(F.col(m) > 0, F.col(c) / F.col(m)).otherwise(F.col(c)) if scale else F.col(c)
+    steps = dense.join(ends, keys).select(*keys, (F.col("i") - F.col("_lo")).cast("bigint").alias("p"), divided("a", "_ma").alias("a"), divided("v", "_mv").alias("v"))
+    last = (window - 1) // BLOCK_STEPS
+    far = last if max_lag is None else min(last, max_lag // BLOCK_STEPS + 1)
+    audio = _blocks(steps, keys, "a", "_block").withColumn("_far", F.explode(F.sequence(F.lit(-far), F.lit(far))))
+    audio = audio.withColumn("_meets", F.col("_block") + F.col("_far")).where(F.col("_meets").between(0, last))
+    pairs = audio.join(_blocks(steps, keys, "v", "_meets"), [*keys, "_meets"]).select(*keys, "_far", "a", "v")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keys).schema.fields)
+    sums = pairs.mapInArrow(_partial_sums, f"{kinds}, _far int, sums array<double>")
+    lags = sums.select(*keys, "_far", F.posexplode("sums").alias("_at", "part")).select(
+        *keys, (F.col("_far") * BLOCK_STEPS + F.col("_at") - (BLOCK_STEPS - 1)).cast("bigint").alias("lag"), "part"
+    )
+    # Lags where no blocks meet correlate with 0.
+    reach = (F.col("_reach") if max_lag is None else F.least("_reach", F.lit(max_lag))).cast("bigint")
+    every = ends.select(*keys, F.explode(F.sequence(-reach, reach)).alias("lag"), F.lit(0.0).alias("part"))
+    corr = lags.unionByName(every).groupBy(*keys, "lag").agg(F.sum("part").alias("corr"))
+    corr = corr.join(ends.select(*keys, reach.alias("_reach")), keys).where(F.abs("lag") <= F.col("_reach"))
+    best = corr.groupBy(*keys).agg(F.max(F.struct("corr", (-F.col("lag")).alias("minus"))).alias("_best"))
     lag = (-F.col("_best.minus")).cast("long")
     return best.select(*keys, lag.alias("lag"), F.col("_best.corr").alias("corr"), (lag * STEP_MS).alias("offset_ms"))
 

@@ -277,15 +277,15 @@ def test_all_twelve_checks_end_to_end(spark, tables):
 
 
 def test_failing_validator_becomes_a_row(spark, tables):
-    def broken(batches):
-        raise RuntimeError("boom")
+    from framewarden.operators.folding import Validator, map_segments
 
-    def fine(batches):
-        return "PASSED" if sum(len(b) for b in batches) else "WARNING"
+    def broken(state, batch):
+        raise RuntimeError("boom")
 
+    count = Validator(lambda: 0, lambda n, batch: n + len(batch), lambda a, b: a + b, lambda n: "PASSED" if n else "WARNING")
     rows = tables["frames"].withColumn("segment_id", (F.col("frame_idx") / 50).cast("int"))
     got = {(r.file_id, r.segment_id, r.module): (r.status, r.error)
-           for r in C.map_segments(rows, {"fine": fine, "broken": broken}).collect()}
+           for r in map_segments(rows, {"fine": count, "broken": Validator(count.init, broken, count.merge, count.finish)}).collect()}
     assert len(got) == 8
     assert got["bad", 1, "broken"] == ("CRASHED", "boom")
     assert got["good", 0, "fine"] == ("PASSED", None)
