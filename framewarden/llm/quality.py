@@ -1,18 +1,20 @@
 """Quality rules with risk-controlled thresholds, in column functions only.
 
 Fixed rules reject what is plainly broken.  Further rules compare a measure with
-a cutoff; the cutoff of each rule and stratum is the strictest for which
-labelled rows prove, by an exact binomial bound, that at most a given share of
-good documents is rejected.  Candidate cutoffs are tested from the loosest on
-and the first failure ends a sequence, so a sequence needs no correction; the
-level is divided by the number of sequences, one for each rule and stratum, and
-the share by the number of rules.
+a cutoff.  The cutoffs of all rules get stricter together, step by step; of each
+stratum the last step is taken up to which labelled rows prove, by an exact
+binomial bound, that at most a given share of good documents is rejected by any
+rule.  Steps are tested in order and the first failure ends them, so a stratum
+needs no correction of its own; the level is divided by the number of strata, and
+strata that pass every step hand theirs on to the others.  Strata too small to
+prove anything by themselves are pooled and share a bound for all of them.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,18 +76,18 @@ def repeated_windows(words: Column, width: int = 3) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """``doc_id, stratum`` and the counts of every whole text."""
+    """``doc_id, stratum``, a hash of the text and the counts of every whole text."""
     text = F.col("text")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACE_CHARACTERS, "")) > 0)
     rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), text_of().alias("text"))
     return rows.select(
-        "doc_id", "stratum",
+        "doc_id", "stratum", F.xxhash64("text").alias("mark"),
         let(words_of(text), lambda w: F.struct(F.size(w).alias("n"), repeated_windows(w).alias("repeats"))).alias("w"),
         F.length(F.translate(text, SPACE_CHARACTERS, "")).cast("bigint").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("again"))).alias("l"),
     ).select(
-        "doc_id", "stratum", F.col("w.n").cast("bigint").alias("n_words"), "word_chars", "n_symbols",
+        "doc_id", "stratum", "mark", F.col("w.n").cast("bigint").alias("n_words"), "word_chars", "n_symbols",
         F.col("l.again").cast("bigint").alias("n_dup_lines"), F.col("w.repeats").cast("bigint").alias("n_repeat_words"),
         F.col("l.n").cast("bigint").alias("n_lines"),
     )
@@ -117,53 +119,82 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     return max(0.0, 1 - total)
 
 
+def most_failures(n: int, share: float, level: float) -> int:
+    """The most rejections among ``n`` rows that prove the share at the level; -1 if none do."""
+    low, high = -1, int(n * share)
+    while low < high:
+        middle = (low + high + 1) // 2
+        if binomial_cdf(middle, n, share) <= level:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def steps_of(rules: tuple[Rule, ...]) -> list[tuple[float, ...]]:
+    """Vectors of cutoffs from the loosest to the strictest; shorter lists stay longer at a cutoff."""
+    n = max(len(r.cutoffs) for r in rules)
+    at = lambda r, j: round(j * (len(r.cutoffs) - 1) / max(1, n - 1))
+    return [tuple(r.cutoffs[at(r, j)] for r in rules) for j in range(n)]
+
+
+def rounded_down(n: Column) -> Column:
+    """Three leading digits, so that bounds are computed for few numbers; fewer rows prove no more."""
+    unit = F.pow(F.lit(10), F.greatest(F.length(n.cast("string")) - 3, F.lit(0))).cast("bigint")
+    return (n - n % unit).cast("bigint")
+
+
 def chosen_cutoffs(
     measured: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, most_rejected: float = 0.02, level: float = 0.05,
-    most_strata: int = 10_000,
-) -> list[tuple]:
-    """``(stratum, cutoff of each rule or none)``.
+) -> DataFrame:
+    """``stratum, cutoffs``: an array with a cutoff for each rule, for strata with labelled rows; null where nothing is proven.
 
-    Good are rows labelled 1 that pass the base rules, repeated ids once by
-    label.  The driver sees the counts of each stratum, rule and cutoff.
+    Good are rows labelled 1 that pass the base rules, each text once however
+    often it is there.  Tables of any number of strata stay tables; the driver
+    sees the bounds for numbers of three leading digits.
     """
+    spark = measured.sparkSession
     good = labels.where("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
-    known = measured.where(~base_failed()).join(good, F.col("doc_id") == F.col("_good"), "left_semi")
-    counts = [
-        F.sum((F.expr(r.measure) > c).cast("bigint")).alias(f"r{i}_{j}") for i, r in enumerate(rules) for j, c in enumerate(r.cutoffs)
-    ]
-    rows = known.groupBy("stratum").agg(F.count("*").alias("n"), *counts).limit(most_strata + 1).collect()
-    if len(rows) > most_strata:
-        raise ValueError(f"more than {most_strata} strata")
-    sequences = max(1, len(rows) * len(rules))
-    share = most_rejected / len(rules)
-    out = []
-    for row in rows:
-        cutoffs: list[float | None] = []
-        for i, rule in enumerate(rules):
-            best = None
-            for j, cutoff in enumerate(rule.cutoffs):
-                if binomial_cdf(row[f"r{i}_{j}"], row["n"], share) > level / sequences:
-                    break
-                best = cutoff
-            cutoffs.append(best)
-        out.append((row["stratum"], *cutoffs))
-    return out
-
-
-def quality(docs: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, most_strata: int = 10_000, **risk) -> DataFrame:
+    known = measured.where(~base_failed()).join(good, F.col("doc_id") == F.col("_good"), "left_semi").dropDuplicates(["stratum", "mark"])
+    steps = steps_of(rules)
+    fails = lambda cut: reduce(Column.__or__, [F.expr(r.measure) > c for r, c in zip(rules, cut, strict=True)])
+    found = [F.sum(fails(cut).cast("bigint")).alias(f"k{j}") for j, cut in enumerate(steps)]
+    counts = written(known.groupBy("stratum").agg(F.count("*").alias("n"), *found), "quality-counts")
+    # The least number of rows that can prove the share without a rejection.
+    strata = counts.count()
+    least = math.ceil(math.log(level / max(1, strata)) / math.log1p(-most_rejected))
+    group = F.when(F.col("n") >= least, F.col("stratum"))
+    pools = counts.groupBy(group.alias("pool")).agg(*[F.sum(c).alias(c) for c in counts.columns[1:]]).withColumn("size", rounded_down(F.col("n")))
+    pools = written(pools, "quality-pools")
+    m = pools.count()
+
+    def passed(share_of_level: float) -> DataFrame:
+        bounds = [(r["size"], most_failures(r["size"], most_rejected, share_of_level)) for r in pools.select("size").distinct().collect()]
+        joined = pools.join(bounded_rows(spark, bounds, "_size bigint, _most bigint", 100_000), F.col("size") == F.col("_size"))
+        broken = F.array_position(F.array(*[F.col(f"k{j}") > F.col("_most") for j in range(len(steps))]), True)
+        return joined.select("pool", F.when(broken > 0, broken - 1).otherwise(len(steps)).cast("int").alias("passed"))
+
+    taken = passed(level / max(1, m))
+    finished = taken.where(F.col("passed") == len(steps)).count()
+    if 0 < finished < m:
+        taken = passed(level / (m - finished))
+    vectors = F.array(*[F.array(*[F.lit(float(c)) for c in cut]) for cut in steps])
+    cutoffs = taken.select(F.col("pool").alias("_pool"), F.when(F.col("passed") > 0, F.get(vectors, F.col("passed") - 1)).alias("cutoffs"))
+    return counts.withColumn("pool", group).join(cutoffs, F.col("pool").eqNullSafe(F.col("_pool")), "left").select("stratum", "cutoffs")
+
+
+def quality(docs: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, **risk) -> DataFrame:
     """One row per input row: ``doc_id``, its counts, ``base_failed`` and ``kept``.
 
-    Strata are languages, null as one; a stratum without enough labels has no
+    Strata are languages, null as one; a stratum without labelled rows has no
     cutoffs.  Null is a text without words; an empty table gives an empty one.
     """
     measured = written(measures(docs), "quality-measures")
-    cutoffs = chosen_cutoffs(measured, labels, rules, most_strata=most_strata, **risk)
-    names = [f"cutoff_{i}" for i in range(len(rules))]
-    schema = ", ".join(["stratum string", *[f"{n} double" for n in names]])
-    rows = measured.join(bounded_rows(docs.sparkSession, cutoffs, schema, most_strata), "stratum", "left")
+    cutoffs = chosen_cutoffs(measured, labels, rules, **risk).select(F.col("stratum").alias("_stratum"), "cutoffs")
+    rows = measured.join(cutoffs, F.col("stratum") == F.col("_stratum"), "left")
     fails = F.lit(False)
-    for name, rule in zip(names, rules):
-        fails = fails | F.coalesce(F.expr(rule.measure) > F.col(name), F.lit(False))
+    for i, rule in enumerate(rules):
+        fails = fails | F.coalesce(F.expr(rule.measure) > F.get("cutoffs", F.lit(i)), F.lit(False))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"),
         (~base_failed() & ~fails).alias("kept"),

@@ -497,14 +497,60 @@ def test_cutoffs_limit_false_rejection(spark):
         labels.append((i, int(good)))
     measured = quality.measures(docs_of(spark, texts))
     known = spark.createDataFrame(labels, "doc_id bigint, quality int")
-    (stratum, symbols, *_), = quality.chosen_cutoffs(measured, known)
-    assert stratum == "en" and symbols is not None
+    (stratum, cutoffs), = quality.chosen_cutoffs(measured, known).collect()
+    assert stratum == "en" and tuple(cutoffs) in quality.steps_of(quality.RULES)
     rows = quality.quality(docs_of(spark, texts), known).collect()
     truth = dict(labels)
     assert sum(not r.kept for r in rows if truth[r.doc_id]) <= 0.02 * 2000
     assert sum(r.kept for r in rows if not truth[r.doc_id]) == 0
-    few = quality.chosen_cutoffs(measured.where("doc_id < 60"), known)
-    assert few[0][1:] == (None, None, None, None)
+    few = quality.chosen_cutoffs(measured.where("doc_id < 60"), known).collect()
+    assert [r.cutoffs for r in few] == [None]
+    # A text counts once, however many rows repeat it.
+    again = measured.where("doc_id < 60").crossJoin(spark.range(50)).withColumn("doc_id", F.col("doc_id") + 1000 * F.col("id")).drop("id")
+    more = spark.createDataFrame([(i + 1000 * k, 1) for i in range(60) for k in range(50)], "doc_id bigint, quality int")
+    assert [r.cutoffs for r in quality.chosen_cutoffs(again, more).collect()] == [None]
+
+
+def plain_cutoffs(rows, most_rejected, level):
+    """``rows``: stratum -> list of measures of distinct good texts."""
+    steps = quality.steps_of(quality.RULES)
+    least = math.ceil(math.log(level / len(rows)) / math.log1p(-most_rejected))
+    pools = collections.defaultdict(list)
+    for name, found in rows.items():
+        pools[name if len(found) >= least else None] += found
+
+    def passed(own, part):
+        unit = 10 ** max(0, len(str(len(own))) - 3)
+        for j, cut in enumerate(steps):
+            k = sum(any(m > c for m, c in zip(measures, cut)) for measures in own)
+            if quality.binomial_cdf(k, len(own) // unit * unit, most_rejected) > part:
+                return j
+        return len(steps)
+
+    taken = {p: passed(own, level / len(pools)) for p, own in pools.items()}
+    done = sum(j == len(steps) for j in taken.values())
+    if 0 < done < len(pools):
+        taken = {p: passed(own, level / (len(pools) - done)) for p, own in pools.items()}
+    at = {n: taken[n if len(found) >= least else None] for n, found in rows.items()}
+    return {n: list(steps[j - 1]) if j else None for n, j in at.items()}
+
+
+def test_cutoffs_of_many_strata_equal_a_plain_search(spark):
+    rng = random.Random(11)
+    sizes = {"big": 1500, "clean": 1200, "mid": 400, **{f"s{i}": 20 for i in range(30)}}
+    rows, plain = [], collections.defaultdict(list)
+    for name, n in sizes.items():
+        for i in range(n):
+            bad = 0 if name == "clean" else rng.choice([0] * 60 + [1, 5, 20])
+            row = (len(rows), name, len(rows), 100, 700, 7 * bad, 0, 0 if name == "clean" else rng.choice([0, 0, 0, 3]), 10)
+            rows.append(row)
+            plain[name].append((row[5] / 700, 0.0, row[7] / 100, 7.0))
+    measured = spark.createDataFrame(rows, "doc_id long, stratum string, mark long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    known = measured.select("doc_id", F.lit(1).alias("quality"))
+    for share in (0.02, 0.05):
+        got = {r.stratum: r.cutoffs for r in quality.chosen_cutoffs(measured, known, most_rejected=share).collect()}
+        assert got == plain_cutoffs(plain, share, 0.05)
+        assert got["clean"] == list(quality.steps_of(quality.RULES)[-1]) and got["s1"] == got["s2"]
 
 
 # --- fingerprints
