@@ -34,6 +34,8 @@ LEVEL = 3
 SUPPORT, LEAST_RATIO, FALSE_SHARE = 3, 25, 0.02
 
 
+#: Places of the rough count of units.
+ROUGH = 1 << 22
 #: Segment and run lengths of the toxic dictionary's training, and its least size.
 TOXIC_K, TOXIC_D, TOXIC_BYTES = 24, 8, 8192
 #: Power of an excerpt's count, below 1 so that rare excerpts have their share.
@@ -110,15 +112,23 @@ def telling(toxic: list[str], ordinary: list[str], units: Callable[[list[bytes]]
     counts once for the same neighbours.
     """
     support = max(2, min(SUPPORT, len(toxic) // 10))
-    words = [[t.lower().encode().split() for t in texts] for texts in (toxic, ordinary)]
-    bad, good = (Counter(u for w in kind for u in {u for u, _ in units(w)}) for kind in words)
+    words = lambda texts: (t.lower().encode().split() for t in texts)
+    # Most units are there once: a rough count over hashes spares them a place among the exact ones.
+    rough = np.zeros(ROUGH, dtype=np.int32)
+    for w in words(toxic):
+        places = np.array([hash(u) % ROUGH for u in {u for u, _ in units(w)}], dtype=np.int64)
+        np.add.at(rough, places, 1)
+    frequent = (rough >= support).tobytes()
+    bad = Counter(u for w in words(toxic) for u in {u for u, _ in units(w) if frequent[hash(u) % ROUGH]})
+    bad = Counter({u: n for u, n in bad.items() if n >= support})
+    good = Counter(u for w in words(ordinary) for u in {u for u, _ in units(w) if u in bad})
     t, o = len(toxic), len(ordinary)
-    rare: dict[bytes, set] = {u: set() for u, n in bad.items() if n >= support and n * (o + 1) > LEAST_RATIO * good[u] * t}
-    for w in words[0]:
+    rare: dict[bytes, set] = {u: set() for u, n in bad.items() if n * (o + 1) > LEAST_RATIO * good[u] * t}
+    for w in words(toxic):
         for u, beside in units(w):
             if u in rare:
                 rare[u].add(beside)
-    tried = sum(n >= support for n in bad.values())
+    tried = len(bad)
     chances = sorted((chance(min(bad[u], len(beside)), good[u], t, o), u) for u, beside in rare.items())
     last = max((k for k, (p, _) in enumerate(chances, 1) if p * tried <= FALSE_SHARE * k), default=0)
     return {u for _, u in chances[:last]}
