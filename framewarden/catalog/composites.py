@@ -10,16 +10,17 @@ from ..plans import checks as C
 from ..plans import dashboard as D
 from ..plans.master import master_report, merged_segments_flat, report_events, segmented_master
 from ..profiles import profiles_table
-from . import query
+from . import CHECKS, query
 from .aggregates import (
     CAL_SQL, CROP_SQL, DESCRIBED_SQL, DUP_SQL, FIELD_COLUMNS, FIELD_SQL, HEAT_SQL, ISSUE_SQL, VALUES_SQL, rounded_fields, segment_values,
 )
 from .joins import GRADE_SQL, SERIES_SQL, STEP_SQL, _best_sql, cases, hourly
 from .ordering import COLLECTED_SQL, documents
 from .scalars import SHIFT_SQL, SILENCE_SQL
-from .scans import registered
+from .rules import _CROP, _LOUD, PROFILE_SQL
+from .scans import nest_probes, registered
 from .windows import (
-    ERRORS_SQL, GAP_SQL, ML_COLUMNS, STITCHED_COLUMNS, STITCHED_SQL, freeze_sql, ml_sql, stitched_sql,
+    BURST_SQL, ERRORS_SQL, GAP_SQL, ML_COLUMNS, RUN_SQL, STITCHED_COLUMNS, STITCHED_SQL, freeze_sql, ml_sql, stitched_sql,
 )
 
 MASTER_SQL = f"""v as (select file_id, count(distinct module) as n_modules,
@@ -312,3 +313,64 @@ def ml_timeline(scores):
 
     scored = scores.withColumn("score", F.round("score", 2))
     return stitch_ml_events(scored.withColumn("severity", classify_severity(F.col("score"), 35.0, 55.0, 75.0))).select(*ML_COLUMNS)
+
+
+_STRICT_LOUD = _LOUD.replace("from loudness l", "from (select file_id, 'strict' as profile, integrated_lufs, true_peak from loudness) l")
+
+# Verdicts of every module by themselves: the single reports' checks, and the rules' for the rest.
+_MODULE_SQL = {
+    "validate_structure": f"select file_id, status, effective_status from ({CHECKS['structure_status']})",
+    "validate_frames": f"select f.file_id, coalesce(r.status, 'PASSED') as status, null as effective_status from files f left join ({CHECKS['frames_report']}) r using (file_id)",
+    "validate_analog": f"""select file_id, case when n > 10 then 'REJECTED' when n > 0 then 'WARNING' else 'PASSED' end, null from (
+        with {RUN_SQL} select f.file_id, (select count(*) from vruns v where v.file_id = f.file_id) as n from (select distinct file_id from frames) f)""",
+    "validate_black_freeze": f"""select f.file_id, case when bool_or(coalesce(r.type in ('video_freeze', 'black_frame_error'), false)) then 'REJECTED' else 'PASSED' end, null
+        from (select file_id from logs union select file_id from qc_base) f left join ({CHECKS['black_freeze_report']}) r using (file_id) group by 1""",
+    "validate_interlace": f"with {FIELD_SQL.format('pixels')} select file_id, case when avg_psnr > 0 and avg_psnr < 35 then 'WARNING' else 'PASSED' end, null from fields",
+    "validate_artifacts": f"select file_id, status, null from ({CHECKS['artifacts_report']})",
+    "validate_geometry": f"{_CROP} select file_id, case when pct > 1.0e0 and share < 0.75e0 then 'REJECTED' else 'PASSED' end, null from c",
+    "validate_signal": f"""select file_id, case when m > 0 then 'REJECTED' else 'PASSED' end, null from (
+        with {BURST_SQL} select f.file_id, (select count(*) from bursts b where b.file_id = f.file_id) as m from (select distinct file_id from frames) f)""",
+    "validate_loudness": f"{_STRICT_LOUD} select file_id, status, case when status = 'REJECTED' then 'REJECTED' else 'PASSED' end from s",
+    "validate_audio_signal": f"select file_id, status, null from ({CHECKS['audio_signal_report']})",
+    "validate_phase": f"""select c.file_id, case when mean is null then 'WARNING' when mean < coalesce(p.min_phase_correlation, 0.0e0) then 'REJECTED' when low < -0.5e0 then 'WARNING' else 'PASSED' end, null
+        from (select distinct file_id from logs) c left join (select file_id, avg(phase) as mean, min(phase) as low from audio_frames group by 1) m using (file_id)
+        left join {PROFILE_SQL} p on p.profile = 'strict'""",
+    "validate_avsync": f"select file_id, status, null from ({CHECKS['avsync_report']})",
+}
+_RUN_SQL = "with files as (select file_id from probes_flat union select file_id from frames union select file_id from pixels) " + " union all ".join(
+    f"select f.file_id, '{name}' as module, coalesce(r.status, 'WARNING') as status, coalesce(r.effective_status, r.status, 'WARNING') as effective_status, {k} as ord"
+    f" from files f left join (select * from ({sql}) t(file_id, status, effective_status)) r using (file_id)"
+    for k, (name, sql) in enumerate(_MODULE_SQL.items())
+)
+
+
+@registered("run_checks", "frames", "pixels", "probes_flat", "crops", "loudness", "audio_frames", "logs", "qc_base", sql=_RUN_SQL)
+def run_all_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All twelve checks of every file in one run."""
+    view = lambda name: load(spark, sf_dir, name)
+    logs, base = view("logs"), view("qc_base")
+    scores = base.select(
+        F.col("user_id").alias("file_id"), F.col("event_id").alias("ord"), (F.floor(F.col("us") / 3600000) / 1000.0).alias("ts"),
+        (F.col("cents") % 10000 / 100.0).alias("score"),
+    )
+    tables = {
+        "frames": view("frames"), "pixels": view("pixels"), "logs": logs, "mono_logs": logs.withColumn("file_id", F.col("file_id") + 1),
+        "channels": _channels(logs), "probes": nest_probes(view("probes_flat")), "bitrates": view("bitrates"), "scores": scores,
+        "geometry": view("crops").withColumns({"sar": F.lit("1:1"), "dar": F.lit("0:1")}), "loudness": view("loudness"),
+        "audio_frames": view("audio_frames"), "series": hourly(base),
+        "durations": logs.select("file_id").union(base.select("file_id")).distinct().withColumn("duration_sec", F.lit(700.0)),
+        "files": view("probes_flat").select("file_id").union(view("frames").select("file_id")).union(view("pixels").select("file_id")).distinct(),
+    }
+    registry = C.with_profiles(profiles_table(spark))
+
+    # What the single reports' checks set otherwise than the defaults.
+    def frames(t, mode):
+        files, events = C.frames_report(t, 25.0, 35)
+        return C.Outcome(C._verdicts("validate_frames", files), events, C._metrics("validate_frames", files, "duplicate_frame_count"))
+
+    def avsync(t, mode):
+        files, events = C.avsync_report(t["series"], t["durations"], mode, window=240)
+        return C.Outcome(C._verdicts("validate_avsync", files), events, C._metrics("validate_avsync", files, "drift_ms"))
+
+    own = {"validate_frames": frames, "validate_avsync": avsync, "validate_artifacts": lambda t, mode: registry["validate_artifacts"](t, "ott")}
+    return C.run_checks({**registry, **own}, tables).verdicts

@@ -20,7 +20,6 @@ from . import query
 from .aggregates import DESCRIBED_SQL, smpte_sql
 from .rules import _KEYS
 from .scans import nest_reports
-from .windows import BURST_SQL, RUN_SQL
 
 
 @query("timeline_order", "timeline", sql="select file_id, ord, type, start_time from timeline order by start_time, type")
@@ -173,24 +172,6 @@ def mapped(frames):
     return map_segments(rows, _SEGMENT_VALIDATORS, order="frame_idx")
 
 
-@query(
-    "run_checks", "frames", "pixels",
-    sql=f"""with {BURST_SQL}, {RUN_SQL}, f as (select distinct file_id from frames),
-       every as (select file_id from frames union select file_id from pixels),
-       none as (select file_id from every where file_id not in (select file_id from frames)),
-       a as (select f.file_id, (select count(*) from vruns v where v.file_id = f.file_id) as n, (select count(*) from bursts b where b.file_id = f.file_id) as m from f)
-       select file_id, 'validate_analog' as module, case when n > 10 then 'REJECTED' when n > 0 then 'WARNING' else 'PASSED' end as status,
-         case when n > 10 then 'REJECTED' when n > 0 then 'WARNING' else 'PASSED' end as effective_status, 0 as ord from a
-       union all select file_id, 'validate_signal', case when m > 0 then 'REJECTED' else 'PASSED' end, case when m > 0 then 'REJECTED' else 'PASSED' end, 1 from a
-       union all select file_id, 'validate_analog', 'WARNING', 'WARNING', 0 from none
-       union all select file_id, 'validate_signal', 'WARNING', 'WARNING', 1 from none""",
-)
-def registry(frames, pixels):
-    """Files that only the pixel table knows have no frames to check."""
-    files = frames.select("file_id").union(pixels.select("file_id")).distinct()
-    return run_checks(REGISTRY, {"frames": frames, "files": files}, "strict", ("validate_analog", "validate_signal")).verdicts
-
-
 @query(
     "check_reports", "frames",
     sql="""with s as (select file_id, least(255, min(ymin)) as lo, greatest(0, max(ymax)) as hi, count(*) as n from frames group by 1)

@@ -34,11 +34,14 @@ def assign_segment(seconds: Column, segment_sec: float = 300.0) -> Column:
 def join_segment_offset(events: DataFrame, segments: DataFrame) -> DataFrame:
     """Bring each segment's start to its rows.
 
-    The segment table is small next to the events; Spark broadcasts it only if
-    its measured size allows.
+    Rows of segments that are not listed stay, with an offset of 0 and ``listed``
+    false.  The segment table is small next to the events; Spark broadcasts it
+    only if its measured size allows.
     """
-    offsets = segments.select("file_id", "segment_id", F.col("start_time").alias("segment_start"))
-    return events.join(offsets, ["file_id", "segment_id"])
+    offsets = segments.select("file_id", "segment_id", F.col("start_time").alias("segment_start"), F.lit(True).alias("listed"))
+    return events.join(offsets, ["file_id", "segment_id"], "left").withColumns({
+        "segment_start": F.coalesce("segment_start", F.lit(0.0)), "listed": F.coalesce("listed", F.lit(False)),
+    })
 
 
 def shift_times(events: DataFrame, offset: str = "segment_start") -> DataFrame:

@@ -291,6 +291,15 @@ def test_failing_validator_becomes_a_row(spark, tables):
     assert got["good", 0, "fine"] == ("PASSED", None)
 
 
+def test_events_of_unlisted_segments_stay(spark):
+    from framewarden.operators.segments import join_segment_offset
+
+    events = spark.createDataFrame([(1, 0, 2.0), (1, 1, 3.0), (1, None, 4.0), (2, 0, 5.0)], "file_id long, segment_id int, start_time double")
+    segments = spark.createDataFrame([(1, 0, 0.0), (1, 1, 60.0)], "file_id long, segment_id int, start_time double")
+    got = sorted((r.start_time, r.segment_start, r.listed) for r in join_segment_offset(events, segments).collect())
+    assert got == [(2.0, 0.0, True), (3.0, 60.0, True), (4.0, 0.0, False), (5.0, 0.0, False)]
+
+
 def test_every_log_error_counts(spark):
     from framewarden.plans import checks
 
