@@ -147,16 +147,24 @@ def excerpts(toxic: list[str], ordinary: list[str]) -> list[bytes]:
 
 
 def toxic_dictionary(toxic: list[str], ordinary: list[str]) -> bytes:
-    """The dictionary zstandard trains on the excerpts; its size grows with what there is to hold.
+    """The dictionaries zstandard trains on the excerpts, one after the other until none is left out.
 
-    Training goes through the samples part by part, so they come in rounds: each
-    excerpt is in as many of the first ones as a power of its count says.
+    Training leaves out what is rare beside the rest, such as the words of a
+    small language; the next dictionary is trained on that alone and goes in
+    front.  Samples come in rounds: each excerpt is in as many of the first ones
+    as a power of its count says.
     """
-    count = Counter(excerpts(toxic, ordinary))
-    rounds = {x: max(1, round(n**EVEN)) for x, n in count.items()}
-    samples = [x for r in range(max(rounds.values(), default=0)) for x in sorted(rounds) if rounds[x] > r]
-    size = max(TOXIC_BYTES, 2 * sum(map(len, set(samples))))
-    return trained(samples, size, TOXIC_K, TOXIC_D) if samples else b""
+    left = Counter(excerpts(toxic, ordinary))
+    content = b""
+    while left:
+        rounds = {x: max(1, round(n**EVEN)) for x, n in left.items()}
+        samples = [x for r in range(max(rounds.values())) for x in sorted(rounds) if rounds[x] > r]
+        content = trained(samples, max(TOXIC_BYTES, 2 * sum(map(len, left))), TOXIC_K, TOXIC_D) + content
+        missed = Counter({x: n for x, n in left.items() if x.strip() not in content})
+        if len(missed) == len(left):  # nothing that training could hold: they serve as they are
+            return b" ".join(sorted(missed, key=lambda x: (missed[x], x))) + content
+        left = missed
+    return content
 
 
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:

@@ -192,7 +192,7 @@ def test_toxic_words_of_a_small_language_are_learned():
         return " ".join(base)
 
     rows = [(text("en", i % 2), i % 2) for i in range(1200)]
-    rows += [(text(lang, i % 10 == 0), int(i % 10 == 0)) for i in range(170) for lang in ("xx",)]
+    rows += [(text(lang, i % 10 == 0), int(i % 10 == 0)) for i in range(500) for lang in ("xx",)]
     rng.shuffle(rows)
     model = toxicity.fit(rows)
     found = toxicity.excerpts(*([t for t, y in rows if y == kind] for kind in (1, 0)))
