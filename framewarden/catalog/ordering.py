@@ -10,6 +10,7 @@ from ..operators import events as ev
 from ..operators import frames as fr
 from ..operators import jobs as jb
 from ..operators.folding import Validator, map_segments
+from ..operators.ledger import work_states
 from ..operators.segments import assign_segment, plan_segments
 from ..operators.verdicts import contract_violations, crash_reports, missing_keys
 from ..plans.checks import CHECKS as REGISTRY
@@ -196,3 +197,28 @@ def check_reports(frames):
 def crashed(reports):
     files = reports.select("file_id").distinct()
     return crash_reports(files, reports, [f"validate_{i}" for i in range(6)]).select("file_id", "module", "status")
+
+
+_LEDGER_SQL = """l as (select file_id, module, case when report_id % 5 = 0 then 'old' else 'now' end as config_hash, report_id as attempt,
+   case when report_id % 3 = 0 then 'CRASHED' when report_id % 7 <> 0 then status end as status from reports),
+ e as (select distinct f.file_id, m.module, 'now' as config_hash from (select file_id from reports) f, (select distinct module from reports union all select 'validate_new') m),
+ s as (select file_id, module, config_hash, count(distinct attempt) as attempts, bool_or(coalesce(status <> 'CRASHED', false)) as done from l group by all)"""
+
+
+@query(
+    "work_states", "reports",
+    sql=f"""with {_LEDGER_SQL} select e.file_id, e.module, e.config_hash, coalesce(attempts, 0) as attempts,
+       case when done then 'DONE' when attempts >= 3 then 'CRASHED' when attempts > 0 then 'REPEAT' else 'RUN' end as state
+       from e left join s using (file_id, module, config_hash)""",
+)
+def states(reports):
+    """Every report of the table as an attempt; some failed, some under an older configuration."""
+    turn = F.col("report_id")
+    entries = reports.select(
+        "file_id", "module", F.when(turn % 5 == 0, "old").otherwise("now").alias("config_hash"), turn.alias("attempt"),
+        F.when(turn % 3 == 0, "CRASHED").when(turn % 7 != 0, F.col("status")).alias("status"),
+    )
+    modules = reports.select("module").distinct().groupBy().agg(F.collect_set("module").alias("m"))
+    names = F.concat(F.lit(modules.first()["m"]), F.array(F.lit("validate_new")))
+    expected = reports.select("file_id").distinct().select("file_id", F.explode(names).alias("module"), F.lit("now").alias("config_hash"))
+    return work_states(expected, entries)

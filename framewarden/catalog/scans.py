@@ -15,7 +15,7 @@ from ..operators.verdicts import overall_status
 from ..plans.master import module_table
 from ..profiles import COLUMNS, join_profile, profiles_table
 from ..session import shared_dir
-from ..sources import readers, writers
+from ..sources import master_store, readers, writers
 from . import CHECKS, QUERIES, query
 from .profile_rows import PROFILE_ROWS
 
@@ -251,6 +251,36 @@ def write_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registered(
+    "master_commits", "timeline", "reports",
+    sql="""with v as (select file_id, count(distinct module) as n_modules,
+         max(case status when 'REJECTED' then 3 when 'WARNING' then 2 else 1 end) as r from reports group by file_id)
+       select cast(v.file_id as bigint) as file_id, case r when 3 then 'REJECTED' when 2 then 'WARNING' else 'PASSED' end as overall_status, n_modules,
+       case when r = 1 then 1 else 2 end as commits, (select count(*) from timeline t where t.file_id = v.file_id) as n_events from v""",
+)
+def master_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files committed as passed, then those with findings once more as they are; a third run is lost before its manifest."""
+    reports, timeline = load(spark, sf_dir, "reports"), load(spark, sf_dir, "timeline").select("file_id", "start_time", "type")
+    reports = reports.withColumn("effective_status", F.lit(None).cast("string"))
+    path = scratch(spark, "commits")
+    passed = reports.withColumn("status", F.lit("PASSED"))
+    files = overall_status(reports).select("file_id", "overall_status")
+    found = files.where("overall_status <> 'PASSED'")
+    of = lambda df: df.join(found.select("file_id"), "file_id", "left_semi")
+    modules = module_table(reports)
+    master_store.commit_master(overall_status(passed).select("file_id", "overall_status"), module_table(passed), timeline, path)
+    master_store.commit_master(found, of(modules), of(timeline), path)
+    files.withColumn("overall_status", F.lit("LOST")).write.json(f"{path}/files/run=99999999999999999999-lost")
+    schemas = {"files": "file_id long, overall_status string", "modules": "file_id long, module string, status string", "events": "file_id long, start_time double, type string"}
+    tables = master_store.read_master(spark, path, schemas)
+    runs = spark.read.schema("file_id long, run string").json(f"{path}/{master_store.MANIFEST}").groupBy("file_id").agg(F.count("*").alias("commits"))
+    counts = tables["modules"].groupBy("file_id").agg(F.count("*").alias("n_modules"))
+    events = tables["events"].groupBy("file_id").agg(F.count("*").alias("n_events"))
+    return tables["files"].join(counts, "file_id").join(runs, "file_id").join(events, "file_id", "left").select(
+        "file_id", "overall_status", "n_modules", "commits", F.coalesce("n_events", F.lit(0)).alias("n_events")
+    )
+
+
 @registered(
     "write_datavyu", "timeline",
     sql="""select cast(file_id as bigint) as file_id, cast(trunc(start_time * 1000) as bigint) as onset,

@@ -100,3 +100,57 @@ def test_executive_summary_lists_failures_first(spark, tmp_path):
     lines = [x for f in sorted((tmp_path / "s").glob("part-*.csv")) for x in f.read_text().splitlines()]
     body = [x for x in lines if not x.startswith("Filename")]
     assert [x.split(",")[0] for x in body] == ["c.mp4", "a.mp4", "b.mp4"]
+
+
+def test_commits_are_per_file_and_lost_runs_unseen(spark, tmp_path):
+    import json
+
+    from framewarden.sources import master_store as store
+
+    path = str(tmp_path / "store")
+    schemas = {"files": "file_id long, overall_status string", "modules": "file_id long, module string, status string, n int", "events": "file_id long, start_time double, type string"}
+    frame = lambda name, rows: spark.createDataFrame(rows, schemas[name])
+
+    def commit(ids, status):
+        store.commit_master(
+            frame("files", [(i, status) for i in ids]), frame("modules", [(i, m, status, i) for i in ids for m in "ab"]),
+            frame("events", [(i, t, status) for i in ids for t in (3.0, 1.0)]), path)
+
+    commit(range(10), "PASSED")
+    commit([2, 3], "WARNING")
+    commit([3, 11], "REJECTED")
+    want = {i: "PASSED" for i in range(10)} | {2: "WARNING", 3: "REJECTED", 11: "REJECTED"}
+
+    def check():
+        tables = store.read_master(spark, path, schemas)
+        assert {r.file_id: r.overall_status for r in tables["files"].collect()} == want
+        assert sorted((r.file_id, r.module, r.status) for r in tables["modules"].collect()) == sorted((i, m, s) for i, s in want.items() for m in "ab")
+        assert sorted((r.file_id, r.start_time, r.type) for r in tables["events"].collect()) == sorted((i, t, s) for i, s in want.items() for t in (1.0, 3.0))
+        return tables
+
+    check()
+    # Runs lost after one, two and three of the tables.
+    for n in (1, 2, 3):
+        for name in list(schemas)[:n]:
+            rows = {"files": [(2, "LOST")], "modules": [(2, "a", "LOST", 0)], "events": [(2, 9.0, "LOST")]}[name]
+            frame(name, rows).write.json(f"{path}/{name}/run=9999999999999999999{n}-lost")
+        tables = check()
+    got = json.loads(store.master_document(tables, 3).first().document)
+    assert got == {
+        "file_id": 3, "overall_status": "REJECTED", "modules": {m: {"status": "REJECTED", "n": 3} for m in "ab"},
+        "aggregated_events": [{"start_time": t, "type": "REJECTED"} for t in (1.0, 3.0)],
+    }
+    assert store.manifest(spark, path).count() == 11
+
+
+def test_work_list_and_ghosts(spark):
+    from framewarden.operators import ledger
+
+    expected = spark.createDataFrame([(1, m, "c") for m in "abcde"] + [(2, "a", "c")] * 2, "file_id long, module string, config_hash string")
+    rows = [(1, "a", "c", 1, "PASSED"), (1, "b", "c", 1, "CRASHED"), (1, "b", "c", 2, None), (1, "c", "c", 1, None), (1, "c", "c", 2, None), (1, "c", "c", 3, "CRASHED"),
+            (1, "d", "old", 1, "PASSED"), (1, "e", "c", 1, "CRASHED"), (1, "e", "c", 2, "REJECTED"), (9, "a", "c", 1, "PASSED")]
+    states = ledger.work_states(expected, spark.createDataFrame(rows, "file_id long, module string, config_hash string, attempt int, status string"))
+    assert {(r.file_id, r.module): r.state for r in states.collect()} == {
+        (1, "a"): "DONE", (1, "b"): "REPEAT", (1, "c"): "CRASHED", (1, "d"): "RUN", (1, "e"): "DONE", (2, "a"): "RUN"}
+    assert sorted((r.file_id, r.module, r.attempt) for r in ledger.work_list(states).collect()) == [(1, "b", 3), (1, "d", 1), (2, "a", 1)]
+    assert [(r.module, r.status) for r in ledger.ghost_reports(states).collect()] == [("c", "CRASHED")]
