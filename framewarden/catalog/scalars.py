@@ -9,11 +9,12 @@ from ..fixtures import load
 from ..functions import logs as L
 from ..functions import timecode as T
 from ..functions import wording as W
+from ..functions.canonical import settings_hash
 from ..functions.quality import field, field_sums, psnr
 from ..operators.events import datavyu_rows, describe_events, normalize_event_time
 from ..operators.grading import tier_from_name
 from ..operators.segments import shift_times, tag_origin
-from ..profiles import PROFILES, config_hash, governance, profiles_table
+from ..profiles import PROFILES, config_hash, governance, join_profile, profiles_table, settings_rows
 from . import query
 from .aggregates import CATEGORY_SQL, DESCRIBED_SQL, FIELD_SQL, TITLE_SQL, smpte_sql
 from .scans import registered
@@ -178,6 +179,15 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance(asked, profiles_table(spark)).select("profile", "config_version_hash")
 
 
+@registered("settings_hash", "mixed_reports", sql=f"select file_id, ord, {_HASH} as config_version_hash from {_RESOLVED}")
+def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash of each report's settings, computed from the nested rows themselves."""
+    rows = settings_rows(spark)
+    known = rows.select("profile", settings_hash(F.col("settings"), rows.schema["settings"].dataType).alias("config_version_hash"))
+    reports = load(spark, sf_dir, "mixed_reports").select("file_id", "ord", "profile")
+    return join_profile(reports, known).select("file_id", "ord", "config_version_hash")
+
+
 @registered(
     "governance_columns", "mixed_reports",
     sql=f"select file_id, ord, profile as active_profile, {_HASH} as config_version_hash, {_WORDS} as compliance_standard from {_RESOLVED}",

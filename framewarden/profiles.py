@@ -7,6 +7,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FALLBACK = "strict"
 
@@ -178,6 +179,20 @@ def profiles_table(spark: SparkSession) -> DataFrame:
     return spark.sql(f"select * from ({profile_values()}) as p({', '.join(c for c, _ in COLUMNS)})")
 
 
+def _kind_of(values: list) -> T.DataType:
+    """The type of all given values; a dictionary is a struct of all its keys."""
+    if isinstance(values[0], dict):
+        names = list(dict.fromkeys(k for v in values for k in v))
+        return T.StructType([T.StructField(k, _kind_of([v[k] for v in values if k in v])) for k in names])
+    return {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType()}[type(values[0])]
+
+
+def settings_rows(spark: SparkSession) -> DataFrame:
+    """``profile, settings``: the nested settings of each profile, for ``functions.canonical.settings_hash``."""
+    kind = T.StructType([T.StructField("profile", T.StringType()), T.StructField("settings", _kind_of(list(PROFILES.values())))])
+    return spark.createDataFrame(list(PROFILES.items()), kind)
+
+
 def setting(name: str) -> Column:
     """A profile column, or the check's own default where the profile has none."""
     return F.coalesce(F.col(name), F.lit(DEFAULTS[name]))
