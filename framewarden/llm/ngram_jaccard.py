@@ -5,9 +5,9 @@ as similar as asked share a member of their prefixes.  An index list is first
 answered for one set only, its leader.  The leader's exact distances to all
 sets of the list then answer most other questions, since the Jaccard distance
 is a metric: two sets both close to the leader are in one class already, and
-two whose distances to it differ by more than the limit cannot be linked.  What
-is left is looked up in blocks of the lists, skipping what size, position or
-the known distances rule out.
+two whose distances to it differ by more than the limit cannot be linked.  Pairs
+that are left open meet in a join on the member; size, position and the known
+distances are tested there, once a pair is formed, not before.
 """
 
 from __future__ import annotations
