@@ -53,31 +53,32 @@ def _stretch(series: DataFrame, keys: Sequence[str], window: int, tail: bool) ->
     )
 
 
-def _blocks(steps: DataFrame, keys: list[str], column: str, number: str) -> DataFrame:
-    """``keys, number`` and the block's values as one array of ``BLOCK_STEPS``, zero where a step is missing."""
-    at = F.pmod("p", F.lit(BLOCK_STEPS))
-    filled = steps.where(F.col(column) != 0).groupBy(*keys, F.floor(F.col("p") / BLOCK_STEPS).cast("int").alias(number)).agg(
-        F.map_from_entries(F.collect_list(F.struct(at.alias("at"), F.col(column)))).alias("m")
-    )
-    places = F.sequence(F.lit(0), F.lit(BLOCK_STEPS - 1))
-    value = lambda m: F.transform(places, lambda k: F.coalesce(F.try_element_at(m, k.cast("bigint")), F.lit(0.0)))
-    return filled.select(*keys, number, value(F.col("m")).alias(column))
+def _grid(steps: pa.Array, name: str, width: int) -> np.ndarray:
+    """A row of ``width`` values a block, zero where a step is missing."""
+    flat = steps.flatten()
+    rows = np.repeat(np.arange(len(steps)), np.diff(steps.offsets.to_numpy()))
+    out = np.zeros((len(steps), width))
+    out[rows, flat.field("at").to_numpy()] = flat.field(name).to_numpy(zero_copy_only=False)
+    return out
 
 
-def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _partial_sums(width: int):
     """Correlations of pairs of blocks, as sums for each lag between them."""
-    for batch in batches:
-        n = batch.num_rows
-        a, v = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for c in ("a", "v"))
-        width = a.shape[1] if n else BLOCK_STEPS
-        sums = np.zeros((n, 2 * width - 1))
-        for step in range(width):
-            # Step k of one block meets step k + d of the other.
-            sums[:, width - 1 - step : 2 * width - 1 - step] += a[:, step : step + 1] * v
-        kept = [c for c in batch.schema.names if c not in ("a", "v")]
-        ends = np.arange(0, n * (2 * width - 1) + 1, 2 * width - 1, dtype=np.int32)
-        listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(sums.ravel()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), listed], names=[*kept, "sums"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            a, v = _grid(batch.column("_heard"), "a", width), _grid(batch.column("_steps"), "v", width)
+            sums = np.zeros((n, 2 * width - 1))
+            for step in range(width):
+                # Step k of one block meets step k + d of the other.
+                sums[:, width - 1 - step : 2 * width - 1 - step] += a[:, step : step + 1] * v
+            kept = [c for c in batch.schema.names if c not in ("_heard", "_steps")]
+            ends = np.arange(0, n * (2 * width - 1) + 1, 2 * width - 1, dtype=np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), listed], names=[*kept, "sums"])
+
+    return run
 
 
 def xcorr_lag(
@@ -97,24 +98,30 @@ def xcorr_lag(
 
     A blocked convolution: both series are cut into blocks; blocks ``i`` and ``j``
     give the lags around ``(j - i)`` blocks, so the work of one file is dealt out
-    by pairs of blocks, and their partial sums are added up by lag.  A block of
-    silence takes part in nothing.
+    by pairs of blocks, and their partial sums are added up by lag.
     """
     keys = list(keys)
     part = _stretch(series.select(*keys, "i", F.col("a").cast("double").alias("a"), F.col("v").cast("double").alias("v")), keys, window, tail)
     dense = part.groupBy(*keys, "i").agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("a"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("v"))
-    ends = dense.groupBy(*keys).agg(
-        F.min("i").alias("_lo"), (F.max("i") - F.min("i")).alias("_reach"), F.max("a").alias("_ma"), F.max("v").alias("_mv")
+    # One column holds all of a block, so that its three readers share one shuffle.
+    at = F.pmod("i", F.lit(BLOCK_STEPS)).cast("bigint")
+    blocks = dense.groupBy(*keys, F.floor(F.col("i") / BLOCK_STEPS).cast("int").alias("_block")).agg(
+        F.collect_list(F.struct(at.alias("at"), "a", "v")).alias("_steps")
     )
-    divided = lambda c, m: F.when(F.col(m) > 0, F.col(c) / F.col(m)).otherwise(F.col(c)) if scale else F.col(c)
-    steps = dense.join(ends, keys).select(*keys, (F.col("i") - F.col("_lo")).cast("bigint").alias("p"), divided("a", "_ma").alias("a"), divided("v", "_mv").alias("v"))
-    last = (window - 1) // BLOCK_STEPS
+    edge = lambda name, of: of(F.transform("_steps", lambda s: s[name]))
+    first = F.col("_block").cast("bigint") * BLOCK_STEPS
+    ends = blocks.groupBy(*keys).agg(
+        (F.max(first + edge("at", F.array_max)) - F.min(first + edge("at", F.array_min))).alias("_reach"),
+        F.max(edge("a", F.array_max)).alias("_ma"), F.max(edge("v", F.array_max)).alias("_mv"),
+    )
+    last = (window - 1) // BLOCK_STEPS + 1
     far = last if max_lag is None else min(last, max_lag // BLOCK_STEPS + 1)
-    audio = _blocks(steps, keys, "a", "_block").withColumn("_far", F.explode(F.sequence(F.lit(-far), F.lit(far))))
-    audio = audio.withColumn("_meets", F.col("_block") + F.col("_far")).where(F.col("_meets").between(0, last))
-    pairs = audio.join(_blocks(steps, keys, "v", "_meets"), [*keys, "_meets"]).select(*keys, "_far", "a", "v")
+    audio = blocks.withColumn("_far", F.explode(F.sequence(F.lit(-far), F.lit(far)))).select(
+        *keys, (F.col("_block") + F.col("_far")).alias("_block"), "_far", F.col("_steps").alias("_heard")
+    )
+    pairs = audio.join(blocks, [*keys, "_block"]).select(*keys, "_far", "_heard", "_steps")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keys).schema.fields)
-    sums = pairs.mapInArrow(_partial_sums, f"{kinds}, _far int, sums array<double>")
+    sums = pairs.mapInArrow(_partial_sums(BLOCK_STEPS), f"{kinds}, _far int, sums array<double>")
     lags = sums.select(*keys, "_far", F.posexplode("sums").alias("_at", "part")).select(
         *keys, (F.col("_far") * BLOCK_STEPS + F.col("_at") - (BLOCK_STEPS - 1)).cast("bigint").alias("lag"), "part"
     )
@@ -122,10 +129,15 @@ def xcorr_lag(
     reach = (F.col("_reach") if max_lag is None else F.least("_reach", F.lit(max_lag))).cast("bigint")
     every = ends.select(*keys, F.explode(F.sequence(-reach, reach)).alias("lag"), F.lit(0.0).alias("part"))
     corr = lags.unionByName(every).groupBy(*keys, "lag").agg(F.sum("part").alias("corr"))
-    corr = corr.join(ends.select(*keys, reach.alias("_reach")), keys).where(F.abs("lag") <= F.col("_reach"))
-    best = corr.groupBy(*keys).agg(F.max(F.struct("corr", (-F.col("lag")).alias("minus"))).alias("_best"))
+    corr = corr.join(ends.select(*keys, reach.alias("_reach"), "_ma", "_mv"), keys).where(F.abs("lag") <= F.col("_reach"))
+    best = corr.groupBy(*keys).agg(
+        F.max(F.struct("corr", (-F.col("lag")).alias("minus"))).alias("_best"), F.min("_ma").alias("_ma"), F.min("_mv").alias("_mv")
+    )
     lag = (-F.col("_best.minus")).cast("long")
-    return best.select(*keys, lag.alias("lag"), F.col("_best.corr").alias("corr"), (lag * STEP_MS).alias("offset_ms"))
+    # Scaling divides every lag's sum alike.
+    divisor = lambda m: F.when(F.col(m) > 0, F.col(m)).otherwise(1.0)
+    top = F.col("_best.corr") / (divisor("_ma") * divisor("_mv")) if scale else F.col("_best.corr")
+    return best.select(*keys, lag.alias("lag"), top.alias("corr"), (lag * STEP_MS).alias("offset_ms"))
 
 
 def head_tail_drift(series: DataFrame, window: int, keys: Sequence[str] = ("file_id",), scale: bool = False) -> DataFrame:
