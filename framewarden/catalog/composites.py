@@ -311,8 +311,9 @@ def ml_timeline(scores):
     from ..functions.quality import classify_severity
     from ..operators.frames import stitch_ml_events
 
-    scored = scores.withColumn("score", F.round("score", 2))
-    return stitch_ml_events(scored.withColumn("severity", classify_severity(F.col("score"), 35.0, 55.0, 75.0))).select(*ML_COLUMNS)
+    # The score as measured decides the severity; two decimals of it are reported.
+    scored = scores.withColumn("severity", classify_severity(F.col("score"), 35.0, 55.0, 75.0)).withColumn("score", F.round("score", 2))
+    return stitch_ml_events(scored).select(*ML_COLUMNS)
 
 
 _STRICT_LOUD = _LOUD.replace("from loudness l", "from (select file_id, 'strict' as profile, integrated_lufs, true_peak from loudness) l")

@@ -178,8 +178,9 @@ def artifacts_report(t: Tables, profiles: DataFrame, profile: str | Column = "st
         rows = join_profile(t["scores"].withColumn("profile", profile), profiles)
     scored = (
         rows.where(setting("ml_enabled") & (F.col("score") >= 0))
-        .withColumn("score", F.round("score", 2))
+        # The score as measured decides the severity; two decimals of it are reported.
         .withColumn("severity", classify_severity(F.col("score"), setting("mild"), setting("moderate"), setting("severe")))
+        .withColumn("score", F.round("score", 2))
         .withColumn("min_duration", setting("min_duration_sec"))
         .select("file_id", "min_duration", "ts", "ord", "score", "severity")
     )

@@ -1,5 +1,6 @@
 """Small cases with known results."""
 
+import datetime
 import json
 
 import pytest
@@ -366,3 +367,29 @@ def test_sync_is_scaled_within_its_window(spark):
         files, _ = avsync_report(series, durations, window=10)
         row = files.first()
         assert row.confidence_score == 1.0 and row.offset_head_ms == 46.44
+
+
+def test_severity_of_the_score_as_measured(spark, tmp_path):
+    """A score just below a limit stays below it, though its two decimals reach it."""
+    import __spark_entry__ as contract
+
+    at = datetime.datetime(2024, 1, 1)
+    # (end - start) * 20 of 1.75 seconds: 35 at a start of 0 s, 34.99999999999986 at 62.252 s.
+    events = [(0, at, 0, "click", 35.0, '{"k": 1}'), (1, at + datetime.timedelta(microseconds=62_252 * 3_600_000), 1, "click", 35.0, '{"k": 1}')]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    from framewarden.fixtures import load
+
+    raw = {r.file_id: r.score for r in load(spark, str(tmp_path), "frame_scores").collect()}
+    assert raw[0] == 35.0 and 34.99 < raw[1] < 35.0
+    scores = load(spark, str(tmp_path), "frame_scores")
+    again = scores.withColumns({"ord": F.col("ord") + 10, "ts": F.col("ts") + 1.25})
+    from framewarden.catalog import composites
+
+    got = [r.file_id for r in composites.ml_timeline(scores.union(again)).collect()]
+    assert got == [0]
+    assert "ml_timeline" in contract.queries()
+
+    rows = scores.union(again).withColumn("score", F.when(F.col("file_id") == 0, 40.0).otherwise(39.999))
+    bitrates = spark.createDataFrame([(0, 1920, 1080, 4000000), (1, 1920, 1080, 4000000)], "file_id long, width int, height int, bit_rate long")
+    _, found = C.artifacts_report({"bitrates": bitrates, "scores": rows}, profiles.profiles_table(spark), "ott")
+    assert [r.file_id for r in found.collect()] == [0]
