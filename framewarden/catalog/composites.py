@@ -366,8 +366,7 @@ def run_all_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # What the single reports' checks set otherwise than the defaults.
     def frames(t, mode):
-        files, events = C.frames_report(t, 25.0, 35)
-        return C.Outcome(C._verdicts("validate_frames", files), events, C._metrics("validate_frames", files, "duplicate_frame_count"))
+        return C.frames_outcome(t, "duplicate_frame_count", max_changed=35)
 
     def avsync(t, mode):
         files, events = C.avsync_report(t["series"], t["durations"], mode, window=240)

@@ -9,14 +9,14 @@ module, type, start_time, end_time, severity, details``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checks import picture, sound, video
-from ..checks.base import event, list_events
+from ..checks.base import PASSED, WARNING, event, list_events
 from ..functions import logs as L
 from ..functions.quality import classify_severity
 from ..operators import frames as fr
@@ -30,11 +30,15 @@ EVENT_COLUMNS = ("type", "start_time", "end_time", "severity", "details")
 
 @dataclass(frozen=True)
 class Outcome:
-    """``metrics``: ``file_id, module, metrics``, a map of the numbers a report states."""
+    """``metrics``: ``file_id, module, metrics``, a map of the numbers a report states.
+
+    ``otherwise`` is the verdict of a file that ``verdicts`` do not know.
+    """
 
     verdicts: DataFrame
     events: DataFrame
     metrics: DataFrame
+    otherwise: str = WARNING
 
 
 Tables = dict[str, DataFrame]
@@ -113,10 +117,16 @@ def frames_report(t: Tables, fps: float = 25.0, max_changed: int = 50) -> tuple[
     return video.frame_status(files, events), events
 
 
-def check_frames(t: Tables, mode: str = "strict") -> Outcome:
-    files, events = frames_report(t)
+def frames_outcome(t: Tables, *names: str, **limits) -> Outcome:
+    """The frame continuity check; a file that no table knows has no fault, so its verdict needs no row."""
     name = "validate_frames"
-    return Outcome(_verdicts(name, files), events, _metrics(name, files, "duplicate_frame_count", "max_pts_drift_ms"))
+    files, events = frames_report(t, **limits)
+    known, _ = frames_report({k: v for k, v in t.items() if k != "files"}, **limits)
+    return Outcome(_verdicts(name, known), events, _metrics(name, files, *names), PASSED if "files" in t else WARNING)
+
+
+def check_frames(t: Tables, mode: str = "strict") -> Outcome:
+    return frames_outcome(t, "duplicate_frame_count", "max_pts_drift_ms")
 
 
 def check_analog(t: Tables, mode: str = "strict") -> Outcome:
@@ -311,25 +321,47 @@ MODULES = (
 def run_checks(registry: dict[str, Callable[[Tables, str], Outcome]], tables: Tables, mode: str = "strict", modules=MODULES) -> Outcome:
     """Union of the named checks' outcomes, numbered in the given order.
 
-    With a table ``files`` every file has a verdict of every module: WARNING
-    where the module's tables know nothing of it.
+    With a table ``files`` every file has a verdict of every module: the
+    outcome's ``otherwise`` where the module's tables know nothing of it.  All
+    modules' verdicts meet the files in one shuffle, at most a few rows a file.
     """
     verdicts = events = metrics = None
+    otherwise = []
     for position, name in enumerate(modules):
         out = registry[name](tables, mode)
-        found = out.verdicts
-        if "files" in tables:
-            every = tables["files"].select("file_id", F.lit(name).alias("module"))
-            found = every.join(found.drop("module"), "file_id", "left").select(
-                "file_id", "module", *[F.coalesce(c, F.lit("WARNING")).alias(c) for c in ("status", "effective_status")]
-            )
-        v = found.withColumn("ord", F.lit(position))
+        otherwise.append(out.otherwise)
+        v = out.verdicts.withColumn("ord", F.lit(position))
         verdicts = v if verdicts is None else verdicts.unionByName(v)
         events = out.events if events is None else events.unionByName(out.events)
         metrics = out.metrics if metrics is None else metrics.unionByName(out.metrics)
+    if "files" in tables:
+        verdicts = _of_every_file(tables["files"], verdicts, modules, otherwise)
     return Outcome(verdicts, events, metrics)
 
 
+def _of_every_file(files: DataFrame, verdicts: DataFrame, modules: Sequence[str], otherwise: Sequence[str]) -> DataFrame:
+    """The verdicts of each file and module, one made up for those that have none."""
+    listed = -1
+    known = verdicts.where(F.col("file_id").isNotNull()).select("file_id", "ord", "status", "effective_status")
+    marks = files.select("file_id", F.lit(listed).alias("ord"), *[F.lit(None).cast("string").alias(c) for c in ("status", "effective_status")])
+    found = known.unionByName(marks).groupBy("file_id").agg(F.collect_list(F.struct("ord", "status", "effective_status")).alias("_found"))
+
+    def of(position: int) -> Column:
+        own = F.filter("_found", lambda v: v["ord"] == position)
+        words = F.lit(otherwise[position])
+        none = F.array(F.struct(F.lit(position).alias("ord"), words.alias("status"), words.alias("effective_status")))
+        filled = F.transform(own, lambda v: F.struct(
+            v["ord"].alias("ord"), *[F.coalesce(v[c], F.lit(WARNING)).alias(c) for c in ("status", "effective_status")]
+        ))
+        return F.when(F.size(own) > 0, filled).otherwise(none)
+
+    each = found.where(F.exists("_found", lambda v: v["ord"] == listed)).select(
+        "file_id", F.inline(F.flatten(F.array(*[of(k) for k in range(len(modules))])))
+    )
+    names = F.array(*[F.lit(m) for m in modules])
+    return each.select("file_id", F.element_at(names, F.col("ord") + 1).alias("module"), "status", "effective_status", "ord")
+
+
 def report_rows(outcome: Outcome) -> DataFrame:
     """One row a report: verdict, ``metrics``, ``n_events`` and ``present_keys``, as the contract check reads them.
 

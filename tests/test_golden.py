@@ -393,3 +393,19 @@ def test_severity_of_the_score_as_measured(spark, tmp_path):
     bitrates = spark.createDataFrame([(0, 1920, 1080, 4000000), (1, 1920, 1080, 4000000)], "file_id long, width int, height int, bit_rate long")
     _, found = C.artifacts_report({"bitrates": bitrates, "scores": rows}, profiles.profiles_table(spark), "ott")
     assert [r.file_id for r in found.collect()] == [0]
+
+
+def test_all_checks_meet_the_files_in_one_shuffle(spark, tables):
+    """Every file has a verdict of every module, of one grouping instead of a join a module."""
+    listed = spark.createDataFrame([("bad",), ("good",), ("new",)], "file_id string")
+    out = C.run_checks(C.with_profiles(profiles.profiles_table(spark)), {**tables, "files": listed}, "strict").verdicts
+    plain = C.run_checks(C.with_profiles(profiles.profiles_table(spark)), tables, "strict").verdicts
+    got = {tuple(r) for r in out.select("file_id", "module", "status", "effective_status", "ord").collect()}
+    want = {tuple(r) for r in plain.select("file_id", "module", "status", "effective_status", "ord").collect()}
+    assert {r for r in got if r[0] != "new"} == want
+    fresh = {m: "PASSED" if m == "validate_frames" else "WARNING" for m in C.MODULES}
+    assert {r for r in got if r[0] == "new"} == {("new", m, s, s, k) for k, (m, s) in enumerate(fresh.items())}
+    one = C.run_checks({"only": lambda t, mode: C.Outcome(spark.createDataFrame([("bad", "only", "REJECTED", None), ("else", "only", "PASSED", "PASSED")], "file_id string, module string, status string, effective_status string"), None, None)}, {"files": listed}, modules=("only",)).verdicts
+    assert "Join" not in one._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, one.select("file_id", "status", "effective_status").collect())) == [
+        ("bad", "REJECTED", "WARNING"), ("good", "WARNING", "WARNING"), ("new", "WARNING", "WARNING")]
