@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -268,12 +268,16 @@ def train_toxicity(
 def toxicity_score(model: ToxicityModel, text: Column) -> Column:
     """Score of a text from 0 to 1; a null or empty text is scored as one without windows."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model)
         for batch in batches:
-            yield pd.Series([scorer.score(t) for t in batch], dtype="float64")
+            # One text at a time leaves the Arrow buffer: a batch of long texts is not there twice.
+            scores = pa.array([scorer.score(t.as_py()) for t in batch], pa.float64())
+            yield scores
+            del batch, scores
+            pa.default_memory_pool().release_unused()
 
-    return F.pandas_udf(run, T.DoubleType(), F.PandasUDFType.SCALAR_ITER)(text)
+    return F.arrow_udf(run, T.DoubleType(), F.ArrowUDFType.SCALAR_ITER)(text)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bounds) -> DataFrame:
